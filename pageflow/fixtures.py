@@ -225,12 +225,12 @@ PAGE_LINE = "struct<ord:int,text:string,x0:double,y0:double,x1:double,y1:double,
 
 
 def page_layout(t: Tables) -> DataFrame:
-    """Nested text layer of the output pages: every third block of four lines sits on one row."""
+    """Nested text layer of the output pages: two of three blocks of four lines sit on one row each."""
     doc = F.col("doc_id")
 
     def line(text: Column, i: Column) -> Column:
         block = F.floor(i / 4)
-        tabular = (doc + block) % 3 == 0
+        tabular = (doc + block) % 3 != 0
         col = i % 4
         x0 = F.when(tabular, col * 150 + i % 3 + 40).otherwise(50).cast("double")
         y0 = (block * 80 + F.when(tabular, col * 2).otherwise(col * 20) + 40).cast("double")
@@ -432,8 +432,8 @@ SQL = {
                CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h,
                CAST(doc_id % 41 - 20 AS DOUBLE) / 10 AS skew, ord, text, x0, y0, x0 + 100 AS x1, y0 + size AS y1, size
         FROM (SELECT *,
-                CAST(CASE WHEN (doc_id + ord // 4) % 3 = 0 THEN ord % 4 * 150 + ord % 3 + 40 ELSE 50 END AS DOUBLE) AS x0,
-                CAST(ord // 4 * 80 + CASE WHEN (doc_id + ord // 4) % 3 = 0 THEN ord % 4 * 2 ELSE ord % 4 * 20 END + 40 AS DOUBLE) AS y0,
+                CAST(CASE WHEN (doc_id + ord // 4) % 3 <> 0 THEN ord % 4 * 150 + ord % 3 + 40 ELSE 50 END AS DOUBLE) AS x0,
+                CAST(ord // 4 * 80 + CASE WHEN (doc_id + ord // 4) % 3 <> 0 THEN ord % 4 * 2 ELSE ord % 4 * 20 END + 40 AS DOUBLE) AS y0,
                 CASE WHEN ord = 0 THEN CAST(18 AS DOUBLE) WHEN ord % 11 = 5 THEN CAST(13 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS size
               FROM fx_doc_lines) q""",
     "fx_progress": """
@@ -464,13 +464,14 @@ def with_fixtures(body: str, extra: dict[str, str] | None = None, recursive: boo
     """Oracle text: ``body`` preceded by the fixture views it needs, in dependency order."""
     views = {**SQL, **(extra or {})}
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name in re.findall(r"\bfx_\w+", text):
-            if name in views and name not in order:
+            if name in views and name not in seen:
+                seen.add(name)  # first: a recursive view names itself
                 need(views[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
     if not order:
