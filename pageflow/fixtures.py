@@ -290,7 +290,7 @@ def upload_chunks(t: Tables) -> DataFrame:
 def upload_samples(t: Tables) -> DataFrame:
     """Bytes sent so far per upload, one sample a row."""
     return t["events"].select(
-        F.col("user_id").alias("upload_id"),
+        (F.col("user_id") % 5).alias("upload_id"),
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(100_000_000)).cast("long").alias("t"),
         (F.col("event_id") * 1000).alias("sent"),
     ).withColumn("total", F.lit(2_000_000_000).cast("long"))
@@ -448,7 +448,7 @@ SQL = {
                CAST(CASE WHEN l_partkey % 10 = 0 THEN 20 ELSE 4 END * 1048576 AS BIGINT) AS length,
                CAST(12 * 1048576 AS BIGINT) AS size FROM lineitem""",
     "fx_upload_samples": """
-        SELECT user_id AS upload_id, epoch_us(ts) // 100000000 AS t, event_id * 1000 AS sent,
+        SELECT user_id % 5 AS upload_id, epoch_us(ts) // 100000000 AS t, event_id * 1000 AS sent,
                CAST(2000000000 AS BIGINT) AS total FROM events""",
     "fx_manifest": r"""
         SELECT o_custkey AS upload_id, o_orderkey AS ord,
