@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageflow.operators import jobs, orientation
 from pageflow.rules import ROTATIONS
+from pageflow.session import spread_small
 
 
 class Tables:
@@ -93,7 +94,10 @@ ARRIVAL = ["ts", "s0", "s90", "s180", "s270", "skew", "word_count"]
 def page_events(t: Tables) -> DataFrame:
     n = F.col("l_linenumber") - 1
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    return t["lineitem"].select(
+    source = t["lineitem"].select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
+    )
+    return spread_small(source, "l_orderkey", "l_partkey").select(
         F.col("l_orderkey").alias("job_id"),
         F.concat(F.lit("f"), (n % 3).cast("string"), F.lit(".pdf")).alias("filename"),
         F.floor(n / 3).cast("int").alias("page"),
@@ -183,7 +187,7 @@ def page_ocr(t: Tables) -> DataFrame:
 
     texts = F.split("text", "\n")
     per_angle = F.concat(*[F.transform(texts, line(a)) for a in ROTATIONS])
-    return t["documents"].select(
+    return spread_small(t["documents"].select("doc_id", "text", "lang", "source")).select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("job_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("filename"),
         doc.cast("int").alias("page"),
@@ -195,14 +199,24 @@ def page_ocr(t: Tables) -> DataFrame:
     )
 
 
+def explode_lines(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per element of ``lines``.
+
+    ``explode`` would infer a filter on the array and push it below the projection that builds
+    it, building everything again; ``explode_outer`` infers none.
+    """
+    return (
+        pages.select(*keep, F.explode_outer("lines").alias("l"))
+        .filter(F.col("l").isNotNull()).select(*keep, "l.*")
+    )
+
+
 def ocr_pages(t: Tables) -> DataFrame:
     return page_ocr(t).drop("lines")
 
 
 def ocr_lines(t: Tables) -> DataFrame:
-    return page_ocr(t).select(*orientation.KEYS, "width", "height", F.explode("lines").alias("l")).select(
-        *orientation.KEYS, "width", "height", "l.*"
-    )
+    return explode_lines(page_ocr(t), [*orientation.KEYS, "width", "height"])
 
 
 def best_lines(t: Tables) -> DataFrame:
@@ -210,12 +224,11 @@ def best_lines(t: Tables) -> DataFrame:
     scored = page_ocr(t).withColumn(
         "lines", F.filter("lines", lambda l: orientation.is_readable(l["conf"], l["box"]))
     )
-    return (
-        scored.withColumns({f"s{a}": orientation.angle_score("lines", a) for a in ROTATIONS})
-        .withColumn("best", orientation.best_rotation())
-        .select(*orientation.KEYS, "width", "height", "best", F.explode("lines").alias("l"))
-        .select(*orientation.KEYS, "width", "height", "best", "l.*")
-        .filter(F.col("angle") == F.col("best"))
+    best = scored.withColumns(
+        {f"s{a}": orientation.angle_score("lines", a) for a in ROTATIONS}
+    ).withColumn("best", orientation.best_rotation())
+    return explode_lines(best, [*orientation.KEYS, "width", "height", "best"]).filter(
+        F.col("angle") == F.col("best")
     )
 
 
@@ -240,7 +253,7 @@ def page_layout(t: Tables) -> DataFrame:
             (x0 + 100).alias("x1"), (y0 + size).alias("y1"), size.alias("size"),
         )
 
-    return t["documents"].select(
+    return spread_small(t["documents"].select("doc_id", "text", "lang", "source")).select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("job_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("filename"),
         doc.cast("int").alias("page"),
@@ -253,7 +266,7 @@ def page_layout(t: Tables) -> DataFrame:
 
 def page_lines(t: Tables) -> DataFrame:
     keep = [*orientation.KEYS, "rotation", "page_w", "page_h", "skew"]
-    return page_layout(t).select(*keep, F.explode("lines").alias("l")).select(*keep, "l.*")
+    return explode_lines(page_layout(t), keep)
 
 
 # ---- live progress and uploads ---------------------------------------------------------

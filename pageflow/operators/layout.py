@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageflow import rules
+from pageflow.functions.binding import let
 from pageflow.functions.geometry import display_rect
 from pageflow.functions.text import md_escape, strip, word_count
 
@@ -176,25 +177,30 @@ def assign_cells(rows: Column, columns: Column) -> Column:
             r, lambda c: F.struct(nearest_column(columns, c["x0"]).alias("i"), md_escape(c["text"]).alias("text"))
         ),
     )
-    used = F.array_distinct(F.flatten(F.transform(placed, lambda r: F.transform(r, lambda c: c["i"]))))
-    return F.transform(
-        placed,
-        lambda r: F.transform(
+
+    def table(p: Column) -> Column:
+        used = F.array_distinct(F.flatten(F.transform(p, lambda r: F.transform(r, lambda c: c["i"]))))
+        texts = lambda r, i: F.transform(F.filter(r, lambda c: c["i"] == i), lambda c: c["text"])
+        return let(
             F.sort_array(used),
-            lambda i: strip(F.array_join(F.transform(F.filter(r, lambda c: c["i"] == i), lambda c: c["text"]), " ")),
-        ),
-    )
+            lambda u: F.transform(p, lambda r: F.transform(u, lambda i: strip(F.array_join(texts(r, i), " ")))),
+        )
+
+    return let(placed, table)
 
 
 def table_markdown(rows: Column, page_width: Column) -> Column:
     """Header, ruler and body lines of one table."""
-    cells = assign_cells(rows, columns_of(rows, page_width))
     line = lambda texts: F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
-    lines = F.transform(cells, line)
-    ruler = line(F.transform(F.element_at(cells, 1), lambda _: F.lit("---")))
-    return F.array_join(
-        F.concat(F.slice(lines, 1, 1), F.array(ruler), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n"
-    )
+
+    def render(cells: Column) -> Column:
+        ruler = line(F.transform(F.element_at(cells, 1), lambda _: F.lit("---")))
+        numbered = F.transform(
+            cells, lambda texts, i: F.when(i == 0, F.concat_ws("\n", line(texts), ruler)).otherwise(line(texts))
+        )
+        return F.array_join(numbered, "\n")
+
+    return let(columns_of(rows, page_width), lambda columns: let(assign_cells(rows, columns), render))
 
 
 def body_size(cells: Column) -> Column:

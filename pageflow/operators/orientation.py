@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageflow import rules
 from pageflow.functions import geometry
+from pageflow.functions.binding import let
 from pageflow.functions.text import strip, word_count
 
 KEYS = ["job_id", "filename", "page"]
@@ -266,8 +267,8 @@ def analyze_orientation(page_ocr: DataFrame) -> DataFrame:
         lambda l: F.struct(
             l["text"].alias("text"),
             F.round(l["conf"], 3).alias("conf"),
-            _point_rect(
-                geometry.unrotate(l["box"], F.col("best"), F.col("width"), F.col("height"))
+            let(
+                geometry.unrotate(l["box"], F.col("best"), F.col("width"), F.col("height")), _point_rect
             ).alias("rect"),
         ),
     )

@@ -152,13 +152,13 @@ def _(t):
 @query("P09_autoseal", """
     SELECT job_id FROM fx_progress WHERE filename <> 'f0.pdf' AND (kind <> 'sealed' OR job_id % 2 = 0)
     GROUP BY job_id HAVING count(*) FILTER (kind = 'sealed') = 0
-    AND epoch_us(TIMESTAMP '2024-01-02 00:00:00') - max(epoch_us(ts)) > 1800 * 1000000""")
+    AND epoch_us(TIMESTAMP '2024-01-30 22:00:00') - max(epoch_us(ts)) > 1800 * 1000000""")
 def _(t):
     """Seals of odd jobs are left out, so some jobs are still open."""
     events = fx.progress_events(t).filter(
         (F.col("filename") != "f0.pdf") & ((F.col("kind") != "sealed") | (F.col("job_id") % 2 == 0))
     )
-    return p.autoseal(events, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("job_id")
+    return p.autoseal(events, F.lit("2024-01-30 22:00:00").cast("timestamp")).select("job_id")
 
 
 @query("P10_drop_cancelled", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only: they can be applied to a session someone else created.
 RUNTIME_CONF = {
@@ -35,3 +35,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="pageflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads a small scan over all cores ahead of heavy per-row work.
+
+    A file of few row groups keeps most cores idle. Below 32 MB per core (by the plan's size
+    estimate) one exchange, hashed on ``keys`` or round-robin, is cheap; larger inputs keep
+    their natural splits and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * SMALL_BYTES_PER_CORE else df
