@@ -26,13 +26,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is named."""
+    """The shared folder named in ``spark.checkpoint.dir``; a fresh local one only where none is."""
+    context = spark.sparkContext._jsc.sc()
+    current = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="pageflow-")
+        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="pageflow-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 

@@ -79,7 +79,7 @@ def main():
         sf, args = args[1], args[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8"))
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
