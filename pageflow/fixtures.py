@@ -79,7 +79,7 @@ def file_table(t: Tables) -> DataFrame:
 def inventory(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     name = F.concat(F.lit("Doc "), (F.col("o_custkey") % 50).cast("string"), F.lit(".pdf"))
-    return t["orders"].filter(key % 3 != 0).select(
+    return t["orders"].filter(F.col("o_orderpriority") != "1-URGENT").select(
         F.concat(F.lit("/store/"), _session(key), F.lit("/output/"), name).alias("path"),
         F.col("o_orderdate").cast("timestamp").alias("modificationTime"),
         key.alias("length"),
@@ -120,8 +120,7 @@ def pages(t: Tables) -> DataFrame:
 def results(t: Tables) -> DataFrame:
     """Decided page results; metadata and error pages take precedence over scores."""
     decided = orientation.decide(pages(t))
-    failed = F.col("word_count") == 199
-    declared = F.col("word_count") == 198
+    failed, declared = F.col("s90") == 9.6, F.col("s90") == 9.5
     return decided.select(
         *orientation.KEYS,
         F.when(failed, 0).when(declared, 90).otherwise(F.col("angle")).cast("int").alias("angle"),
@@ -151,7 +150,7 @@ def reviewed(t: Tables) -> DataFrame:
     """Signed-off pages; a few belong to no stored page."""
     n = F.col("l_linenumber") - 1
     return (
-        t["lineitem"].filter((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0)
+        t["lineitem"].filter(F.col("l_returnflag") == "R")
         .select(
             F.col("l_orderkey").alias("job_id"),
             F.concat(F.lit("f"), (n % 3).cast("string"), F.lit(".pdf")).alias("filename"),
@@ -350,7 +349,7 @@ SQL = {
                o_orderdate AS created_at, CAST(o_orderkey % 9 AS INT) AS pages FROM orders""",
     "fx_inventory": f"""
         SELECT '/store/s' || CAST(o_orderkey AS VARCHAR) || '/output/' || {_NAME} AS path,
-               o_orderdate AS modificationTime, o_orderkey AS length FROM orders WHERE o_orderkey % 3 <> 0""",
+               o_orderdate AS modificationTime, o_orderkey AS length FROM orders WHERE o_orderpriority <> '1-URGENT'""",
     "fx_page_events": f"""
         SELECT l_orderkey AS job_id, {_LINE_FILE} AS filename, CAST((l_linenumber - 1) // 3 AS INT) AS page,
                l_shipdate AS ts, l_quantity / 5 AS s0, CAST(l_partkey % 97 AS DOUBLE) / 10 AS s90,
@@ -379,13 +378,13 @@ SQL = {
         FROM fx_decided""",
     "fx_results": """
         SELECT job_id, filename, page,
-               CAST(CASE word_count WHEN 199 THEN 0 WHEN 198 THEN 90 ELSE angle END AS INT) AS angle,
-               CASE word_count WHEN 199 THEN 'error' WHEN 198 THEN 'metadata' ELSE 'universal_recognizer' END AS method,
-               CASE word_count WHEN 199 THEN true WHEN 198 THEN false ELSE reason IS NOT NULL END AS needs_review,
-               CASE word_count WHEN 199 THEN 'error' WHEN 198 THEN NULL ELSE reason END AS reason,
-               CASE WHEN word_count NOT IN (198, 199) THEN skew END AS skew,
+               CAST(CASE WHEN failed THEN 0 WHEN declared THEN 90 ELSE angle END AS INT) AS angle,
+               CASE WHEN failed THEN 'error' WHEN declared THEN 'metadata' ELSE 'universal_recognizer' END AS method,
+               CASE WHEN failed THEN true WHEN declared THEN false ELSE reason IS NOT NULL END AS needs_review,
+               CASE WHEN failed THEN 'error' WHEN declared THEN NULL ELSE reason END AS reason,
+               CASE WHEN NOT (failed OR declared) THEN skew END AS skew,
                s0, s90, s180, s270, ink_ratio, word_count
-        FROM fx_flagged""",
+        FROM (SELECT *, s90 = CAST(9.6 AS DOUBLE) AS failed, s90 = CAST(9.5 AS DOUBLE) AS declared FROM fx_flagged) q""",
     "fx_job_files": """
         SELECT job_id, filename,
                CAST(max(page) + 1 + CASE WHEN job_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS pages,
@@ -395,7 +394,7 @@ SQL = {
     "fx_reviewed": f"""
         SELECT DISTINCT l_orderkey AS job_id, {_LINE_FILE} AS filename,
                CAST((l_linenumber - 1) // 3 + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS INT) AS page
-        FROM lineitem WHERE (l_orderkey + l_linenumber) % 3 = 0""",
+        FROM lineitem WHERE l_returnflag = 'R'""",
     "fx_doc_lines": r"""
         SELECT doc_id, lang, source, CAST(i - 1 AS INT) AS ord, parts[i] AS text
         FROM (SELECT doc_id, lang, source, parts, unnest(generate_series(1, len(parts))) AS i

@@ -72,9 +72,9 @@ def _(t):
 
 @query("S05_read_page_results", f"""
     SELECT sha1(filename)[1:20] AS file_key, page, angle, method, reason, s90, skew, word_count FROM fx_results
-    WHERE job_id % 10 <> 3""")
+    WHERE method <> 'error'""")
 def _(t):
-    """Page documents as stored, every tenth job's damaged, read back with the schema."""
+    """Page documents as stored, those of failed pages damaged, read back with the schema."""
     r = fx.results(t)
     detail = F.struct(
         F.create_map(F.lit("90"), F.col("s90")).alias("scores"), "needs_review", "reason", "skew",
@@ -84,7 +84,7 @@ def _(t):
     stored = r.select(
         F.concat(F.lit("file:/store/s/results/pages/"), file_key(F.col("filename")), F.lit("/"),
                  F.col("page").cast("string"), F.lit(".json")).alias("path"),
-        F.when(F.col("job_id") % 10 == 3, F.lit('{"angle": 9')).otherwise(doc).alias("value"),
+        F.when(F.col("method") == "error", F.lit('{"angle": 9')).otherwise(doc).alias("value"),
     )
     return res.parse_page_results(stored).select(
         "file_key", "page", "angle", "method", "details.reason",
@@ -95,10 +95,10 @@ def _(t):
 @query("S06_read_file_summaries", f"""
     SELECT r.job_id, r.filename, r.page, r.angle AS rotation, r.method, r.reason, r.needs_review
     FROM fx_results r JOIN fx_complete c ON r.job_id = c.job_id AND r.filename = c.filename
-    WHERE r.job_id % 10 <> 3 AND r.page < c.pages""")
+    WHERE r.filename <> 'f2.pdf' AND r.page < c.pages""")
 def _(t):
     summaries = j.assemble_files(fx.job_files(t), fx.results(t))
-    text = F.when(F.col("job_id") % 10 == 3, F.lit("not json")).otherwise(
+    text = F.when(F.col("filename") == "f2.pdf", F.lit("not json")).otherwise(
         F.to_json(F.struct("filename", "page_rotations", "page_details"))
     )
     rows = res.parse_file_summaries(summaries.select("job_id", text.alias("value")), ["job_id"])
@@ -148,14 +148,18 @@ def _(t):
 
 
 @query("S10_export_results", """
-    SELECT job_id, filename, page, angle, 'saved' AS copy FROM fx_results WHERE job_id % 2 = 0
+    SELECT job_id, filename, page, angle, 'saved' AS copy FROM fx_results
+    WHERE job_id IN (SELECT job_id FROM fx_jobs WHERE status = 'SUCCESS')
     UNION ALL
-    SELECT job_id, filename, page, CAST(0 AS INT), 'legacy' FROM fx_results r
-    WHERE job_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM fx_results s WHERE s.job_id = r.job_id AND s.job_id % 2 = 0)""")
+    SELECT job_id, filename, page, CAST(0 AS INT), 'legacy' FROM fx_results
+    WHERE job_id IN (SELECT job_id FROM fx_jobs WHERE total_pages > 10 AND status <> 'SUCCESS')""")
 def _(t):
     r = fx.results(t).select(*KEYS, "angle")
-    saved = r.filter(F.col("job_id") % 2 == 0).withColumn("copy", F.lit("saved"))
-    legacy = r.filter(F.col("job_id") % 3 == 0).withColumns({"angle": F.lit(0), "copy": F.lit("legacy")})
+    jobs = fx.job_table(t)
+    saved = r.join(jobs.filter(F.col("status") == "SUCCESS").select("job_id"), "job_id", "left_semi")
+    legacy = r.join(jobs.filter(F.col("total_pages") > 10).select("job_id"), "job_id", "left_semi")
+    saved = saved.withColumn("copy", F.lit("saved"))
+    legacy = legacy.withColumns({"angle": F.lit(0), "copy": F.lit("legacy")})
     return j.prefer_saved(saved, legacy, ["job_id"])
 
 
@@ -248,23 +252,23 @@ def _(t):
 @query("F08_refresh_status", """
     SELECT job_id,
            CASE WHEN status <> 'PROCESSING' THEN status
-                WHEN job_id % 3 = 0 THEN CASE job_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE status END
-                WHEN job_id % 2 = 0 AND session_id IS NOT NULL THEN 'SUCCESS'
+                WHEN sealed THEN CASE job_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE status END
+                WHEN total_pages > 15 AND session_id IS NOT NULL THEN 'SUCCESS'
                 ELSE CASE job_id % 7 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE status END END AS new_status,
            CASE WHEN status <> 'PROCESSING' THEN NULL
-                WHEN job_id % 3 = 0 THEN CASE WHEN job_id % 5 = 1 THEN 'live error' END
-                WHEN job_id % 2 = 0 AND session_id IS NOT NULL THEN NULL
+                WHEN sealed THEN CASE WHEN job_id % 5 = 1 THEN 'live error' END
+                WHEN total_pages > 15 AND session_id IS NOT NULL THEN NULL
                 WHEN job_id % 7 = 1 THEN 'legacy error' END AS new_error
     FROM fx_jobs""")
 def _(t):
     jobs = fx.job_table(t)
     key = F.col("job_id")
-    live = jobs.filter(key % 3 == 0).select(
+    live = jobs.filter("sealed").select(
         "job_id",
         F.when(key % 5 == 0, "SUCCESS").when(key % 5 == 1, "FAILED").otherwise("PROCESSING").alias("live_status"),
         F.lit("live error").alias("live_error"),
     )
-    disk = jobs.filter(key % 2 == 0).select("job_id")
+    disk = jobs.filter(F.col("total_pages") > 15).select("job_id")
     legacy = jobs.select(
         "job_id",
         F.when(key % 7 == 0, "SUCCESS").when(key % 7 == 1, "FAILED").otherwise("PENDING").alias("legacy_status"),
@@ -296,7 +300,7 @@ def _(t):
 @query("F11_committable_files", f"""
     SELECT c.upload_id, attempt, attempts, coalesce(files, 0) AS files, coalesce(pages, 0) AS pages,
            CASE WHEN coalesce(files, 0) = 0 THEN 'No completed PDF files to process' END AS error
-    FROM (SELECT upload_id, min(ord) AS attempt, count(*) AS attempts FROM fx_manifest WHERE ord % 4 = 0 GROUP BY upload_id) c
+    FROM (SELECT upload_id, min(ord) AS attempt, count(*) AS attempts FROM fx_manifest GROUP BY upload_id) c
     LEFT JOIN (SELECT upload_id, count(*) AS files, CAST(sum(ord % 8) AS BIGINT) AS pages FROM fx_manifest
                WHERE ord % 5 = 0 AND ord % 3 <> 0 GROUP BY upload_id) f ON c.upload_id = f.upload_id""")
 def _(t):
@@ -305,5 +309,5 @@ def _(t):
         "upload_id", "filename", (F.col("ord") % 5 == 0).alias("complete"), (F.col("ord") % 3 == 0).alias("invalid"),
         (F.col("ord") % 8).alias("pages"),
     )
-    commits = m.filter(F.col("ord") % 4 == 0).select("upload_id", F.col("ord").alias("attempt"))
+    commits = m.select("upload_id", F.col("ord").alias("attempt"))
     return j.committable_files(states, commits)

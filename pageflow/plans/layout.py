@@ -193,14 +193,14 @@ fx.SQL["fx_documents"] = """
            CASE WHEN part = min(part) OVER (PARTITION BY job_id, filename) THEN '# ' || filename || chr(10) ELSE '' END || sections AS body
     FROM (SELECT job_id, filename, CAST(page // 256 AS BIGINT) AS part,
                  string_agg(chr(10) || '## Page ' || CAST(page + 1 AS VARCHAR) || chr(10) || chr(10)
-                     || CASE WHEN markdown <> '' AND page % 6 <> 0 THEN markdown ELSE '_No text recognised on this page._' END, chr(10) ORDER BY page) AS sections
+                     || CASE WHEN markdown <> '' AND page % 41 <> 20 THEN markdown ELSE '_No text recognised on this page._' END, chr(10) ORDER BY page) AS sections
           FROM fx_markdown GROUP BY 1, 2, 3) q"""
 
 
 def _documents(t):
-    """Every sixth page has no text layer at all."""
+    """Pages without tilt have no text layer at all."""
     pages = fx.page_layout(t)
-    return lay.document_markdown(pages.select(*KEYS), lay.page_markdown(pages.filter(F.col("page") % 6 != 0)))
+    return lay.document_markdown(pages.select(*KEYS), lay.page_markdown(pages.filter(F.col("skew") != 0)))
 
 
 @query("T14_document_markdown", "SELECT * FROM fx_documents", recursive=True)

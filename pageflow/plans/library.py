@@ -62,11 +62,11 @@ def _(t):
 
 fx.SQL["fx_deletable"] = f"""
     SELECT file_id FROM fx_library_files f LEFT JOIN fx_folders d ON f.folder_id = d.folder_id
-    WHERE file_id % 2 = 0 AND (d.user_id = {USER} OR f.user_id = {USER})"""
+    WHERE file_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) AND (d.user_id = {USER} OR f.user_id = {USER})"""
 
 
 def _deletable(t):
-    ids = fx.file_table(t).filter(F.col("file_id") % 2 == 0)
+    ids = t["orders"].filter(F.col("o_totalprice") > 200000).select(F.col("o_orderkey").alias("file_id"))
     return lib.deletable_files(fx.file_table(t), fx.folders(t), ids, USER)
 
 
@@ -81,12 +81,12 @@ def _(t):
 
 
 @query("L08_drop_folders", f"""
-    SELECT 'folder' AS kind, folder_id AS id FROM fx_folders WHERE NOT (user_id = {USER} AND folder_id % 2 = 0)
+    SELECT 'folder' AS kind, folder_id AS id FROM fx_folders WHERE NOT (user_id = {USER} AND folder_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000))
     UNION ALL
     SELECT 'file', file_id FROM fx_library_files f WHERE NOT EXISTS (
-        SELECT 1 FROM fx_folders d WHERE d.folder_id = f.folder_id AND d.user_id = {USER} AND d.folder_id % 2 = 0)""")
+        SELECT 1 FROM fx_folders d WHERE d.folder_id = f.folder_id AND d.user_id = {USER} AND d.folder_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000))""")
 def _(t):
-    ids = fx.folders(t).filter(F.col("folder_id") % 2 == 0)
+    ids = t["supplier"].filter(F.col("s_acctbal") > 4000).select(F.col("s_suppkey").alias("folder_id"))
     folders, files, _ = lib.drop_folders(fx.folders(t), fx.file_table(t), ids, USER)
     return folders.select(F.lit("folder").alias("kind"), F.col("folder_id").alias("id")).unionByName(
         files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"))
@@ -103,7 +103,7 @@ def _(t):
 
 def _moves(t):
     key = F.col("job_id")
-    jobs = fx.job_table(t).filter(key % 3 == 0)
+    jobs = fx.job_table(t).filter(F.col("status") == "SUCCESS")
     return jobs.select(
         "job_id", F.when(key % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
         F.when(key % 2 == 0, key % 100).alias("target"),
@@ -113,7 +113,7 @@ def _moves(t):
 fx.SQL["fx_moves"] = """
     SELECT m.job_id, m.target, j.session_id FROM (
         SELECT job_id, CASE WHEN job_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
-               CASE WHEN job_id % 2 = 0 THEN job_id % 100 END AS target FROM fx_jobs WHERE job_id % 3 = 0) m
+               CASE WHEN job_id % 2 = 0 THEN job_id % 100 END AS target FROM fx_jobs WHERE status = 'SUCCESS') m
     JOIN fx_jobs j ON m.job_id = j.job_id AND m.user_id = j.user_id
     WHERE m.target IS NULL OR EXISTS (SELECT 1 FROM fx_folders d WHERE d.folder_id = m.target AND d.user_id = m.user_id)"""
 
@@ -167,24 +167,25 @@ def _outputs(t):
 
 
 @query("L13_bulk_bundle", """
-    SELECT u.o_orderkey AS request_id, f.file_path, 'job_' || left(f.task_id, 8) || '/' || f.filename AS arcname
-    FROM orders u, LATERAL (VALUES (o_orderkey), (o_orderkey + 1)) k(job)
-    JOIN fx_jobs j ON j.job_id = k.job AND j.status = 'SUCCESS' AND j.user_id = u.o_custkey % 25
-    JOIN fx_outputs f ON f.job_id = j.job_id WHERE o_orderkey % 20 = 0
+    SELECT j.user_id AS request_id, f.file_path, 'job_' || left(f.task_id, 8) || '/' || f.filename AS arcname
+    FROM nation u JOIN fx_jobs j ON j.user_id = u.n_nationkey AND j.status = 'SUCCESS' JOIN fx_outputs f ON f.job_id = j.job_id
     UNION ALL
-    SELECT u.o_orderkey, a.file_path, 'folder_' || d.name || '/' || a.filename FROM orders u
-    JOIN fx_folders d ON d.folder_id = u.o_orderkey % 100 AND d.user_id = u.o_custkey % 25
-    JOIN fx_available a ON a.folder_id = d.folder_id WHERE u.o_orderkey % 20 = 0""")
+    SELECT d.user_id, a.file_path, 'folder_' || d.name || '/' || a.filename FROM nation u
+    JOIN fx_folders d ON d.user_id = u.n_nationkey JOIN fx_available a ON a.folder_id = d.folder_id""")
 def _(t):
-    key = F.col("o_orderkey")
-    task = lambda k: F.concat(F.lit("task-"), k.cast("string"))
-    requests = t["orders"].filter(key % 20 == 0).select(
-        key.alias("request_id"), (F.col("o_custkey") % 25).alias("user_id"),
-        F.concat(task(key), F.lit(", ,"), task(key + 1)).alias("task_ids"),
-        F.concat(F.lit("x1, "), (key % 100).cast("string"), F.lit(" ,")).alias("folder_ids"),
+    """Every job and folder owner asks for each of theirs, one request row per thing asked for."""
+    user = F.col("user_id")
+    jobs = fx.job_table(t)
+    requests = jobs.select(
+        user.alias("request_id"), user, F.concat(F.lit(", "), "task_id", F.lit(" ,")).alias("task_ids"), F.lit("x1").alias("folder_ids")
+    ).unionByName(
+        fx.folders(t).select(
+            user.alias("request_id"), user, F.lit(" ").alias("task_ids"),
+            F.concat(F.lit("x, "), F.col("folder_id").cast("string"), F.lit(" ,")).alias("folder_ids"),
+        )
     )
     outputs = _outputs(t).select("job_id", "file_path", "filename")
-    return lib.bulk_bundle(requests, fx.job_table(t), outputs, fx.folders(t), fx.file_table(t), fx.inventory(t))
+    return lib.bulk_bundle(requests, jobs, outputs, fx.folders(t), fx.file_table(t), fx.inventory(t))
 
 
 @query("L14_job_bundle", """
@@ -259,9 +260,9 @@ def _(t):
     )
 
 
-@query("L19_drop_history", f"SELECT job_id FROM fx_jobs WHERE NOT (user_id = {USER} AND job_id % 2 = 1)")
+@query("L19_drop_history", f"SELECT job_id FROM fx_jobs WHERE NOT (user_id = {USER} AND NOT sealed)")
 def _(t):
-    ids = fx.job_table(t).filter(F.col("job_id") % 2 == 1).select("task_id")
+    ids = fx.job_table(t).filter(~F.col("sealed")).select("task_id")
     return lib.drop_history(fx.job_table(t), USER, ids).select("job_id")
 
 

@@ -150,25 +150,23 @@ def _(t):
 
 
 @query("P09_autoseal", """
-    SELECT job_id FROM fx_progress WHERE filename <> 'f0.pdf' AND (kind <> 'sealed' OR job_id % 2 = 0)
+    SELECT job_id FROM fx_progress WHERE kind <> 'sealed' OR page = 0
     GROUP BY job_id HAVING count(*) FILTER (kind = 'sealed') = 0
     AND epoch_us(TIMESTAMP '2024-01-30 22:00:00') - max(epoch_us(ts)) > 1800 * 1000000""")
 def _(t):
-    """Seals of odd jobs are left out, so some jobs are still open."""
-    events = fx.progress_events(t).filter(
-        (F.col("filename") != "f0.pdf") & ((F.col("kind") != "sealed") | (F.col("job_id") % 2 == 0))
-    )
+    """Only seals of a first page count, so some jobs are still open."""
+    events = fx.progress_events(t).filter((F.col("kind") != "sealed") | (F.col("page") == 0))
     return p.autoseal(events, F.lit("2024-01-30 22:00:00").cast("timestamp")).select("job_id")
 
 
 @query("P10_drop_cancelled", """
     SELECT event_id, e.job_id, kind FROM fx_progress e LEFT JOIN (
-        SELECT job_id, min(ts) AS stop FROM fx_progress WHERE kind = 'sealed' AND job_id % 3 = 0 GROUP BY job_id) c
+        SELECT job_id, min(ts) AS stop FROM fx_progress WHERE kind = 'sealed' AND filename = 'f0.pdf' GROUP BY job_id) c
     ON e.job_id = c.job_id WHERE stop IS NULL OR e.ts < stop""")
 def _(t):
-    """The first seal of every third job stands for its cancellation."""
+    """A seal of the first file stands for the cancellation."""
     events = fx.progress_events(t)
-    cancels = events.filter((F.col("kind") == "sealed") & (F.col("job_id") % 3 == 0)).select("job_id", "ts")
+    cancels = events.filter((F.col("kind") == "sealed") & (F.col("filename") == "f0.pdf")).select("job_id", "ts")
     return p.drop_cancelled(events, cancels).select("event_id", "job_id", "kind")
 
 

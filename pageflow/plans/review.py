@@ -40,25 +40,25 @@ fx.SQL["fx_groups"] = f"""
 
 
 def _output_pages(t):
-    """Output pages with their rotation: those of stored files, without each file's page 2."""
+    """Output pages with their rotation; pages above a score are not in the output."""
     r = fx.pages(t)
-    return r.filter((F.col("job_id") % 7 != 0) & (F.col("page") != 2)).select(
+    return r.filter(F.col("s180") < 7).select(
         *KEYS, (90 * ((F.col("job_id") + F.col("page")) % 4)).cast("int").alias("rotation")
     )
 
 
 fx.SQL["fx_output_pages"] = """
     SELECT job_id, filename, page, CAST(90 * ((job_id + page) % 4) AS INT) AS rotation FROM fx_pages
-    WHERE job_id % 7 <> 0 AND page <> 2"""
+    WHERE s180 < 7"""
 
 
 def _packed(t):
     r = v.pack_reviewed(fx.reviewed(t))
-    broken = F.when(F.col("job_id") % 9 == 4, F.lit("[broken")).otherwise(F.col("reviewed_pages"))
+    broken = F.when(F.col("filename") == "f2.pdf", F.lit("[broken")).otherwise(F.col("reviewed_pages"))
     return r.withColumn("reviewed_pages", broken)
 
 
-@query("V01_parse_reviewed", f"SELECT {_PAGE} FROM fx_reviewed WHERE job_id % 9 <> 4")
+@query("V01_parse_reviewed", f"SELECT {_PAGE} FROM fx_reviewed WHERE filename <> 'f2.pdf'")
 def _(t):
     return v.parse_reviewed(_packed(t))
 
@@ -202,9 +202,9 @@ def _(t):
 @query("V15_override", f"""
     SELECT a.job_id, a.filename, a.page, CAST(((rotation + coalesce(d, 0)) % 360 + 360) % 360 AS INT) AS rotation
     FROM fx_output_pages a LEFT JOIN (
-        SELECT {_PAGE}, CAST(sum(90 * (word_count % 6) - 180) AS BIGINT) AS d FROM fx_page_events WHERE job_id % 2 = 0 GROUP BY {_PAGE}) b ON {_ON}""")
+        SELECT {_PAGE}, CAST(sum(90 * (word_count % 6) - 180) AS BIGINT) AS d FROM fx_page_events GROUP BY {_PAGE}) b ON {_ON}""")
 def _(t):
-    edits = fx.page_events(t).filter(F.col("job_id") % 2 == 0).select(
+    edits = fx.page_events(t).select(
         *KEYS, (90 * (F.col("word_count") % 6) - 180).alias("rotation")
     )
     return v.override(_output_pages(t), edits).select(*KEYS, F.col("rotation").cast("int").alias("rotation"))
