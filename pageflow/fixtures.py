@@ -184,9 +184,9 @@ def page_ocr(t: Tables) -> DataFrame:
             )
         return build
 
-    texts = F.split("text", "\n")
-    per_angle = F.concat(*[F.transform(texts, line(a)) for a in ROTATIONS])
-    return spread_small(t["documents"].select("doc_id", "text", "lang", "source")).select(
+    per_angle = F.concat(*[F.transform("texts", line(a)) for a in ROTATIONS])
+    docs = spread_small(t["documents"].select("doc_id", "text", "lang", "source"))
+    return docs.withColumn("texts", F.split("text", "\n")).select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("job_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("filename"),
         doc.cast("int").alias("page"),

@@ -7,12 +7,21 @@ from pyspark.sql import Column, functions as F
 from pageflow.rules import SKEW_MAX_DEGREES
 
 
+def _corners(box: Column, axis: str) -> list[Column]:
+    return [F.get(box, F.lit(i))[axis] for i in range(4)]
+
+
 def low(box: Column, axis: str) -> Column:
-    return F.array_min(F.transform(box, lambda p: p[axis]))
+    """Smallest coordinate. The usual four corners are read directly, without a lambda per point."""
+    return F.when(F.size(box) <= 4, F.least(*_corners(box, axis))).otherwise(
+        F.array_min(F.transform(box, lambda p: p[axis]))
+    )
 
 
 def high(box: Column, axis: str) -> Column:
-    return F.array_max(F.transform(box, lambda p: p[axis]))
+    return F.when(F.size(box) <= 4, F.greatest(*_corners(box, axis))).otherwise(
+        F.array_max(F.transform(box, lambda p: p[axis]))
+    )
 
 
 def extent(box: Column, axis: str) -> Column:

@@ -245,7 +245,7 @@ def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame, max_g
     )
     kept = pdfs.join(names, "folder_id")
     limit = {} if max_group is None else {"max_group": max_group}
-    return running_total(kept, ["folder_id"], ["created_at", "file_id"], "pages", "start_page", **limit)
+    return running_total(kept, ["folder_id"], ["created_at", "file_id"], "pages", "start_page", bound=files, **limit)
 
 
 # ---- dashboard and history -------------------------------------------------------------

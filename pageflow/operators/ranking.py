@@ -55,16 +55,17 @@ def positions(df: DataFrame, group: list[str], blocks: list[str], order: list[st
 
 def running_total(
     df: DataFrame, group: list[str], order: list[str], value: str, name: str,
-    max_group: int = PLAIN_GROUP_ROWS,
+    max_group: int = PLAIN_GROUP_ROWS, bound: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of each group (``order`` must be unique in it).
 
-    The largest group is measured first. When it is moderate, one window does. Otherwise rows
+    The largest group is measured first, in ``bound`` where a cheaper table is known to hold at
+    least the rows of every group. When it is moderate, one window does. Otherwise rows
     are range-partitioned by group and order, so a hot group spans many slices; the slices are
     written to the shared checkpoint folder (their bounds are then fixed, whatever is
     recomputed later), and each row gets its slice's offset plus its running sum inside it.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    largest = (df if bound is None else bound).groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     before = lambda *keys: (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
