@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,7 +14,12 @@ from pyspark.sql.types import DoubleType, StructType
 
 from pageflow.schemas import EXTRACTED
 
-_models: dict[str, Any] = {}
+
+def worker_models() -> dict[str, Any]:
+    """Models kept by this Python process. Functions arrive by value with fresh globals for every
+    task, so the store hangs on the interpreter, not on this module."""
+    store = sys.modules.setdefault("pageflow_worker_models", types.ModuleType("pageflow_worker_models"))
+    return store.__dict__.setdefault("models", {})
 
 
 def analyze_pages(
@@ -33,14 +40,15 @@ def analyze_pages(
     fields = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if model not in _models:
-            _models[model] = init()
+        models = worker_models()
+        if model not in models:
+            models[model] = init()
         for batch in batches:
             rows = []
             for page in batch.to_dict("records"):
                 keys = {k: page[k] for k in ("job_id", "filename", "page")}
                 try:
-                    rows.append({**dict.fromkeys(fields), **extractor(_models[model], page), **keys})
+                    rows.append({**dict.fromkeys(fields), **extractor(models[model], page), **keys})
                 except Exception as exc:  # noqa: BLE001 - recorded as the page's error
                     rows.append({**dict.fromkeys(fields), **keys, "error": str(exc) or type(exc).__name__})
             yield pd.DataFrame(rows, columns=fields).astype(

@@ -171,3 +171,20 @@ def test_extractor_errors_become_rows_and_init_runs_per_worker(spark):
     pages = spark.createDataFrame([(1, "a", i) for i in range(3)], "job_id long, filename string, page int")
     rows = {r.page: r.error for r in extract.analyze_pages(pages, extractor, init, "test-model").collect()}
     assert rows == {0: None, 1: "bad page", 2: None}
+
+
+def test_init_runs_once_per_worker_process(spark, tmp_path):
+    log = str(tmp_path / "inits")
+
+    def init():
+        import os
+
+        with open(log, "a") as fh:
+            fh.write(f"{os.getpid()}\n")
+        return None
+
+    pages = spark.createDataFrame([(1, "a", i) for i in range(40)], "job_id long, filename string, page int")
+    for _ in range(2):
+        extract.analyze_pages(pages, lambda m, p: {"lines": []}, init, "once", partitions=16).count()
+    pids = open(log).read().split()
+    assert pids and len(pids) == len(set(pids))
