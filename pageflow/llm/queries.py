@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageflow.llm import archive, host_rules, mixing, repeated_lines, token_counts
+from pageflow.llm import archive, host_rules, line_quality, mixing, packing, repeated_lines, token_counts
 from pageflow.llm.scratch import scratch_path
 from pageflow.session import tune
 
@@ -165,3 +165,20 @@ def op10_warc(spark, sf_dir):
     archive.write_archives(table(spark, sf_dir, "pages"), path)
     return archive.read_archives(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    packed = packing.pack_files(as_files(table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("file_id", "doc_id")
+
+
+def as_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("file_id"), "quality")
+
+
+@query("op8_line_quality")
+def op8_line_quality(spark, sf_dir):
+    files = as_files(table(spark, sf_dir, "documents")).select("file_id", "text")
+    judged = line_quality.judge_quality(files, as_labels(table(spark, sf_dir, "labels")))
+    return judged.select(F.col("file_id").alias("doc_id"), "held_out", "score", "predicted")
