@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageflow.llm import archive, host_rules, line_quality, mixing, packing, repeated_lines, token_counts
+from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, repeated_lines, token_counts
 from pageflow.llm.scratch import scratch_path
 from pageflow.session import tune
 
@@ -182,3 +182,9 @@ def op8_line_quality(spark, sf_dir):
     files = as_files(table(spark, sf_dir, "documents")).select("file_id", "text")
     judged = line_quality.judge_quality(files, as_labels(table(spark, sf_dir, "labels")))
     return judged.select(F.col("file_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest_vectors(vectors, vectors.filter("vec_id % 100 = 0"))
