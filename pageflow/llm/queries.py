@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, repeated_lines, token_counts
+from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, personal_data, repeated_lines, token_counts
 from pageflow.llm.scratch import scratch_path
 from pageflow.session import tune
 
@@ -188,3 +188,13 @@ def op8_line_quality(spark, sf_dir):
 def op4_nearest_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest_vectors(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op1_personal_data")
+def op1_personal_data(spark, sf_dir):
+    found = personal_data.find_private_spans(as_files(table(spark, sf_dir, "documents")))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        F.col("file_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
