@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, personal_data, repeated_lines, token_counts
+from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts
 from pageflow.llm.scratch import scratch_path
 from pageflow.session import tune
 
@@ -198,3 +198,26 @@ def op1_personal_data(spark, sf_dir):
     return found.select(
         F.col("file_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, len(w) - 3)]) END AS s FROM d),
+c AS (SELECT list_sort(s) AS s, min(rid) AS cid FROM g WHERE len(s) > 0 GROUP BY list_sort(s)),
+e AS (SELECT cid, len(s) AS n, unnest(s) AS t FROM c),
+f AS (SELECT a.cid AS x, b.cid AS y FROM e a JOIN e b ON a.t = b.t AND a.cid < b.cid
+      GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM f UNION ALL SELECT y, x FROM f),
+r(x, y) AS (SELECT cid, cid FROM c UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT r.x, min(doc_id) AS component_id FROM r JOIN c ON r.y = c.cid JOIN g ON list_sort(g.s) = c.s GROUP BY r.x)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, g.doc_id) AS component_id
+FROM g LEFT JOIN c ON list_sort(g.s) = c.s LEFT JOIN k ON k.x = c.cid
+"""
+
+
+@query("op2_similar_files", OP2_SQL)
+def op2_similar_files(spark, sf_dir):
+    grouped = similar_files.group_similar(as_files(table(spark, sf_dir, "documents")))
+    return grouped.withColumnRenamed("file_id", "doc_id")
