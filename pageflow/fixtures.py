@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageflow.operators import jobs, orientation
 from pageflow.rules import ROTATIONS
-from pageflow.session import spread_small
 
 
 class Tables:
@@ -59,6 +58,9 @@ def job_table(t: Tables) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         (F.col("o_orderpriority") != "5-LOW").alias("sealed"),
         (key % 17 == 0).alias("cancelled"),
+        F.when(F.col("o_orderstatus") != "O", F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 3600))
+        .alias("completed_at"),
+        F.when(status == "FAILED", F.concat(F.lit("run "), key.cast("string"), F.lit(" failed"))).alias("error_message"),
     )
 
 
@@ -97,7 +99,7 @@ def page_events(t: Tables) -> DataFrame:
     source = t["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
     )
-    return spread_small(source, "l_orderkey", "l_partkey").select(
+    return source.select(
         F.col("l_orderkey").alias("job_id"),
         F.concat(F.lit("f"), (n % 3).cast("string"), F.lit(".pdf")).alias("filename"),
         F.floor(n / 3).cast("int").alias("page"),
@@ -160,6 +162,13 @@ def reviewed(t: Tables) -> DataFrame:
     )
 
 
+def _spread_documents(t: Tables) -> DataFrame:
+    """Documents dealt by id over the session's shuffle partitions, ahead of heavy row-local work:
+    the given file has fewer splits than any machine has cores."""
+    number = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t["documents"].select("doc_id", "text", "lang", "source").repartition(number, "doc_id")
+
+
 # ---- recognised lines ------------------------------------------------------------------
 
 def page_ocr(t: Tables) -> DataFrame:
@@ -185,7 +194,7 @@ def page_ocr(t: Tables) -> DataFrame:
         return build
 
     per_angle = F.concat(*[F.transform("texts", line(a)) for a in ROTATIONS])
-    docs = spread_small(t["documents"].select("doc_id", "text", "lang", "source"))
+    docs = _spread_documents(t)
     return docs.withColumn("texts", F.split("text", "\n")).select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("job_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("filename"),
@@ -252,7 +261,7 @@ def page_layout(t: Tables) -> DataFrame:
             (x0 + 100).alias("x1"), (y0 + size).alias("y1"), size.alias("size"),
         )
 
-    return spread_small(t["documents"].select("doc_id", "text", "lang", "source")).select(
+    return _spread_documents(t).select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("job_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("filename"),
         doc.cast("int").alias("page"),
@@ -340,7 +349,10 @@ SQL = {
                CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status,
                CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 4 END AS total_files,
                o_custkey % 30 AS total_pages, o_orderdate AS created_at,
-               o_orderpriority <> '5-LOW' AS sealed, o_orderkey % 17 = 0 AS cancelled FROM orders""",
+               o_orderpriority <> '5-LOW' AS sealed, o_orderkey % 17 = 0 AS cancelled,
+               CASE WHEN o_orderstatus <> 'O' THEN make_timestamp(epoch_us(CAST(o_orderdate AS TIMESTAMP)) + 3600000000) END AS completed_at,
+               CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'run ' || CAST(o_orderkey AS VARCHAR) || ' failed' END AS error_message
+        FROM orders""",
     "fx_library_files": f"""
         SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 120 END AS folder_id,
                CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 25 END AS user_id, {_NAME} AS filename,

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageflow import rules
-from pageflow.operators.ranking import first_k, page_block
+from pageflow.operators.orientation import score_map
+from pageflow.operators.ranking import BLOCK_PAGES, first_k, page_block
+from pageflow.schemas import PAGE_DETAIL
 
 KEYS = ["job_id", "filename", "page"]
 FILE = ["job_id", "filename"]
@@ -21,9 +23,19 @@ def first_result(results: DataFrame, keys: list[str], arrival: list[str]) -> Dat
 
 
 def expand_pages(files: DataFrame) -> DataFrame:
-    """One row per page 0..pages-1; files with unknown or non-positive page counts give none."""
-    return files.filter(F.col("pages") > 0).withColumn(
-        "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))
+    """One row per page 0..pages-1; files with unknown or non-positive page counts give none.
+
+    Files become blocks of pages first; blocks are spread before they become pages, so a very
+    long file is not expanded by one task.
+    """
+    known = files.filter(F.col("pages") > 0)
+    last_block = page_block(F.col("pages") - 1)
+    blocks = known.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    first = F.col("_block") * BLOCK_PAGES
+    last = F.least(first + BLOCK_PAGES, F.col("pages").cast("long")) - 1
+    return (
+        blocks.repartition(F.xxhash64(*files.columns, "_block"))
+        .withColumn("page", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_block")
     )
 
 
@@ -33,11 +45,29 @@ def pending_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def complete_files(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Files whose every page 0..pages-1 has a result."""
-    waiting = pending_pages(expand_pages(files).select(*KEYS), results)
-    return files.filter(F.col("pages") > 0).join(
-        waiting.select(*FILE).distinct(), FILE, "left_anti"
-    )
+    """Files whose every page 0..pages-1 has a result.
+
+    Only counts meet: a block of pages (up to 4096) is counted with map-side combine, and a file
+    is complete when each of its blocks holds all the pages it should.
+    """
+    held = results.groupBy(*FILE, page_block(F.col("page")).alias("_block")).agg(
+        F.count_distinct(F.when(F.col("page") >= 0, F.col("page"))).alias("_held"), F.max("page").alias("_last")
+    )
+    known = files.filter(F.col("pages") > 0)
+    first = F.col("_block") * BLOCK_PAGES
+    due = F.least(first + BLOCK_PAGES, F.col("pages").cast("long")) - first
+    # A block that reaches beyond the file's end may hold more than is due; those few are counted.
+    whole = known.join(held, FILE).filter((F.col("_block") >= 0) & (due > 0))
+    inside = whole.filter(F.col("_last") < F.col("pages")).select(*FILE, "pages", "_held")
+    beyond = whole.filter(F.col("_last") >= F.col("pages")).select(*FILE, "pages", "_block")
+    counted = (
+        results.withColumn("_block", page_block(F.col("page"))).join(beyond, [*FILE, "_block"])
+        .filter((F.col("page") >= 0) & (F.col("page") < F.col("pages")))
+        .groupBy(*FILE, "pages", "_block").agg(F.count_distinct("page").alias("_held")).drop("_block")
+    )
+    full = inside.unionByName(counted).groupBy(*FILE, "pages").agg(F.sum("_held").alias("_held"))
+    done = full.filter(F.col("_held") == F.col("pages")).select(*FILE, "pages")
+    return known.join(done, [*FILE, "pages"], "left_semi")
 
 
 def assemble_files(files: DataFrame, results: DataFrame) -> DataFrame:
@@ -48,11 +78,17 @@ def assemble_files(files: DataFrame, results: DataFrame) -> DataFrame:
     """
     done = complete_files(files, results).select(*FILE, "pages")
     key = F.col("page").cast("string")
-    detail = F.struct("needs_review", "reason", "skew", "angle", "method")
-    in_range = results.join(done, FILE).filter((F.col("page") >= 0) & (F.col("page") < F.col("pages")))
+    detail = F.struct(*[f.name for f in PAGE_DETAIL.fields])
+    # Pages that were not scored (declared or unreadable) carry no scores.
+    scored = score_map(results).withColumn(
+        "scores", F.when(F.col("method") == "universal_recognizer", F.col("scores"))
+        .otherwise(F.create_map().cast("map<string,double>"))
+    )
+    in_range = scored.join(done, FILE).filter((F.col("page") >= 0) & (F.col("page") < F.col("pages")))
     blocks = in_range.groupBy(*FILE, page_block(F.col("page")).alias("block")).agg(
-        F.sort_array(
-            F.collect_list(F.struct("page", key.alias("key"), F.col("angle"), detail.alias("detail")))
+        F.array_sort(
+            F.collect_list(F.struct("page", key.alias("key"), F.col("angle"), detail.alias("detail"))),
+            lambda a, b: a["page"] - b["page"],
         ).alias("rows")
     )
     entries = lambda field: F.map_from_entries(
@@ -101,11 +137,12 @@ def job_outcome(jobs: DataFrame, file_status: DataFrame) -> DataFrame:
     )
 
 
-def refresh_status(jobs: DataFrame, live: DataFrame, disk: DataFrame, legacy: DataFrame) -> DataFrame:
+def refresh_status(jobs: DataFrame, live: DataFrame, disk: DataFrame, legacy: DataFrame, now: Column) -> DataFrame:
     """Running jobs brought up to date: live state first, then saved results, then a legacy task.
 
     ``live(job_id, live_status, live_error)``, ``disk(job_id)``, ``legacy(job_id, legacy_status,
-    legacy_error)``, each unique on the job.
+    legacy_error)``, each unique on the job. A job that ends now is completed at ``now``; others
+    keep their ``completed_at``.
     """
     finished = ["SUCCESS", "FAILED"]
     joined = (
@@ -128,14 +165,18 @@ def refresh_status(jobs: DataFrame, live: DataFrame, disk: DataFrame, legacy: Da
         .when(on_disk, None)
         .when(F.col("legacy_status") == "FAILED", F.col("legacy_error"))
     )
-    return joined.withColumns({"new_status": new_status, "new_error": error}).drop(
+    ended = running & new_status.isin(finished)
+    before = F.col("completed_at") if "completed_at" in jobs.columns else F.lit(None).cast("timestamp")
+    return joined.withColumns(
+        {"new_status": new_status, "new_error": error, "completed_at": F.when(ended, now).otherwise(before)}
+    ).drop(
         "_live", "_disk", "live_status", "live_error", "legacy_status", "legacy_error"
     )
 
 
 def fail_missing(files: DataFrame, inventory: DataFrame) -> DataFrame:
     """Registered files whose input is absent or has no pages."""
-    seen = inventory.select(F.col("path").alias("file_path")).withColumn("_seen", F.lit(True))
+    seen = inventory.select(F.col("path").alias("file_path")).distinct().withColumn("_seen", F.lit(True))
     return (
         files.join(seen, "file_path", "left")
         .filter(F.col("_seen").isNull() | ~F.coalesce(F.col("pages") > 0, F.lit(False)))

@@ -60,13 +60,13 @@ def _file_parts(pages: DataFrame, text: str) -> DataFrame:
     blocks = pages.groupBy(*FILE, F.floor(F.col("page") / PART_PAGES).cast("long").alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("page", F.col(text).alias("body")))).alias("pages")
     )
-    in_file = Window.partitionBy(*FILE).orderBy("part")
-    return blocks.withColumns(
-        {
-            "is_first": F.lag("part").over(in_file).isNull(),
-            "is_last": F.lead("part").over(in_file).isNull(),
-        }
+    # First and last part from page numbers alone: no text is gathered by file.
+    ends = pages.groupBy(*FILE).agg(
+        *[F.floor(f("page") / PART_PAGES).cast("long").alias(n) for f, n in ((F.min, "_first"), (F.max, "_last"))]
     )
+    return blocks.join(ends, FILE).withColumns(
+        {"is_first": F.col("part") == F.col("_first"), "is_last": F.col("part") == F.col("_last")}
+    ).drop("_first", "_last")
 
 
 def text_export(texts: DataFrame) -> DataFrame:

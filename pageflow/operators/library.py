@@ -133,7 +133,9 @@ def move_jobs(
     legal = moves.filter(F.col("target").isNull()).unionByName(
         moves.filter(F.col("target").isNotNull()).join(owned, ["target", "user_id"], "left_semi")
     )
-    ok = legal.join(jobs.select("job_id", "user_id", "session_id"), ["job_id", "user_id"])
+    # A job named twice goes to one place: the greatest target, and no folder only if none is named.
+    once = legal.groupBy("job_id", "user_id").agg(F.max("target").alias("target"))
+    ok = once.join(jobs.select("job_id", "user_id", "session_id"), ["job_id", "user_id"])
     to_job = ok.select("job_id", F.col("target").alias("_target"), F.lit(True).alias("_moved"))
     pick = F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("folder_id"))
     moved_jobs = jobs.join(to_job, "job_id", "left").withColumn("folder_id", pick).drop("_target", "_moved")
@@ -213,10 +215,12 @@ def bulk_bundle(
         "request_id", "file_path",
         F.concat(F.lit("job_"), F.substring("task_id", 1, 8), F.lit("/"), F.col("filename")).alias("arcname"),
     )
-    wanted = requests.select("request_id", "user_id", items("folder_ids").alias("f")).filter(F.col("f").rlike(r"^\d+$"))
+    wanted = requests.select("request_id", "user_id", items("folder_ids").alias("f")).filter(
+        F.col("f").rlike(r"^\d+$") & F.col("f").try_cast("long").isNotNull()
+    )
     owned = folders.select("folder_id", "user_id", F.col("name").alias("folder_name"))
     from_folders = (
-        wanted.select("request_id", "user_id", F.col("f").cast("long").alias("folder_id"))
+        wanted.select("request_id", "user_id", F.col("f").try_cast("long").alias("folder_id"))
         .join(owned, ["folder_id", "user_id"])
         .join(available_files(files, inventory).select("folder_id", "file_path", "filename"), "folder_id")
         .select(
@@ -236,16 +240,30 @@ def job_bundle(outputs: DataFrame) -> DataFrame:
     )
 
 
-def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame, max_group: int | None = None) -> DataFrame:
-    """Per folder with at least two available PDFs: merge order, first page of each in the result."""
+def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Per folder with at least two available PDFs: merge order, first page of each in the result.
+
+    Start pages are running sums by upload hour, then second, then file.
+    """
     pdfs = available_files(files, inventory).filter(is_pdf(F.col("file_path")))
     several = pdfs.groupBy("folder_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
     names = folders.join(several, "folder_id").select(
         "folder_id", underscored(F.concat(F.lit("Merged_"), F.col("name"), F.lit(".pdf"))).alias("merged_name")
     )
     kept = pdfs.join(names, "folder_id")
-    limit = {} if max_group is None else {"max_group": max_group}
-    return running_total(kept, ["folder_id"], ["created_at", "file_id"], "pages", "start_page", bound=files, **limit)
+    levels = {
+        "_hour": F.floor(F.unix_seconds("created_at") / 3600).cast("long"), "_second": F.unix_seconds("created_at"),
+    }
+    return running_total(kept, ["folder_id"], levels, ["created_at", "file_id"], "pages", "start_page")
+
+
+def merged_files(plan: DataFrame, folders: DataFrame, root: str = "/store") -> DataFrame:
+    """The new file row of every merged folder: its name, place, owner, pages and sources."""
+    owners = folders.select("folder_id", "user_id")
+    merged = plan.groupBy("folder_id", F.col("merged_name").alias("filename")).agg(
+        F.sum("pages").cast("long").alias("pages"), F.count("*").alias("sources")
+    )
+    return merged.join(owners, "folder_id").withColumn("file_path", F.concat(F.lit(f"{root}/"), "filename"))
 
 
 # ---- dashboard and history -------------------------------------------------------------
@@ -263,9 +281,11 @@ def dashboard(jobs: DataFrame, folders: DataFrame, results: DataFrame) -> DataFr
         F.coalesce(F.sum(F.when(won, F.col("total_files"))), F.lit(0)).alias("total_files"),
         F.coalesce(F.sum(F.when(won, F.col("total_pages"))), F.lit(0)).alias("total_pages"),
     )
+    latest = latest_jobs(jobs, rules.DASHBOARD_JOBS).filter(won)
+    # Results shrink to those jobs before they are counted.
+    counted = rotated_breakdown(results.join(latest.select("job_id"), "job_id", "left_semi"))
     pages = (
-        latest_jobs(jobs, rules.DASHBOARD_JOBS).filter(won)
-        .join(rotated_breakdown(results), "job_id")
+        latest.join(counted, "job_id")
         .groupBy("user_id")
         .agg(F.sum("pages_rotated").alias("pages_rotated"), F.sum("pages_unchanged").alias("pages_unchanged"))
     )
@@ -279,10 +299,8 @@ def dashboard(jobs: DataFrame, folders: DataFrame, results: DataFrame) -> DataFr
 def recent_jobs(jobs: DataFrame, results: DataFrame, n: int = rules.RECENT_JOBS) -> DataFrame:
     """The ``n`` newest jobs of every user, one row per file name (a null name when there is none)."""
     top = latest_jobs(jobs, n)
-    names = job_filenames(results).join(
-        top.filter(F.col("status") == "SUCCESS").select("job_id"), "job_id", "left_semi"
-    )
-    return top.join(names, "job_id", "left")
+    won = top.filter(F.col("status") == "SUCCESS").select("job_id")
+    return top.join(job_filenames(results.join(won, "job_id", "left_semi")), "job_id", "left")
 
 
 def name_preview(results: DataFrame) -> DataFrame:
@@ -308,18 +326,25 @@ def fallback_preview(jobs: DataFrame) -> Column:
 
 
 def history(jobs: DataFrame, folders: DataFrame, results: DataFrame, n: int = rules.HISTORY_JOBS) -> DataFrame:
-    """The ``n`` newest jobs of every user with turned and kept pages, folder name and name preview."""
+    """The ``n`` newest jobs of every user with turned and kept pages and folder name, one row per
+    file name (``filename``; null for a job without files).
+
+    Results shrink to the listed jobs and are counted per file; the job's totals are sums over
+    those counts, which both branches share.
+    """
     top = latest_jobs(jobs, n)
     won = top.filter(F.col("status") == "SUCCESS").select("job_id")
-    # Bounded by users x n; results shrink to those jobs before they are counted.
-    mine = results.join(won, "job_id", "left_semi")
+    per_file = results.join(won, "job_id", "left_semi").groupBy("job_id", "filename").agg(
+        F.count_if(F.col("angle") != 0).alias("turned"), F.count_if(F.col("angle") == 0).alias("kept")
+    )
+    totals = per_file.groupBy("job_id").agg(
+        F.sum("turned").alias("pages_rotated"), F.sum("kept").alias("pages_unchanged"), F.count("*").alias("result_files")
+    )
+    listed = per_file.select("job_id", "filename").join(totals, "job_id")
     names = folders.select("folder_id", F.col("name").alias("folder_name"))
     return (
-        top.join(rotated_breakdown(mine).drop("result_files"), "job_id", "left")
-        .join(name_preview(mine), "job_id", "left")
-        .join(names, "folder_id", "left")
+        top.join(listed, "job_id", "left").join(names, "folder_id", "left")
         .fillna(0, ["pages_rotated", "pages_unchanged", "result_files"])
-        .withColumn("preview", F.coalesce("preview", fallback_preview(top)))
     )
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pageflow import rules
-from pageflow.operators.ranking import first_k
+from pageflow.operators.ranking import first_k, page_block, positions
 
 FILE = ["job_id", "filename"]
 PAGE_EVENT = ["job_id", "kind", "filename", "page"]
@@ -217,8 +217,12 @@ def status_rank(status: Column) -> Column:
 
 
 def upload_order(items: DataFrame) -> DataFrame:
-    """Upload items as listed: trouble first, then work in flight, waiting, done."""
-    return items.withColumn("status_rank", status_rank(F.col("status"))).orderBy("upload_id", "status_rank", "ord")
+    """Upload items with their place in the list: trouble first, then work in flight, waiting, done.
+
+    ``position`` comes from counts per upload, status and block of registrations.
+    """
+    ranked = items.withColumns({"status_rank": status_rank(F.col("status")), "_block": page_block(F.col("ord"))})
+    return positions(ranked, ["upload_id"], ["status_rank", "_block"], ["ord"], "position").drop("_block")
 
 
 def upload_counts(items: DataFrame) -> DataFrame:

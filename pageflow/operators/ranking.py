@@ -6,7 +6,7 @@ one task:
 * first-k per group: ``row_number() <= k`` directly above its window. Spark then plans a
   partial group limit before the exchange, so a task ships at most k rows of a group.
 * positions or running sums over whole groups: :func:`positions` and :func:`running_total`
-  split the group into ordered slices, total the slices, and add each slice's offset.
+  total ordered buckets of the group and add each bucket's offset to the rows inside it.
 """
 
 from __future__ import annotations
@@ -15,12 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageflow.session import checkpoint_dir
-
-# Spark keeps the partial group limit up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-# Groups up to this many rows are totalled by a plain window; a sort of this size spills well.
-PLAIN_GROUP_ROWS = 1_000_000
 BLOCK_PAGES = 4096
 
 
@@ -34,64 +28,62 @@ def page_block(page: Column) -> Column:
     return F.floor(page / BLOCK_PAGES).cast("long")
 
 
-def positions(df: DataFrame, group: list[str], blocks: list[str], order: list[str], rank: str = "rank") -> DataFrame:
-    """1-based position of every row in its group.
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality of sides ``l`` and ``r``: a null key (an unfiled group) is a key like any other."""
+    return reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
+
+
+def positions(
+    df: DataFrame, group: list[str], blocks: list[str], order: list[str], rank: str = "rank",
+    within: tuple[int, int] | None = None,
+) -> DataFrame:
+    """1-based position of every row in its group, as a long.
 
     ``blocks`` are columns that follow ``order`` (say file name, then ``page_block(page)``).
-    Only counts per block are windowed over the group; rows are ranked inside their block.
+    Only counts per block are windowed over the group; rows are ranked inside their block. With
+    ``within`` (after, last) only positions after < p <= last are wanted, and rows of other blocks
+    are left out before they are ranked.
     """
     sizes = df.groupBy(*group, *blocks).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group, *blocks, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    )
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    if within:
+        offsets = offsets.filter((F.col("_before") < within[1]) & (F.col("_before") + F.col("_rows") > within[0]))
     inside = Window.partitionBy(*group, *blocks).orderBy(*order)
-    return (
-        df.join(offsets, [*group, *blocks])
+    ranked = (
+        df.alias("l").join(offsets.alias("r"), _same([*group, *blocks])).select("l.*", "r._before")
         .withColumn(rank, (F.col("_before") + F.row_number().over(inside)).cast("long"))
         .drop("_before")
     )
+    return ranked.filter((F.col(rank) > within[0]) & (F.col(rank) <= within[1])) if within else ranked
 
 
 def running_total(
-    df: DataFrame, group: list[str], order: list[str], value: str, name: str,
-    max_group: int = PLAIN_GROUP_ROWS, bound: DataFrame | None = None,
+    df: DataFrame, group: list[str], levels: dict[str, Column], order: list[str], value: str, name: str
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of each group (``order`` must be unique in it).
 
-    The largest group is measured first, in ``bound`` where a cheaper table is known to hold at
-    least the rows of every group. When it is moderate, one window does. Otherwise rows
-    are range-partitioned by group and order, so a hot group spans many slices; the slices are
-    written to the shared checkpoint folder (their bounds are then fixed, whatever is
-    recomputed later), and each row gets its slice's offset plus its running sum inside it.
+    ``levels`` are bucket expressions from coarse to fine that follow ``order`` (hour, then
+    second of the first order column). Totals are windowed level by level, each window over the
+    buckets of one parent; rows are summed only inside their finest bucket. Nothing is measured
+    and no action runs.
     """
-    largest = (df if bound is None else bound).groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    before = lambda *keys: (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    if largest <= max_group:
-        return df.withColumn(name, F.coalesce(F.sum(value).over(before(*group)), F.lit(0)))
-
-    checkpoint_dir(df.sparkSession)
-    sliced = (
-        df.repartitionByRange(*[F.col(c) for c in [*group, *order]])
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
-    totals = sliced.groupBy(*group, "_slice").agg(F.sum(value).alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
-    )
-    # Null-safe on the group: an unfiled group (null key) is a group like any other.
-    left, right = sliced.alias("l"), offsets.alias("r")
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_slice"]],
-    )
+    names = list(levels)
+    rows = df.withColumns(levels)
+    totals = rows.groupBy(*group, *names).agg(F.sum(value).alias("_total"))
+    offsets = totals.withColumn("_before", F.lit(0))
+    for depth in range(len(names)):
+        parent, own = [*group, *names[:depth]], [*group, *names[: depth + 1]]
+        sums = totals.groupBy(*own).agg(F.sum("_total").alias("_sum"))
+        earlier = Window.partitionBy(*parent).orderBy(names[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        offsets = (
+            offsets.alias("l").join(ahead.alias("r"), _same(own)).select("l.*", "r._ahead")
+            .withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_ahead")
+        )
+    inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        left.join(right, same)
-        .select("l.*", "r._before")
-        .withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(before(*group, "_slice")), F.lit(0)))
-        .drop("_before", "_slice")
+        rows.alias("l").join(offsets.alias("r"), _same([*group, *names])).select("l.*", "r._before")
+        .withColumn(name, (F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
+        .drop("_before", *names)
     )

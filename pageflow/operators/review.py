@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageflow import rules
-from pageflow.operators.ranking import GROUP_LIMIT, first_k, page_block, positions
+from pageflow.operators.ranking import first_k, page_block, positions
 
 KEYS = ["job_id", "filename", "page"]
 FILE = ["job_id", "filename"]
@@ -27,8 +27,9 @@ def parse_reviewed(jobs: DataFrame) -> DataFrame:
         keys.filter(F.col("key").rlike(shape))
         .select(
             "job_id", F.regexp_extract("key", shape, 1).alias("filename"),
-            F.regexp_extract("key", shape, 2).cast("int").alias("page"),
+            F.regexp_extract("key", shape, 2).try_cast("int").alias("page"),
         )
+        .filter(F.col("page").isNotNull())
         .distinct()
     )
 
@@ -104,17 +105,12 @@ def clamp_limit(limit: int) -> int:
 def page_window(selected: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     """Rows offset+1 .. offset+limit of every job by file and page, as ``position``.
 
-    Near windows use a first-k window. Far ones rank only the page blocks around the window,
-    placed by counts per block.
+    Counts per block of pages place the blocks; only those that reach into the window are ranked.
     """
     limit, offset = clamp_limit(limit), max(0, offset)
-    last = offset + limit
-    if last <= GROUP_LIMIT:
-        near = first_k(selected, ["job_id"], ["filename", "page"], last, "position")
-        return near.filter(F.col("position") > offset)
     blocked = selected.withColumn("_block", page_block(F.col("page")))
-    ranked = positions(blocked, ["job_id"], ["filename", "_block"], ["page"], "position")
-    return ranked.filter((F.col("position") > offset) & (F.col("position") <= last)).drop("_block")
+    window = (offset, offset + limit)
+    return positions(blocked, ["job_id"], ["filename", "_block"], ["page"], "position", window).drop("_block")
 
 
 def goto_page(selected: DataFrame, number: int, limit: int = 20, file: str | None = None, offset: int = 0) -> DataFrame:
@@ -159,7 +155,9 @@ def _lookup(col: Column, table: dict, other) -> Column:
 
 def _flagged(results: DataFrame) -> DataFrame:
     reason = F.when(F.coalesce("reason", F.lit("")) == "", "unknown").otherwise(F.col("reason"))
-    return results.filter("needs_review").withColumn("reason", reason)
+    return results.filter("needs_review").withColumns(
+        {"reason": reason, "angle": F.coalesce("angle", F.lit(0))}
+    )
 
 
 def review_groups(results: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -210,9 +208,7 @@ def approve(reviewed: DataFrame, keys: DataFrame) -> DataFrame:
 
 def group_pages(results: DataFrame, reason: str, angle: int) -> DataFrame:
     """Flagged pages of one pattern, in every job given."""
-    return results.filter(
-        F.col("needs_review") & (F.col("reason") == reason) & (F.coalesce("angle", F.lit(0)) == angle)
-    )
+    return _flagged(results).filter((F.col("reason") == reason) & (F.col("angle") == angle))
 
 
 def turn_pages(rotations: DataFrame, targets: DataFrame, by: int) -> DataFrame:
@@ -251,12 +247,14 @@ def group_action(
 
 
 def deskew_candidates(results: DataFrame, output_pages: DataFrame, reason: str = "skewed", angle: int = 0) -> DataFrame:
-    """Pages of a pattern worth straightening, with their place in the last-page-first order."""
+    """Pages of a pattern worth straightening; ``position`` is their place in the file, last page first."""
     tilted = group_pages(results, reason, angle).filter(
         F.abs(F.coalesce("skew", F.lit(0.0))) >= rules.DESKEW_MIN_DEGREES
     )
     existing = tilted.join(output_pages.select(*KEYS), KEYS, "left_semi")
-    return existing.select(*KEYS, "skew").orderBy("job_id", "filename", F.desc("page"))
+    blocked = existing.withColumns({"_block": -page_block(F.col("page")), "_last_first": -F.col("page")})
+    placed = positions(blocked, FILE, ["_block"], ["_last_first"], "position")
+    return placed.select(*KEYS, "skew", "position")
 
 
 def bulk_action(
@@ -289,12 +287,14 @@ def bulk_action(
     return after, rotations, decision_summary(pages, after)
 
 
-def override(rotations: DataFrame, edits: DataFrame) -> DataFrame:
-    """Manual turns per page add up; ``edits`` may hold many per page."""
+def override(rotations: DataFrame, reviewed: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manual turns: (rotations, reviewed) afterwards. ``edits`` may hold many turns of a page; they
+    add up, and every edited page is signed off."""
     sums = edits.groupBy(*KEYS).agg(F.sum("rotation").alias("_by"))
-    return rotations.join(sums, KEYS, "left").withColumn(
+    turned = rotations.join(sums, KEYS, "left").withColumn(
         "rotation", F.pmod(F.col("rotation") + F.coalesce("_by", F.lit(0)), F.lit(360))
     ).drop("_by")
+    return turned, approve(reviewed, edits)
 
 
 def validate_decisions(requests: DataFrame) -> DataFrame:

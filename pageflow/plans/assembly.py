@@ -28,13 +28,6 @@ fx.SQL["fx_complete"] = """
 
 # ---- sources and sinks -----------------------------------------------------------------
 
-@query("S01_scan_files")
-def _(t):
-    """The given data folder itself is what is listed."""
-    found = files.scan_files(t.spark, t.sf_dir, ".PARQUET")
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
-
-
 @query("S02_expand_pages", """
     SELECT file_id, filename, CAST(unnest(generate_series(0, pages - 1)) AS INT) AS page
     FROM fx_library_files WHERE pages > 0""")
@@ -70,22 +63,29 @@ def _(t):
     return files.dedupe_names(fx.upload_manifest(t))
 
 
+def _scratch(t, name: str) -> str:
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("S05_read_page_results", f"""
-    SELECT sha1(filename)[1:20] AS file_key, page, angle, method, reason, s90, skew, word_count FROM fx_results
-    WHERE method <> 'error'""")
+    SELECT sha1(filename)[1:20] AS file_key, page, angle, method, reason, s90, skew, word_count FROM fx_results""")
 def _(t):
-    """Page documents as stored, those of failed pages damaged, read back with the schema."""
+    """Page documents written as stored, beside each a damaged one and one named by no page number."""
     r = fx.results(t)
     detail = F.struct(
         F.create_map(F.lit("90"), F.col("s90")).alias("scores"), "needs_review", "reason", "skew",
         "ink_ratio", "word_count",
     )
     doc = F.to_json(F.struct("angle", "method", detail.alias("details"), F.array().cast(o.TEXT_LAYER).alias("text")))
-    stored = r.select(
-        F.concat(F.lit("file:/store/s/results/pages/"), file_key(F.col("filename")), F.lit("/"),
-                 F.col("page").cast("string"), F.lit(".json")).alias("path"),
-        F.when(F.col("method") == "error", F.lit('{"angle": 9')).otherwise(doc).alias("value"),
+    where = F.concat(F.lit("file:/store/s/results/pages/"), file_key(F.col("filename")), F.lit("/"))
+    copies = F.array(
+        F.struct(F.concat(where, F.col("page").cast("string"), F.lit(".json")).alias("path"), doc.alias("value")),
+        F.struct(F.concat(where, F.col("page").cast("string"), F.lit(".json")).alias("path"), F.lit('{"angle": 9').alias("value")),
+        F.struct(F.concat(where, F.lit("99999999999.json")).alias("path"), doc.alias("value")),
     )
+    path = _scratch(t, "page-documents")
+    r.select(F.explode(copies).alias("d")).select("d.*").write.parquet(path)
+    stored = t.spark.read.schema("path string, value string").parquet(path)
     return res.parse_page_results(stored).select(
         "file_key", "page", "angle", "method", "details.reason",
         F.col("details.scores")["90"].alias("s90"), "details.skew", "details.word_count",
@@ -93,16 +93,16 @@ def _(t):
 
 
 @query("S06_read_file_summaries", f"""
-    SELECT r.job_id, r.filename, r.page, r.angle AS rotation, r.method, r.reason, r.needs_review
-    FROM fx_results r JOIN fx_complete c ON r.job_id = c.job_id AND r.filename = c.filename
-    WHERE r.filename <> 'f2.pdf' AND r.page < c.pages""")
+    SELECT r.filename, r.page, r.angle AS rotation, r.method, r.reason, r.needs_review, r.word_count
+    FROM fx_results r JOIN fx_complete c ON r.job_id = c.job_id AND r.filename = c.filename WHERE r.page < c.pages""")
 def _(t):
+    """Summaries written as JSON lines with damaged lines between them, read back by the reader."""
     summaries = j.assemble_files(fx.job_files(t), fx.results(t))
-    text = F.when(F.col("filename") == "f2.pdf", F.lit("not json")).otherwise(
-        F.to_json(F.struct("filename", "page_rotations", "page_details"))
-    )
-    rows = res.parse_file_summaries(summaries.select("job_id", text.alias("value")), ["job_id"])
-    return rows.select("job_id", "filename", "page", "rotation", "method", "reason", "needs_review")
+    whole = F.to_json(F.struct("filename", "page_rotations", "page_details"))
+    path = _scratch(t, "summaries")
+    summaries.select(F.explode(F.array(whole, F.lit("not json"), F.substring(whole, 1, 40))).alias("value")).write.text(path)
+    rows = res.read_file_summaries(t.spark, path, glob="*.txt", lines=True)
+    return rows.select("filename", "page", "rotation", "method", "reason", "needs_review", "word_count")
 
 
 @query("S07_file_key", "SELECT doc_id, sha1(text)[1:20] AS file_key FROM documents")
@@ -113,7 +113,7 @@ def _(t):
 @query("S08_write_page_results", f"SELECT {_PAGE}, angle, method, reason FROM fx_results")
 def _(t):
     """Write, then read back from the shared scratch folder."""
-    path = f"{checkpoint_dir(t.spark)}/page-results-{uuid.uuid4().hex}"
+    path = _scratch(t, "page-results")
     res.write_page_results(fx.results(t), path)
     return res.read_stored_results(t.spark, path).select(*KEYS, "angle", "method", "reason")
 
@@ -198,14 +198,26 @@ def _(t):
 
 @query("F04_assemble_files", """
     SELECT r.job_id, r.filename, CAST(0 AS BIGINT) AS block, CAST(count(*) AS INT) AS pages,
-           string_agg(CAST(r.page AS VARCHAR) || ':' || CAST(r.angle AS VARCHAR) || ':' || r.method, ',' ORDER BY r.page) AS rotations
+           string_agg(concat_ws(':', page, angle, method, CAST(needs_review AS VARCHAR), coalesce(reason, '-'), coalesce(CAST(CAST(skew AS DECIMAL(9, 1)) AS VARCHAR), '-'),
+               coalesce(CAST(CAST(ink_ratio AS DECIMAL(9, 5)) AS VARCHAR), '-'), coalesce(CAST(word_count AS VARCHAR), '-'),
+               CASE WHEN method = 'universal_recognizer' THEN concat_ws('/', CAST(floor(s0 * 10 + 0.5 + 1e-9) AS BIGINT), CAST(floor(s90 * 10 + 0.5 + 1e-9) AS BIGINT),
+                   CAST(floor(s180 * 10 + 0.5 + 1e-9) AS BIGINT), CAST(floor(s270 * 10 + 0.5 + 1e-9) AS BIGINT)) ELSE '' END), ',' ORDER BY r.page) AS details
     FROM fx_results r JOIN fx_complete c ON r.job_id = c.job_id AND r.filename = c.filename AND r.page < c.pages
     GROUP BY r.job_id, r.filename""")
 def _(t):
-    entry = lambda e: F.concat_ws(":", e["key"], e["value"]["angle"].cast("string"), e["value"]["method"])
+    number = lambda x, kind: F.coalesce(x.cast(kind).cast("string"), F.lit("-"))
+
+    def entry(e):
+        d = e["value"]
+        return F.concat_ws(
+            ":", e["key"], d["angle"].cast("string"), d["method"], d["needs_review"].cast("string"), F.coalesce(d["reason"], F.lit("-")),
+            number(d["skew"], "decimal(9,1)"), number(d["ink_ratio"], "decimal(9,5)"), number(d["word_count"], "int"),
+            F.array_join(F.transform(F.map_values(d["scores"]), lambda s: F.round(s * 10).cast("long").cast("string")), "/"),
+        )
+
     return j.assemble_files(fx.job_files(t), fx.results(t)).select(
         *FILE, "block", F.size("page_rotations").alias("pages"),
-        F.array_join(F.transform(F.map_entries("page_details"), entry), ",").alias("rotations"),
+        F.array_join(F.transform(F.map_entries("page_details"), entry), ",").alias("details"),
     )
 
 
@@ -255,6 +267,8 @@ def _(t):
                 WHEN sealed THEN CASE job_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE status END
                 WHEN total_pages > 15 AND session_id IS NOT NULL THEN 'SUCCESS'
                 ELSE CASE job_id % 7 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE status END END AS new_status,
+           CASE WHEN status = 'PROCESSING' AND CASE WHEN sealed THEN job_id % 5 < 2 WHEN total_pages > 15 AND session_id IS NOT NULL THEN true ELSE job_id % 7 < 2 END
+                THEN TIMESTAMP '2030-01-01 00:00:00' ELSE completed_at END AS completed_at,
            CASE WHEN status <> 'PROCESSING' THEN NULL
                 WHEN sealed THEN CASE WHEN job_id % 5 = 1 THEN 'live error' END
                 WHEN total_pages > 15 AND session_id IS NOT NULL THEN NULL
@@ -274,7 +288,8 @@ def _(t):
         F.when(key % 7 == 0, "SUCCESS").when(key % 7 == 1, "FAILED").otherwise("PENDING").alias("legacy_status"),
         F.lit("legacy error").alias("legacy_error"),
     )
-    return j.refresh_status(jobs, live, disk, legacy).select("job_id", "new_status", "new_error")
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    return j.refresh_status(jobs, live, disk, legacy, now).select("job_id", "new_status", "new_error", "completed_at")
 
 
 @query("F09_fail_missing", """

@@ -193,14 +193,17 @@ fx.SQL["fx_documents"] = """
            CASE WHEN part = min(part) OVER (PARTITION BY job_id, filename) THEN '# ' || filename || chr(10) ELSE '' END || sections AS body
     FROM (SELECT job_id, filename, CAST(page // 256 AS BIGINT) AS part,
                  string_agg(chr(10) || '## Page ' || CAST(page + 1 AS VARCHAR) || chr(10) || chr(10)
-                     || CASE WHEN markdown <> '' AND page % 41 <> 20 THEN markdown ELSE '_No text recognised on this page._' END, chr(10) ORDER BY page) AS sections
-          FROM fx_markdown GROUP BY 1, 2, 3) q"""
+                     || CASE WHEN markdown <> '' THEN markdown ELSE '_No text recognised on this page._' END, chr(10) ORDER BY page) AS sections
+          FROM (SELECT job_id, filename, page, markdown FROM fx_markdown
+                UNION ALL SELECT job_id, filename, max(page) + 1, '' FROM fx_markdown GROUP BY job_id, filename) m GROUP BY 1, 2, 3) q"""
 
 
 def _documents(t):
-    """Pages without tilt have no text layer at all."""
-    pages = fx.page_layout(t)
-    return lay.document_markdown(pages.select(*KEYS), lay.page_markdown(pages.filter(F.col("skew") != 0)))
+    """The page list knows one more page of every file, without any text layer."""
+    layout = fx.page_layout(t)
+    listed = layout.select(*KEYS)
+    blank = listed.groupBy(*KEYS[:2]).agg((F.max("page") + 1).cast("int").alias("page"))
+    return lay.document_markdown(listed.unionByName(blank), lay.page_markdown(layout))
 
 
 @query("T14_document_markdown", "SELECT * FROM fx_documents", recursive=True)

@@ -210,12 +210,14 @@ def _(t):
     )
 
 
-@query("L15_merge_plan_sliced", _MERGE)
+@query("L15_merged_files", f"""
+    SELECT m.folder_id, d.user_id, m.merged_name AS filename, '/store/' || m.merged_name AS file_path,
+           CAST(sum(f.pages) AS BIGINT) AS pages, count(*) AS sources
+    FROM ({_MERGE}) m JOIN fx_folders d ON m.folder_id = d.folder_id JOIN fx_library_files f ON m.file_id = f.file_id
+    GROUP BY m.folder_id, d.user_id, m.merged_name""")
 def _(t):
-    """The same with every folder treated as too large for one window."""
-    return lib.merge_plan(fx.file_table(t), fx.folders(t), fx.inventory(t), max_group=0).select(
-        "file_id", "folder_id", "merged_name", "start_page"
-    )
+    plan = lib.merge_plan(fx.file_table(t), fx.folders(t), fx.inventory(t))
+    return lib.merged_files(plan, fx.folders(t)).select("folder_id", "user_id", "filename", "file_path", "pages", "sources")
 
 
 @query("L16_dashboard", """
@@ -246,17 +248,17 @@ fx.SQL["fx_preview"] = """
 
 
 @query("L18_history", """
-    SELECT l.user_id, l.job_id, l.status, coalesce(turned, 0) AS pages_rotated, coalesce(kept, 0) AS pages_unchanged,
-           d.name AS folder_name, coalesce(p.result_files, 0) AS result_files,
-           coalesce(array_to_string(three, ', ') || CASE WHEN p.result_files > 3 THEN ' +' || CAST(p.result_files - 3 AS VARCHAR) || ' more' ELSE '' END,
-                    CAST(coalesce(total_files, 0) AS VARCHAR) || ' file' || CASE WHEN total_files = 1 THEN '' ELSE 's' END || ' - '
-                    || CAST(total_pages AS VARCHAR) || ' page' || CASE WHEN total_pages = 1 THEN '' ELSE 's' END) AS preview
-    FROM fx_latest l LEFT JOIN fx_breakdown b ON l.job_id = b.job_id AND l.status = 'SUCCESS'
+    SELECT l.user_id, l.job_id, l.status, l.completed_at, l.error_message, coalesce(turned, 0) AS pages_rotated,
+           coalesce(kept, 0) AS pages_unchanged, d.name AS folder_name, coalesce(p.result_files, 0) AS result_files, n.filename
+    FROM (SELECT x.*, j.completed_at, j.error_message FROM fx_latest x JOIN fx_jobs j ON x.job_id = j.job_id) l
+    LEFT JOIN fx_breakdown b ON l.job_id = b.job_id AND l.status = 'SUCCESS'
     LEFT JOIN fx_preview p ON l.job_id = p.job_id AND l.status = 'SUCCESS'
+    LEFT JOIN (SELECT DISTINCT job_id, filename FROM fx_results) n ON l.job_id = n.job_id AND l.status = 'SUCCESS'
     LEFT JOIN fx_folders d ON l.folder_id = d.folder_id WHERE recency <= 20""")
 def _(t):
     return lib.history(fx.job_table(t), fx.folders(t), fx.results(t)).select(
-        "user_id", "job_id", "status", "pages_rotated", "pages_unchanged", "folder_name", "result_files", "preview"
+        "user_id", "job_id", "status", "completed_at", "error_message", "pages_rotated", "pages_unchanged",
+        "folder_name", "result_files", "filename",
     )
 
 

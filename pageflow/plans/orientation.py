@@ -157,6 +157,8 @@ _FLAG = "CASE WHEN error IS NOT NULL THEN 'error' WHEN declared THEN NULL WHEN i
            CAST(CASE WHEN error IS NOT NULL THEN 0 WHEN declared THEN meta_rotation ELSE decided END AS INT) AS angle,
            CASE WHEN error IS NOT NULL THEN 'error' WHEN declared THEN 'metadata' ELSE 'universal_recognizer' END AS method,
            CASE WHEN error IS NULL AND NOT declared THEN floor(s0 * 10 + 0.5 + 1e-9) / 10 END AS score_0,
+           CASE WHEN error IS NULL AND NOT declared THEN floor(s90 * 10 + 0.5 + 1e-9) / 10 END AS score_90,
+           CASE WHEN error IS NULL AND NOT declared THEN floor(s180 * 10 + 0.5 + 1e-9) / 10 END AS score_180,
            CASE WHEN error IS NULL AND NOT declared THEN floor(s270 * 10 + 0.5 + 1e-9) / 10 END AS score_270,
            {_FLAG} IS NOT NULL AS needs_review, {_FLAG} AS reason,
            CASE WHEN error IS NULL AND NOT declared THEN tilt END AS skew,
@@ -177,7 +179,7 @@ _FLAG = "CASE WHEN error IS NOT NULL THEN 'error' WHEN declared THEN NULL WHEN i
 def _(t):
     return o.analyze_orientation(fx.page_ocr(t)).select(
         *KEYS, "angle", "method",
-        F.col("scores")["0"].alias("score_0"), F.col("scores")["270"].alias("score_270"),
+        *[F.col("scores")[a].alias(f"score_{a}") for a in ("0", "90", "180", "270")],
         "needs_review", "reason", "skew", "ink_ratio", "word_count", F.size("text").alias("text_lines"),
     )
 

@@ -185,12 +185,12 @@ fx.SQL["fx_ledger"] = """
     FROM fx_ledger l JOIN fx_arrivals a ON a.file_id = l.file_id AND a.arrival = l.arrival + 1"""
 
 
-@query("P11_upload_ledger", "SELECT l.file_id, count(*) AS chunks, count(*) FILTER (accepted) AS accepted, max(received) AS received FROM fx_ledger l GROUP BY l.file_id", recursive=True)
+@query("P11_upload_ledger", """
+    SELECT l.file_id, a."offset", a.length, accepted, received, received >= a.size AS complete
+    FROM fx_ledger l JOIN fx_arrivals a ON l.file_id = a.file_id AND l.arrival = a.arrival""", recursive=True)
 def _(t):
-    ledger = p.upload_ledger(fx.upload_chunks(t), _ARRIVAL)
-    return ledger.groupBy("file_id").agg(
-        F.count("*").alias("chunks"), F.count_if("accepted").alias("accepted"), F.max("received").alias("received")
-    )
+    """Every chunk's verdict."""
+    return p.upload_ledger(fx.upload_chunks(t), _ARRIVAL).select("file_id", "offset", "length", "accepted", "received", "complete")
 
 
 @query("P12_upload_speed", """
@@ -220,7 +220,9 @@ def _items(t):
 
 @query("P13_upload_order", """
     SELECT upload_id, ord, status, CAST(CASE status WHEN 'failed' THEN 0 WHEN 'invalid' THEN 1 WHEN 'retrying' THEN 2
-        WHEN 'uploading' THEN 3 WHEN 'queued' THEN 4 ELSE 5 END AS INT) AS status_rank FROM fx_items""")
+        WHEN 'uploading' THEN 3 WHEN 'queued' THEN 4 ELSE 5 END AS INT) AS status_rank,
+        row_number() OVER (PARTITION BY upload_id ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'invalid' THEN 1 WHEN 'retrying' THEN 2
+        WHEN 'uploading' THEN 3 WHEN 'queued' THEN 4 ELSE 5 END, ord) AS position FROM fx_items""")
 def _(t):
     return p.upload_order(_items(t))
 

@@ -53,12 +53,14 @@ fx.SQL["fx_output_pages"] = """
 
 
 def _packed(t):
-    r = v.pack_reviewed(fx.reviewed(t))
-    broken = F.when(F.col("filename") == "f2.pdf", F.lit("[broken")).otherwise(F.col("reviewed_pages"))
-    return r.withColumn("reviewed_pages", broken)
+    """Every list, and beside each a damaged copy and one with a key that is no page number."""
+    lists = v.pack_reviewed(fx.reviewed(t)).select("job_id", "reviewed_pages")
+    broken = lists.select("job_id", F.concat(F.lit("["), "reviewed_pages").alias("reviewed_pages"))
+    long_key = lists.select("job_id", F.lit('["a.pdf::99999999999", "b.pdf"]').alias("reviewed_pages"))
+    return lists.unionByName(broken).unionByName(long_key)
 
 
-@query("V01_parse_reviewed", f"SELECT {_PAGE} FROM fx_reviewed WHERE filename <> 'f2.pdf'")
+@query("V01_parse_reviewed", f"SELECT {_PAGE} FROM fx_reviewed")
 def _(t):
     return v.parse_reviewed(_packed(t))
 
@@ -88,7 +90,7 @@ def _(t):
 
 @query("V06_page_window", f"""
     SELECT {_PAGE}, position FROM (
-        SELECT {_PAGE}, CAST(row_number() OVER (PARTITION BY job_id ORDER BY filename, page) AS INT) AS position
+        SELECT {_PAGE}, row_number() OVER (PARTITION BY job_id ORDER BY filename, page) AS position
         FROM fx_results WHERE needs_review) q WHERE position > 2 AND position <= 5""")
 def _(t):
     flagged = fx.results(t).filter("needs_review")
@@ -100,7 +102,7 @@ def _(t):
         SELECT CAST(0 AS BIGINT) AS job_id, filename, page, row_number() OVER (ORDER BY filename, page) AS position FROM (
             SELECT filename, CAST(job_id * 10 + page AS INT) AS page FROM fx_results) r) q WHERE position > 3000 AND position <= 3100""")
 def _(t):
-    """All pages as one job, a window beyond the first thousand: the block-ranking path."""
+    """All pages as one job, a window beyond the first thousand."""
     one = fx.results(t).select(
         F.lit(0).cast("long").alias("job_id"), "filename", (F.col("job_id") * 10 + F.col("page")).cast("int").alias("page")
     )
@@ -162,8 +164,28 @@ def _(t):
     return rotations.withColumn("rotation", F.col("rotation").cast("int"))
 
 
+@query("V11_group_accept", """
+    SELECT t.job_id, pages, files, reviewed FROM (
+        SELECT job_id, count(*) AS pages, count(DISTINCT filename) AS files FROM fx_results
+        WHERE needs_review AND reason = 'close_to_zero' AND angle = 0 GROUP BY job_id) t
+    JOIN (SELECT job_id, count(*) AS reviewed FROM (
+        SELECT job_id, filename, page FROM fx_reviewed UNION
+        SELECT job_id, filename, page FROM fx_results WHERE needs_review AND reason = 'close_to_zero' AND angle = 0) u GROUP BY job_id) r
+    ON t.job_id = r.job_id""")
+def _(t):
+    _, _, summary = v.group_action(fx.results(t), fx.reviewed(t), _output_pages(t), "close_to_zero", 0, "accept")
+    return summary
+
+
+@query("V11_group_deskew", f"""
+    SELECT {_PAGE} FROM fx_reviewed UNION SELECT {_PAGE} FROM fx_results WHERE needs_review AND reason = 'skewed' AND angle = 0""")
+def _(t):
+    after, _, _ = v.group_action(fx.results(t), fx.reviewed(t), _output_pages(t), "skewed", 0, "deskew")
+    return after
+
+
 @query("V12_deskew_candidates", f"""
-    SELECT a.job_id, a.filename, a.page, skew FROM fx_results a JOIN fx_output_pages b ON {_ON}
+    SELECT a.job_id, a.filename, a.page, skew, row_number() OVER (PARTITION BY a.job_id, a.filename ORDER BY a.page DESC) AS position FROM fx_results a JOIN fx_output_pages b ON {_ON}
     WHERE needs_review AND reason = 'skewed' AND angle = 0 AND abs(skew) >= 0.1""")
 def _(t):
     return v.deskew_candidates(fx.results(t), _output_pages(t))
@@ -193,6 +215,23 @@ def _(t):
     return rotations.withColumn("rotation", F.col("rotation").cast("int"))
 
 
+@query("V13_bulk_accept_job", f"""
+    SELECT {_PAGE} FROM fx_reviewed UNION SELECT {_PAGE} FROM fx_results""")
+def _(t):
+    """The whole-job form: every page of every file."""
+    after, _, _ = v.bulk_action(fx.results(t), fx.reviewed(t), _output_pages(t), "accept_all")
+    return after
+
+
+@query("V13_bulk_rotate_job", """
+    SELECT o.job_id, o.filename, o.page,
+           CAST(CASE WHEN EXISTS (SELECT 1 FROM fx_results r WHERE r.job_id = o.job_id AND r.filename = o.filename)
+                THEN (rotation + 90) % 360 ELSE rotation END AS INT) AS rotation FROM fx_output_pages o""")
+def _(t):
+    _, rotations, _ = v.bulk_action(fx.results(t), fx.reviewed(t), _output_pages(t), "rotate_all", 90)
+    return rotations.withColumn("rotation", F.col("rotation").cast("int"))
+
+
 @query("V14_approve", f"""
     SELECT {_PAGE} FROM fx_reviewed UNION SELECT {_PAGE} FROM fx_results WHERE method = 'error'""")
 def _(t):
@@ -207,7 +246,14 @@ def _(t):
     edits = fx.page_events(t).select(
         *KEYS, (90 * (F.col("word_count") % 6) - 180).alias("rotation")
     )
-    return v.override(_output_pages(t), edits).select(*KEYS, F.col("rotation").cast("int").alias("rotation"))
+    turned, _ = v.override(_output_pages(t), fx.reviewed(t), edits)
+    return turned.select(*KEYS, F.col("rotation").cast("int").alias("rotation"))
+
+
+@query("V15_override_reviewed", f"SELECT {_PAGE} FROM fx_reviewed UNION SELECT {_PAGE} FROM fx_page_events WHERE word_count > 150")
+def _(t):
+    edits = fx.page_events(t).filter("word_count > 150").select(*KEYS, F.lit(90).alias("rotation"))
+    return v.override(_output_pages(t), fx.reviewed(t), edits)[1]
 
 
 @query("V16_next_file", """

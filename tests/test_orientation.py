@@ -169,7 +169,7 @@ def test_extractor_errors_become_rows_and_init_runs_per_worker(spark):
         return {"width": 1, "height": 1, "ink_ratio": 0.5, "meta_rotation": 0, "lines": []}
 
     pages = spark.createDataFrame([(1, "a", i) for i in range(3)], "job_id long, filename string, page int")
-    rows = {r.page: r.error for r in extract.analyze_pages(pages, extractor, init, "test-model").collect()}
+    rows = {r.page: r.error for r in extract.analyze_pages(pages, extractor, init).collect()}
     assert rows == {0: None, 1: "bad page", 2: None}
 
 
@@ -184,7 +184,16 @@ def test_init_runs_once_per_worker_process(spark, tmp_path):
         return None
 
     pages = spark.createDataFrame([(1, "a", i) for i in range(40)], "job_id long, filename string, page int")
+    analyzed = extract.analyze_pages(pages, lambda m, p: {"lines": []}, init, partitions=16)
     for _ in range(2):
-        extract.analyze_pages(pages, lambda m, p: {"lines": []}, init, "once", partitions=16).count()
+        analyzed.count()
     pids = open(log).read().split()
     assert pids and len(pids) == len(set(pids))
+
+
+def test_each_call_has_its_own_model(spark):
+    pages = spark.createDataFrame([(1, "a", i) for i in range(8)], "job_id long, filename string, page int")
+    seen = lambda model, page: {"width": model, "lines": []}
+    for value in (3, 4):
+        got = extract.analyze_pages(pages, seen, lambda value=value: value).select("width").distinct().collect()
+        assert [r.width for r in got] == [value]

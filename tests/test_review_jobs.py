@@ -3,8 +3,9 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from pageflow import session
 from pageflow.functions.text import base_name, format_bytes, format_duration
 from pageflow.operators import jobs as j, library as lib, ranking, review as v
 from pageflow.sources import files as src, results as res
@@ -67,10 +68,88 @@ def test_first_k_ships_few_rows_of_a_hot_group(spark):
     assert plan.index("Exchange hashpartitioning") < plan.index(", Partial")
 
 
-def test_running_total_slices_equal_plain_window(spark):
-    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
-    plain = rows(ranking.running_total(df, ["g"], ["o"], "n", "s"), "g", "o", "s")
-    assert rows(ranking.running_total(df, ["g"], ["o"], "n", "s", max_group=10), "g", "o", "s") == plain
+def test_running_total_by_levels_equals_plain_window(spark):
+    group = F.when(F.col("id") % 3 > 0, F.col("id") % 3)  # a null group is one too
+    df = spark.range(5000).select(group.alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
+    levels = {"coarse": F.floor(F.col("o") / 500), "fine": F.floor(F.col("o") / 20)}
+    before = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("s", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    got = ranking.running_total(df, ["g"], levels, ["o"], "n", "s")
+    key = lambda r: (r.g or 0, r.o, r.s)
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+
+
+def test_page_window_near_and_far_are_alike(spark):
+    pages = spark.range(6000).select(
+        (F.col("id") % 2).alias("job_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("f"), F.col("id") % 3)).alias("filename"),
+        F.col("id").cast("int").alias("page"))
+    every = pages.withColumn("position", F.row_number().over(Window.partitionBy("job_id").orderBy("filename", "page")))
+    for offset in (0, 950, 2950):
+        got = v.page_window(pages, offset, 100)
+        want = every.filter((F.col("position") > offset) & (F.col("position") <= offset + 100))
+        assert dict(got.dtypes)["position"] == "bigint"
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_no_job_runs_while_windows_and_totals_are_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    df = spark.range(10).select(F.lit(1).alias("job_id"), F.lit("a").alias("filename"), F.col("id").cast("int").alias("page"))
+    v.page_window(df, 5000, 10)
+    ranking.running_total(df, ["job_id"], {"_b": F.col("page")}, ["page"], "page", "s")
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_expand_pages_crosses_blocks_and_complete_files_counts_pages_once(spark):
+    files = spark.createDataFrame([(1, "a", 9000), (1, "b", 0), (1, "c", 2), (1, "d", 5000)], "job_id long, filename string, pages int")
+    pages = j.expand_pages(files)
+    assert pages.groupBy("filename").agg(F.count("*"), F.min("page"), F.max("page"), F.count_distinct("page")).orderBy("filename").collect() == [
+        ("a", 9000, 0, 8999, 9000), ("c", 2, 0, 1, 2), ("d", 5000, 0, 4999, 5000)]
+    keys = pages.select("job_id", "filename", "page")
+    # c has a repeated page and one beyond its end instead of page 1; d has all and one beyond.
+    odd = spark.createDataFrame([(1, "c", 0), (1, "c", 7), (1, "d", 5000), (1, "d", -1)], "job_id long, filename string, page int")
+    results = keys.filter("filename <> 'c' or page = 0").unionByName(odd)
+    assert [r.filename for r in j.complete_files(files, results).orderBy("filename").collect()] == ["a", "d"]
+
+
+def test_bad_page_keys_are_no_pages(spark):
+    jobs = spark.createDataFrame([(1, '["a::1", "a::99999999999", "b"]'), (2, "[broken"), (3, None)], "job_id long, reviewed_pages string")
+    assert [(r.filename, r.page) for r in v.parse_reviewed(jobs).collect()] == [("a", 1)]
+    doc = '{"angle": 90, "method": "m"}'
+    key = "0" * 20
+    docs = spark.createDataFrame([(f"x/results/pages/{key}/3.json", doc), (f"x/results/pages/{key}/99999999999.json", doc)], "path string, value string")
+    assert [r.page for r in res.parse_page_results(docs).collect()] == [3]
+    summary = '{"filename": "a", "page_rotations": {"1": 0, "99999999999": 0}, "page_details": {"1": {}, "99999999999": {}}}'
+    assert [r.page for r in res.parse_file_summaries(spark.createDataFrame([(summary,)], "value string")).collect()] == [1]
+
+
+def test_a_missing_angle_is_zero_in_groups_and_actions(spark):
+    r = results(spark, [(1, "a", 0, None, True, "blank", 0.0, "u"), (1, "a", 1, 0, True, "blank", 0.0, "u")])
+    none = spark.createDataFrame([], "job_id long, filename string, page int")
+    assert [(g.angle, g.pages) for g in v.review_groups(r, none).collect()] == [(0, 2)]
+    assert v.group_pages(r, "blank", 0).count() == 2
+
+
+def test_repeats_in_inventory_and_moves_do_not_double_rows(spark):
+    files = spark.createDataFrame([(1, "/p", 0)], "file_id long, file_path string, pages int")
+    twice = spark.createDataFrame([("/p",), ("/p",)], "path string")
+    assert j.fail_missing(files, twice).count() == 1
+    jobs = spark.createDataFrame([(1, 5, "s1", None)], "job_id long, user_id long, session_id string, folder_id long")
+    held = spark.createDataFrame([(7, "/store/s1/output/a.pdf", None)], "file_id long, file_path string, folder_id long")
+    folders = spark.createDataFrame([(3, 5)], "folder_id long, user_id long")
+    moves = spark.createDataFrame([(1, 5, 3), (1, 5, None)], "job_id long, user_id long, target long")
+    moved, moved_files = lib.move_jobs(jobs, held, folders, moves)
+    assert [x.folder_id for x in moved.collect()] == [3] and [x.folder_id for x in moved_files.collect()] == [3]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(
+            lambda: type("X", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)})())})())})()})()
+
+    with pytest.raises(ValueError, match="share"):
+        session.checkpoint_dir(Cluster())
 
 
 def test_group_and_bulk_actions(spark):
@@ -98,7 +177,7 @@ def test_group_and_bulk_actions(spark):
 def test_deskew_needs_a_measurable_tilt(spark):
     r = results(spark, [(1, "a", p, 0, True, "skewed", s, "u") for p, s in enumerate([0.09, 0.1, -3.0, None])])
     pages = r.select("job_id", "filename", "page")
-    assert [x.page for x in v.deskew_candidates(r, pages).collect()] == [2, 1]
+    assert [x.page for x in v.deskew_candidates(r, pages).orderBy("position").collect()] == [2, 1]
 
 
 def test_job_outcomes(spark):
