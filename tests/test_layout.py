@@ -1,4 +1,4 @@
-"""Row, column and Markdown folds against a plain-Python model; part texts joined are the whole text."""
+"""Hand-made pages and properties of the row, column and Markdown folds; parts joined are the whole text."""
 
 import random
 
@@ -24,72 +24,41 @@ def random_page(rng, page, n):
     return (1, "a.pdf", page, rng.choice([0, 0, 90, 180, 270]), 612.0, 792.0, lines)
 
 
-class Model:
-    """The layout rules, stated over lists."""
-
-    def __init__(self, row):
-        _, _, _, rotation, w, h, lines = row
-        turn = {
-            0: lambda x, y: (x, y), 90: lambda x, y: (h - y, x),
-            180: lambda x, y: (w - x, h - y), 270: lambda x, y: (y, w - x),
-        }[rotation]
-        self.width = h if rotation in (90, 270) else w
-        cells = []
-        for ord_, text, x0, y0, x1, y1, size in lines:
-            if text.strip():
-                (ax, ay), (bx, by) = turn(x0, y0), turn(x1, y1)
-                cells.append((min(ax, bx), min(ay, by), max(ay, by), text.strip(), size, ord_))
-        self.cells = sorted(cells, key=lambda c: (round(c[1], 1), c[0], c[5]))
-
-    def rows(self):
-        rows = []
-        for cell in self.cells:
-            middle = (cell[1] + cell[2]) / 2
-            if rows:
-                middles = [(c[1] + c[2]) / 2 for c in rows[-1]]
-                if abs(middle - sum(middles) / len(middles)) <= max(cell[2] - cell[1], 1) * 0.6:
-                    rows[-1].append(cell)
-                    continue
-            rows.append([cell])
-        return [sorted(r, key=lambda c: c[0]) for r in rows]
-
-    def columns(self, rows):
-        starts = []
-        for x in sorted(c[0] for r in rows for c in r):
-            if not starts or x - starts[-1] > self.width * 0.04:
-                starts.append(x)
-        return starts
-
-    def markdown(self):
-        esc = lambda s: s.replace("|", "\\|")
-        joined = lambda row: " ".join(esc(c[3]) for c in row)
-        sizes = sorted(c[4] for c in self.cells if c[4] > 0)
-        body = sizes[len(sizes) // 2] if sizes else 0
-        blocks = []
-        for row in self.rows():
-            if len(row) >= 3 and blocks and blocks[-1][0]:
-                blocks[-1][1].append(row)
-            else:
-                blocks.append((len(row) >= 3, [row]))
-        out = []
-        for wide, rows in blocks:
-            if wide and len(rows) > 1:
-                cols = self.columns(rows)
-                table = []
-                for row in rows:
-                    texts = [[] for _ in cols]
-                    for c in row:
-                        nearest = min(range(len(cols)), key=lambda i: (abs(cols[i] - c[0]), i))
-                        texts[nearest].append(esc(c[3]))
-                    table.append("| " + " | ".join(" ".join(t) for t in texts) + " |")
-                out.append("\n".join([table[0], "| " + " | ".join(["---"] * len(cols)) + " |", *table[1:]]))
-            elif wide:
-                out.append(joined(rows[0]))
-            else:
-                big = max(c[4] for c in rows[0])
-                mark = "# " if body and big >= body * 1.5 else "## " if body and big >= body * 1.25 else ""
-                out.append(mark + joined(rows[0]))
-        return "\n\n".join(out).strip()
+def line(i, text, x0, y0, size=10.0, height=None):
+    return (i, text, float(x0), float(y0), float(x0) + 40, float(y0) + (height or size), size)
+
+
+def page(number, lines, rotation=0):
+    return (1, "a.pdf", number, rotation, 600.0, 800.0, lines)
+
+
+# Pages written out by hand: (lines, expected Markdown). The page is 600 wide, so columns are
+# told apart beyond 24.
+HAND_MADE = [
+    ([], ""),
+    ([line(0, "  ", 10, 10), line(1, "\u00a0", 10, 30)], ""),
+    ([line(0, "one", 10, 10), line(1, "two", 60, 12), line(2, "below", 10, 40)], "one two\n\nbelow"),
+    # Reading order inside a row is by x, whatever the input order.
+    ([line(0, "right", 300, 10), line(1, "left", 10, 11)], "left right"),
+    # Headings: 1.25 and 1.5 times the body size, exactly on the border; a bar is escaped.
+    ([line(0, "Top", 10, 10, 15.0), line(1, "Part", 10, 60, 12.5), line(2, "a|b", 10, 110), line(3, "c", 10, 140),
+      line(4, "d", 10, 170)], "# Top\n\n## Part\n\na\\|b\n\nc\n\nd"),
+    # Two rows of three cells are a table; x 100 and 124 are one column, 125 would be another.
+    ([line(0, "A", 0, 10), line(1, "B", 100, 10), line(2, "C", 300, 10),
+      line(3, "d", 0, 40), line(4, "e", 124, 40), line(5, "f", 300, 40)],
+     "| A | B | C |\n| --- | --- | --- |\n| d | e | f |"),
+    ([line(0, "A", 0, 10), line(1, "B", 100, 10), line(2, "C", 300, 10),
+      line(3, "d", 0, 40), line(4, "e", 125, 40), line(5, "f", 300, 40)],
+     "| A | B |  | C |\n| --- | --- | --- | --- |\n| d |  | e | f |"),
+    # A single wide row is a paragraph.
+    ([line(0, "A", 0, 10), line(1, "B", 100, 10), line(2, "C", 300, 10)], "A B C"),
+    # Halfway between two columns goes left; two texts of one cell are joined.
+    ([line(0, "A", 0, 10), line(1, "B", 30, 10), line(2, "C", 60, 10), line(3, "x", 0, 40), line(4, "y", 15, 40), line(5, "z", 60, 40)],
+     "| A | B | C |\n| --- | --- | --- |\n| x y |  | z |"),
+    # A paragraph between tables ends the first one.
+    ([line(0, "A", 0, 10), line(1, "B", 100, 10), line(2, "C", 300, 10), line(3, "d", 0, 40), line(4, "e", 100, 40), line(5, "f", 300, 40),
+      line(6, "text", 0, 80)], "| A | B | C |\n| --- | --- | --- |\n| d | e | f |\n\ntext"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -98,20 +67,34 @@ def pages():
     return [random_page(rng, p, rng.randrange(0, 40)) for p in range(60)]
 
 
-def test_markdown_equals_model(spark, pages):
-    got = {r.page: r.markdown for r in lay.page_markdown(spark.createDataFrame(pages, LAYOUT)).collect()}
-    want = {p[2]: Model(p).markdown() for p in pages}
-    assert got == want
-    assert sum("| --- |" in m for m in want.values()) > 5
+def test_hand_made_pages(spark):
+    df = spark.createDataFrame([page(i, lines) for i, (lines, _) in enumerate(HAND_MADE)], LAYOUT)
+    got = {r.page: r.markdown for r in lay.page_markdown(df).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(HAND_MADE)}
 
 
-def test_rows_and_columns_equal_model(spark, pages):
+@pytest.mark.parametrize("rotation", [90, 180, 270])
+def test_a_turned_page_reads_like_the_upright_one(spark, rotation):
+    lines, text = HAND_MADE[5]
+    # Where the reader sees (x, y) of an upright 600 x 800 page, stored on a page turned by ``rotation``.
+    place = {90: lambda x, y: (y, 600 - x), 180: lambda x, y: (600 - x, 800 - y), 270: lambda x, y: (800 - y, x)}[rotation]
+    w, h = (600.0, 800.0) if rotation == 180 else (800.0, 600.0)
+    turned = [(i, t, *place(x0, y0), *place(x1, y1), size) for i, t, x0, y0, x1, y1, size in lines]
+    df = spark.createDataFrame([(1, "a.pdf", 0, rotation, w, h, turned)], LAYOUT)
+    assert lay.page_markdown(df).first().markdown == text
+
+
+def test_rows_and_columns_keep_their_promises(spark, pages):
     df = lay.group_rows(lay.display_lines(spark.createDataFrame(pages, LAYOUT)))
-    cols = df.withColumn("cols", lay.columns_of(F.col("rows"), F.col("display_w"))).collect()
-    for r in cols:
-        m = Model(pages[r.page])
-        assert [[c.text for c in row] for row in r.rows] == [[c[3] for c in row] for row in m.rows()]
-        assert r.cols == m.columns(m.rows())
+    for r in df.withColumn("cols", lay.columns_of(F.col("rows"), F.col("display_w"))).collect():
+        texts = sorted(c.text for row in r.rows for c in row)
+        assert texts == sorted(t.strip() for _, t, *_ in pages[r.page][6] if t.strip())  # every line once
+        assert all(row == sorted(row, key=lambda c: c.x0) for row in r.rows)
+        tops = [min(c.y0 for c in row) for row in r.rows]
+        assert tops == sorted(tops)
+        assert all(b - a > 0.04 * r.display_w for a, b in zip(r.cols, r.cols[1:]))
+        starts = {c.x0 for row in r.rows for c in row}
+        assert set(r.cols) <= starts and all(any(0 <= x - c <= 0.04 * r.display_w for c in r.cols) for x in starts)
 
 
 def test_long_lines_give_the_same_markdown(spark, pages):
@@ -165,8 +148,8 @@ def test_md_escape(spark):
 
 
 def test_body_size_is_upper_median(spark):
-    line = lambda i, size: (i, "x", 0.0, 20.0 * i, 5.0, 20.0 * i + 5, size)
-    df = spark.createDataFrame([(1, "a", 0, 0, 612.0, 792.0, [line(0, 0.0), line(1, 10.0), line(2, 14.0)])], LAYOUT)
+    sized = [line(0, "x", 0, 0, 0.0, 5), line(1, "x", 0, 20, 10.0), line(2, "x", 0, 40, 14.0)]
+    df = spark.createDataFrame([page(0, sized)], LAYOUT)
     assert lay.display_lines(df).select(lay.body_size(F.col("cells"))).first()[0] == 14.0
 
 
