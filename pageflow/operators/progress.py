@@ -57,7 +57,7 @@ def file_snapshot(files: DataFrame, done: DataFrame, status: DataFrame) -> DataF
         )
         .otherwise("queued")
     )
-    return shown.select(*FILE, "pages", "completed_pages", label.alias("label"))
+    return shown.select(*FILE, "pages", "completed_pages", "status", label.alias("label"))
 
 
 def job_snapshot(file_rows: DataFrame) -> DataFrame:
@@ -129,6 +129,18 @@ def stale_keys(events: DataFrame, now: Column, days: int = rules.STATE_TTL_DAYS)
     return last.filter(seconds_between(F.col("last_ts"), now) > days * 86400)
 
 
+def live_snapshot(jobs: DataFrame, totals: DataFrame, rates: DataFrame, now: Column) -> DataFrame:
+    """The whole live answer of every job at ``now``: ``jobs(job_id, status, sealed, error, created)``
+    with :func:`job_snapshot` totals, seconds since creation, pages a second and seconds left."""
+    counts = ["total_files", "completed_files", "total_pages", "completed_pages"]
+    joined = jobs.join(totals, "job_id", "left").join(rates, "job_id", "left").fillna(0, [*counts, "rate"])
+    return eta(joined).select(
+        "job_id", F.coalesce("status", F.lit("PROCESSING")).alias("status"), F.coalesce("sealed", F.lit(False)).alias("sealed"),
+        "error", *counts, F.round(seconds_between(F.col("created"), now), 1).alias("elapsed_seconds"),
+        F.round("rate", 3).alias("pages_per_second"), "eta_seconds",
+    )
+
+
 # ---- uploads ---------------------------------------------------------------------------
 
 LEDGER_FIELDS = [
@@ -146,29 +158,42 @@ def next_ledger_state(received: int, offset: int, length: int, size: int) -> tup
     return fits, received + length if fits else received
 
 
+def with_chunk_numbers(chunks: DataFrame) -> DataFrame:
+    """Adds ``chunk_offset, chunk_length, chunk_size`` without nulls: a chunk that lacks a number starts nowhere."""
+    known = F.col("offset").isNotNull() & F.col("length").isNotNull() & F.col("size").isNotNull()
+    return chunks.withColumns(
+        {"chunk_offset": F.when(known, F.col("offset")).otherwise(-1), "chunk_length": F.coalesce("length", F.lit(0)),
+         "chunk_size": F.coalesce("size", F.lit(0))}
+    )
+
+
 def upload_ledger(chunks: DataFrame, arrival: list[str]) -> DataFrame:
     """Every chunk in arrival order with its verdict and where to resume.
 
     A chunk counts when it starts where the file ends, fits the declared size and the 16 MB
     limit; repeats after completion are harmless. Each verdict depends on the previous one, so a
     file's chunks run in order through one task, but as a stream: the state is one number and
-    nothing is collected.
+    nothing is collected. A chunk without file, offset, length or size is refused and changes
+    nothing; chunks without file are one file's.
     """
-    ordered = chunks.repartition("file_id").sortWithinPartitions("file_id", *arrival)
+    ordered = with_chunk_numbers(chunks).repartition("file_id").sortWithinPartitions("file_id", *arrival)
     schema = T.StructType([*chunks.schema.fields, *LEDGER_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, received = None, 0
         for batch in batches:
             accepted, after = [], []
-            for file_id, offset, length, size in zip(batch["file_id"], batch["offset"], batch["length"], batch["size"]):
-                if file_id != current:
+            for file_id, offset, length, size in zip(batch["file_id"], batch["chunk_offset"], batch["chunk_length"], batch["chunk_size"]):
+                if file_id != current and not (pd.isna(file_id) and pd.isna(current)):
                     current, received = file_id, 0
+                if pd.isna(file_id):
+                    offset = -1
                 ok, received = next_ledger_state(received, offset, length, size)
                 accepted.append(ok)
                 after.append(received)
-            yield batch.assign(
-                accepted=accepted, received=after, complete=[r >= s for r, s in zip(after, batch["size"])]
+            complete = [r >= s for r, s in zip(after, batch["chunk_size"])]
+            yield batch.drop(columns=["chunk_offset", "chunk_length", "chunk_size"]).assign(
+                accepted=accepted, received=after, complete=complete
             )
 
     return ordered.mapInPandas(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pageflow import fixtures as fx
 from pageflow.operators import progress as p
@@ -67,7 +67,26 @@ def _(t):
 
 @query("P04_file_snapshot", "SELECT job_id, filename, pages, completed_pages, label FROM fx_file_snapshot")
 def _(t):
-    return _file_snapshot(t)
+    return _file_snapshot(t).drop("status")
+
+
+@query("P04_live_snapshot", """
+    SELECT m.job_id, CASE WHEN m.job_id % 3 = 0 THEN 'FAILED' ELSE 'PROCESSING' END AS status, sealed,
+           CASE WHEN m.job_id % 3 = 0 THEN 'stopped' END AS error, total_files, completed_files, total_pages, completed_pages,
+           round(CAST(epoch_us(TIMESTAMP '2024-06-01 00:00:00') - created AS DOUBLE) / 1000000, 1) AS elapsed_seconds,
+           round(coalesce(rate, 0), 3) AS pages_per_second,
+           CASE WHEN r.rate > 0 AND total_pages > completed_pages THEN CAST(round_even((total_pages - completed_pages) / r.rate, 0) AS BIGINT)
+                WHEN total_pages > 0 AND total_pages = completed_pages THEN 0 END AS eta_seconds
+    FROM (SELECT job_id, min(epoch_us(ts)) AS created, count(*) FILTER (kind = 'sealed') > 0 AS sealed FROM fx_progress GROUP BY job_id) m
+    JOIN fx_job_snapshot s ON m.job_id = s.job_id LEFT JOIN fx_page_rate r ON m.job_id = r.job_id""")
+def _(t):
+    events = fx.progress_events(t)
+    stopped = F.col("job_id") % 3 == 0
+    jobs = events.groupBy("job_id").agg(
+        F.min("ts").cast("timestamp").alias("created"), (F.count_if(F.col("kind") == "sealed") > 0).alias("sealed")
+    ).withColumns({"status": F.when(stopped, "FAILED"), "error": F.when(stopped, "stopped")})
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return p.live_snapshot(jobs, p.job_snapshot(_file_snapshot(t)), p.page_rate(events), now)
 
 
 @query("P04_job_snapshot", "SELECT * FROM fx_job_snapshot")
@@ -119,18 +138,53 @@ def _scratch(t) -> str:
     return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _in_batches(t, rows, order, number: int = 3):
+    """``rows`` stored in ``number`` steps by the running number ``order`` and read as a stream, one step a
+    micro-batch."""
+    spark, path = live.stream_session(t.spark), _scratch(t)
+    for step in range(number):
+        rows.filter(F.pmod(F.floor(order), F.lit(number)) == step).coalesce(1).write.mode("append").parquet(path)
+    return live.read_events(spark, path, rows.schema, "*.parquet", 1)
+
+
+@query("P01_dedupe_events_stream", "SELECT DISTINCT job_id, kind, filename, page FROM fx_progress")
+def _(t):
+    """Copies of an event come in different micro-batches."""
+    events = fx.progress_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = events.unionByName(events.withColumn("event_id", F.col("event_id") + 1))
+    seen = live.replay(live.dedupe_events(_in_batches(t, twice, F.col("event_id")), "3650 days"), _scratch(t))
+    return seen.select("job_id", "kind", "filename", "page")
+
+
+@query("P02_file_progress_stream", "SELECT * FROM fx_done")
+def _(t):
+    events = fx.progress_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = live.file_progress(live.dedupe_events_forever(_in_batches(t, events, F.col("event_id"))))
+    runs = live.replay(counted, _scratch(t), "update")
+    return runs.groupBy(*FILE).agg(F.max("done").alias("done"))
+
+
+@query("P11_upload_ledger_stream", "SELECT file_id, arrival, accepted, received FROM fx_ledger", recursive=True)
+def _(t):
+    order = Window.partitionBy("file_id").orderBy(*_ARRIVAL)
+    chunks = fx.upload_chunks(t).withColumn("arrival", F.row_number().over(order).cast("long"))
+    # Arrivals 1-2, 3-4 and the rest are three micro-batches.
+    step = F.least(F.floor((F.col("arrival") - 1) / 2), F.lit(2))
+    stream = _in_batches(t, chunks.select("file_id", "arrival", "offset", "length", "size"), step)
+    return live.replay(live.upload_ledger(stream), _scratch(t))
+
+
 @query("P08_job_completion", """
-    SELECT job_id, CASE WHEN done = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS outcome,
-           CASE WHEN files = 0 THEN 'No files were uploaded.' WHEN done = 0 THEN 'None of the files could be processed.' END AS error,
+    SELECT s.job_id, CASE WHEN coalesce(done, 0) = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS outcome,
+           CASE WHEN coalesce(files, 0) = 0 THEN 'No files were uploaded.' WHEN done = 0 THEN 'None of the files could be processed.' END AS error,
            false AS auto_sealed
-    FROM (SELECT e.job_id, count(DISTINCT filename) AS files, count(DISTINCT filename) FILTER (status = 'done') AS done FROM (
-        SELECT s.job_id, u.filename, arg_max(u.status, (u.ts, u.event_id)) AS status
-        FROM (SELECT job_id, min((ts, event_id)) AS first_seal FROM fx_progress WHERE kind = 'sealed' GROUP BY job_id) s
-        LEFT JOIN (SELECT * FROM fx_updates WHERE status <> 'processing') u ON u.job_id = s.job_id AND (u.ts, u.event_id) < s.first_seal
-        GROUP BY s.job_id, u.filename) e GROUP BY e.job_id) q""")
+    FROM (SELECT DISTINCT job_id FROM fx_progress WHERE kind = 'sealed') s
+    LEFT JOIN (SELECT job_id, count(*) AS files, count(*) FILTER (status = 'done') AS done FROM (
+        SELECT job_id, filename, arg_max(status, (ts, event_id)) AS status FROM fx_updates WHERE status <> 'processing' GROUP BY job_id, filename) e
+        GROUP BY job_id) q ON s.job_id = q.job_id""")
 def _(t):
-    """Replay: a file counts from its first status, so a job completes at its first seal."""
-    return live.replay(live.job_completion(_live_events(t)), _scratch(t), timers=True)
+    """Replay in one micro-batch: a file counts from its first status."""
+    return live.replay(live.job_completion(_live_events(t)), _scratch(t))
 
 
 @query("P03_sticky_status_stream", "SELECT * FROM fx_sticky")
@@ -138,7 +192,7 @@ def _(t):
     events = _live_events(t).filter(F.col("kind") != "sealed")
     updates = events.withColumn("status", F.coalesce("status", F.lit("processing")))
     changes = live.replay(live.sticky_status(updates), _scratch(t))
-    last = changes.groupBy(*FILE).agg(F.max(F.struct("ts", "status"))["status"].alias("status"))
+    last = changes.groupBy(*FILE).agg(F.max(F.struct("ts", "event_id", "status"))["status"].alias("status"))
     return last
 
 

@@ -1,8 +1,8 @@
 """Structured Streaming: dedupe, progress, sticky status, completion, idle sealing, ledger.
 
-State is keyed as finely as the rule allows. Page events are reduced to per-file status changes
-first (key: job and file), so the per-job operator sees a few rows per file and a job with most
-of the traffic does not concentrate it on one state partition.
+State is keyed as finely as the rule allows. Ahead of the exchange to the per-job operator, each
+Arrow batch is reduced to the last update of every file and one activity row a job, so a job
+with most of the traffic sends about as many rows as it has files.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pageflow import rules
-from pageflow.operators.progress import FILE, PAGE_EVENT, TERMINAL, next_ledger_state
+from pageflow.operators.progress import FILE, PAGE_EVENT, TERMINAL, next_ledger_state, with_chunk_numbers
 from pageflow.session import tune
 
 TTL_MS = rules.STATE_TTL_DAYS * 86_400_000
@@ -31,12 +31,16 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+def read_events(
+    spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each page or file event once. State is kept for ``delay``; copies further apart pass."""
+def dedupe_events(events: DataFrame, delay: str = f"{rules.STATE_TTL_DAYS} days") -> DataFrame:
+    """Each page or file event once. Keys are remembered for ``delay``, by default as long as all
+    live state; only an event more than that behind the newest one is too late."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(PAGE_EVENT)
 
 
@@ -58,6 +62,7 @@ STATUS_CHANGE = T.StructType(
         T.StructField("filename", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("ts", T.TimestampType()),
+        T.StructField("event_id", T.LongType()),
     ]
 )
 
@@ -95,7 +100,7 @@ class StickyStatus(StatefulProcessor):
                 candidate = (status in TERMINAL, int(us), int(event_id), status)
                 best = candidate if best is None or candidate > best else best
         self.best.update(best)
-        changes = [] if best[3] == before else [(int(key[0]), key[1], best[3], pd.Timestamp(best[1], unit="us"))]
+        changes = [] if best[3] == before else [(int(key[0]), key[1], best[3], pd.Timestamp(best[1], unit="us"), best[2])]
         yield pd.DataFrame(changes, columns=STATUS_CHANGE.fieldNames())
 
     def close(self) -> None:
@@ -129,8 +134,12 @@ class JobCompletion(StatefulProcessor):
     """Key job: announces the outcome once, when the job is sealed and every file has settled.
 
     Kinds: ``file_added``, ``status`` (with ``status``), ``sealed``, ``cancelled``; others only show
-    activity. A job idle for more than 30 minutes of event time is sealed with what it has. After
-    a cancellation, or the announcement, everything is ignored; seven idle days later the state goes.
+    activity. State is three counters (files, unsettled, failed), the flags, and per file the
+    update that counts: the greatest (terminal, time, id), so neither a late event nor the order
+    inside a micro-batch matters, and a row costs one lookup whatever the number of files. The
+    outcome is read from the counters after each micro-batch. A job without events for
+    ``idle_seconds`` of wall clock is sealed with what it has. After a cancellation or the
+    announcement everything is ignored; seven idle days later the state goes.
     """
 
     def __init__(self, idle_seconds: int = rules.IDLE_SECONDS):
@@ -138,74 +147,67 @@ class JobCompletion(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        flags = T.StructType(
-            [T.StructField(n, T.BooleanType()) for n in ("sealed", "auto", "closed")]
-            + [T.StructField("last_ms", T.LongType())]
-        )
-        name = T.StructType([T.StructField("filename", T.StringType())])
-        value = T.StructType([T.StructField("status", T.StringType())])
-        self.flags = handle.getValueState("flags", flags)
-        self.files = handle.getMapState("files", name, value)
-
-    def _outcome(self) -> tuple[str, str | None] | None:
-        statuses = [v[0] for v in self.files.values()]
-        if not statuses:
-            return "FAILED", rules.NO_FILES_ERROR
-        if any(s not in TERMINAL for s in statuses):
-            return None
-        if all(s == "failed" for s in statuses):
-            return "FAILED", rules.ALL_FAILED_ERROR
-        return "SUCCESS", None
-
-    def _announce(self, key, auto: bool) -> pd.DataFrame | None:
-        outcome = self._outcome()
-        if outcome is None:
-            return None
-        self.files.clear()
-        return pd.DataFrame([(int(key[0]), *outcome, auto)], columns=COMPLETION.fieldNames())
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.flags.get()
-        sealed, auto, closed, last_ms = known if known else (False, False, False, 0)
-        batch = pd.concat(rows, ignore_index=True).sort_values(["ts", "event_id"])
-        announced = None
-        for kind, filename, status, ts in zip(batch["kind"], batch["filename"], batch["status"], batch["ts"]):
-            if closed:
-                break
-            last_ms = max(last_ms, int(pd.Timestamp(ts).timestamp() * 1000))
-            if kind == "cancelled":
-                closed = True
-                self.files.clear()
-            elif kind == "sealed":
-                sealed = True
-            elif kind == "file_added":
-                if not self.files.containsKey((filename,)):
-                    self.files.updateValue((filename,), ("queued",))
-            elif kind == "status":
-                held = self.files.getValue((filename,)) if self.files.containsKey((filename,)) else None
-                if not (held and held[0] in TERMINAL and status not in TERMINAL):
-                    self.files.updateValue((filename,), (status,))
-            if sealed and not closed:
-                announced = self._announce(key, auto)
-                closed = announced is not None
-        self.flags.update((sealed, auto, closed, last_ms))
+        job = [T.StructField(n, T.BooleanType()) for n in ("sealed", "auto", "closed")]
+        job += [T.StructField(n, T.LongType()) for n in ("files", "unsettled", "failed")]
+        update = [T.StructField("terminal", T.BooleanType()), T.StructField("us", T.LongType()),
+                  T.StructField("event_id", T.LongType()), T.StructField("status", T.StringType())]
+        self.job = handle.getValueState("job", T.StructType(job))
+        self.files = handle.getMapState("files", T.StructType([T.StructField("filename", T.StringType())]), T.StructType(update))
+
+    def _count(self, filename: str, update: tuple, counts: list[int]) -> None:
+        """One file update: ``counts`` are files, unsettled, failed."""
+        held = tuple(self.files.getValue((filename,))) if self.files.containsKey((filename,)) else None
+        if held is not None and update <= held:
+            return
+        if held is None:
+            counts[0] += 1
+        else:
+            counts[1] -= not held[0]
+            counts[2] -= held[3] == "failed"
+        counts[1] += not update[0]
+        counts[2] += update[3] == "failed"
+        self.files.updateValue((filename,), update)
+
+    def _settle(self, key, sealed: bool, auto: bool, closed: bool, counts: list[int], now_ms: int) -> pd.DataFrame:
+        """Stores the job's state, sets its one timer and announces what is final."""
+        files, unsettled, failed = counts
+        rows = []
+        if sealed and not closed and not unsettled:
+            error = None if failed < files else rules.ALL_FAILED_ERROR if files else rules.NO_FILES_ERROR
+            rows.append((int(key[0]), "FAILED" if error else "SUCCESS", error, auto))
+            closed = True
+        if closed:
+            self.files.clear()
+        self.job.update((sealed, auto, closed, files, unsettled, failed))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        open_ended = not sealed and not closed
-        self.handle.registerTimer(last_ms + (self.idle_ms if open_ended else TTL_MS))
-        yield announced if announced is not None else pd.DataFrame(columns=COMPLETION.fieldNames())
+        self.handle.registerTimer(now_ms + (TTL_MS if sealed or closed else self.idle_ms))
+        return pd.DataFrame(rows, columns=COMPLETION.fieldNames())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sealed, auto, closed, *counts = tuple(self.job.get() or (False, False, False, 0, 0, 0))
+        for batch in rows:
+            for kind, filename, status, us, event_id in zip(
+                batch["kind"], batch["filename"], batch["status"], batch["us"], batch["event_id"]
+            ):
+                if closed or kind == "cancelled":
+                    closed = True
+                elif kind == "sealed":
+                    sealed = True
+                elif kind == "status":
+                    self._count(filename, (status in TERMINAL, int(us), int(event_id), status), counts)
+                elif kind == "file_added":
+                    self._count(filename, (False, -1, -1, "queued"), counts)
+        yield self._settle(key, sealed, auto, closed, counts, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.flags.get()
-        announced = None
-        if known and not known[0] and not known[2]:
-            announced = self._announce(key, True)
-            self.flags.update((True, True, announced is not None, known[3]))
-            self.handle.registerTimer(known[3] + TTL_MS)
-        elif known:
-            self.flags.clear()
+        sealed, _, closed, *counts = tuple(self.job.get() or (False, False, True, 0, 0, 0))
+        if sealed or closed:
+            self.job.clear()
             self.files.clear()
-        yield announced if announced is not None else pd.DataFrame(columns=COMPLETION.fieldNames())
+            yield pd.DataFrame(columns=COMPLETION.fieldNames())
+        else:
+            yield self._settle(key, True, True, False, counts, timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
         pass
@@ -215,27 +217,32 @@ JOB_KINDS = ("file_added", "status", "sealed", "cancelled")
 
 
 def job_signals(events: DataFrame) -> DataFrame:
-    """What the per-job operator needs: file and job events whole, page events as one activity row
-    per job and Arrow batch. Cuts a hot job's traffic before the exchange."""
+    """What the per-job operator needs, reduced per Arrow batch ahead of the exchange: the update
+    that counts of every file, one row for each other decisive kind, one activity row per job. A
+    hot job's traffic shrinks to about its files."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            decisive = batch["kind"].isin(JOB_KINDS)
-            pings = batch[~decisive].sort_values("ts").groupby("job_id", sort=False).tail(1)
-            yield pd.concat([batch[decisive], pings.assign(kind="activity")])
-
-    columns = events.select("job_id", "kind", "filename", "status", "ts", "event_id")
+            batch = batch.assign(kind=batch["kind"].where(batch["kind"].isin(JOB_KINDS), "activity"))
+            terminal = batch["status"].isin(TERMINAL)
+            order = batch.assign(_terminal=terminal).sort_values(["_terminal", "us", "event_id"]).drop(columns="_terminal")
+            per_file = order["kind"].isin(("file_added", "status"))
+            files = order[per_file].groupby(["job_id", "kind", "filename"], sort=False, dropna=False).tail(1)
+            others = order[~per_file].groupby(["job_id", "kind"], sort=False, dropna=False).tail(1)
+            yield pd.concat([files, others])
+
+    columns = events.select("job_id", "kind", "filename", "status", F.unix_micros("ts").alias("us"), "event_id")
     return columns.mapInPandas(reduce, columns.schema)
 
 
-def job_completion(events: DataFrame, delay: str = "10 minutes", idle_seconds: int = rules.IDLE_SECONDS) -> DataFrame:
-    """Completions from ``events(job_id, kind, filename, status, ts, event_id)``, append mode."""
-    return (
-        job_signals(events).withWatermark("ts", delay).groupBy("job_id")
-        .transformWithStateInPandas(
-            statefulProcessor=JobCompletion(idle_seconds), outputStructType=COMPLETION,
-            outputMode="append", timeMode="EventTime",
-        )
+def job_completion(events: DataFrame, idle_seconds: int = rules.IDLE_SECONDS) -> DataFrame:
+    """Completions from ``events(job_id, kind, filename, status, ts, event_id)``, append mode.
+
+    No event is too late: there is no watermark, and idleness is wall clock.
+    """
+    return job_signals(events).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobCompletion(idle_seconds), outputStructType=COMPLETION,
+        outputMode="append", timeMode="ProcessingTime",
     )
 
 
@@ -296,9 +303,10 @@ class UploadLedger(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.received.get()
         received = known[0] if known else 0
-        batch = pd.concat(rows, ignore_index=True).sort_values("arrival")
+        # Four numbers a chunk of one micro-batch and file: the rule needs them in arrival order.
+        chunks = sorted(c for batch in rows for c in zip(batch["arrival"], batch["chunk_offset"], batch["chunk_length"], batch["chunk_size"]))
         out = []
-        for arrival, offset, length, size in zip(batch["arrival"], batch["offset"], batch["length"], batch["size"]):
+        for arrival, offset, length, size in chunks:
             ok, received = next_ledger_state(received, int(offset), int(length), int(size))
             out.append((int(key[0]), int(arrival), ok, received))
         self.received.update((received,))
@@ -310,22 +318,21 @@ class UploadLedger(StatefulProcessor):
 
 def upload_ledger(chunks: DataFrame) -> DataFrame:
     """Verdicts for ``chunks(file_id, arrival, offset, length, size)`` as they arrive."""
-    return chunks.groupBy("file_id").transformWithStateInPandas(
+    return with_chunk_numbers(chunks.filter("file_id is not null")).groupBy("file_id").transformWithStateInPandas(
         statefulProcessor=UploadLedger(), outputStructType=LEDGER, outputMode="append", timeMode="ProcessingTime"
     )
 
 
 # ---- running a stream over what is stored ----------------------------------------------
 
-def replay(stream: DataFrame, path: str, mode: str = "append", timers: bool = False) -> DataFrame:
+def replay(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run the stream over everything available into parquet below ``path`` and read it back.
 
-    Update-mode streams are stored batch by batch with their ``batch_id``. Only event-time
-    timers need an empty batch at the end; state with a processing-time TTL would ask for
-    another one for ever.
+    Update-mode streams are stored batch by batch with their ``batch_id``. Empty batches are
+    off: state with a processing-time TTL would ask for another one for ever.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(timers).lower())
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     out, state = f"{path}/out", f"{path}/state"
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":

@@ -60,6 +60,11 @@ def test_snapshot_labels(spark):
     done = spark.createDataFrame([(1, "a", 1), (1, "b", 9), (1, "c", 2)], "job_id long, filename string, done long")
     status = spark.createDataFrame([(1, "a", "done"), (1, "b", "processing"), (1, "c", "failed")], "job_id long, filename string, status string")
     snap = p.file_snapshot(files, done, status)
+    jobs = spark.createDataFrame([(1, None, None, None, at(0)), (2, "FAILED", True, "x", at(50))], "job_id long, status string, sealed boolean, error string, created timestamp")
+    rates = spark.createDataFrame([(1, 2.0)], "job_id long, rate double")
+    shown = p.live_snapshot(jobs, p.job_snapshot(snap), rates, F.lit(at(60)))
+    assert sorted(map(tuple, shown.collect())) == [
+        (1, "PROCESSING", False, None, 4, 2, 16, 10, 60.0, 2.0, 3), (2, "FAILED", True, "x", 0, 0, 0, 0, 10.0, 0.0, None)]
     assert rows(snap, "filename", "completed_pages", "label") == [("a", 4, "done"), ("b", 4, "processing (4/4)"), ("c", 2, "failed"), ("d", 0, "queued")]
     assert tuple(p.job_snapshot(snap).first()) == (1, 4, 2, 16, 10)
 
@@ -160,11 +165,27 @@ def test_completion_is_announced_once(spark, tmp_path):
         event(22, 1, 22, "status", "b", None, "processing"), event(23, 3, 22, "status", "a", None, "done"), event(24, 3, 23, "sealed"),
         event(25, 4, 24, "sealed"), event(26, 2, 25, "sealed"),
     ]
-    # Two hours on: job 5 was idle for more than 30 minutes and is sealed with what it has.
-    third = [event(30, 1, 7200, "status", "a", None, "failed"), event(31, 6, 7200, "file_added", "z")]
-    stream, _ = stored(spark, tmp_path, [first, second, third])
-    done = live.replay(live.job_completion(stream), str(tmp_path / "c"), timers=True)
+    # The sealed job 7 still waits for a status that is reported an hour late; job 5 is never sealed.
+    third = [event(28, 7, 7200, "file_added", "a"), event(29, 7, 7201, "sealed"), event(31, 6, 7200, "file_added", "z")]
+    fourth = [event(32, 7, 3600, "status", "a", None, "done"), event(33, 1, 9000, "status", "a", None, "failed")]
+    stream, _ = stored(spark, tmp_path, [first, second, third, fourth])
+    done = live.replay(live.job_completion(stream), str(tmp_path / "c"))
     assert rows(done.fillna("-"), "job_id", "outcome", "error", "auto_sealed") == [
         (1, "SUCCESS", "-", False), (2, "FAILED", "No files were uploaded.", False),
-        (4, "FAILED", "None of the files could be processed.", False), (5, "SUCCESS", "-", True),
+        (4, "FAILED", "None of the files could be processed.", False), (7, "SUCCESS", "-", False),
     ]
+
+
+def test_idle_job_is_sealed_by_wall_clock(spark, tmp_path):
+    first = [event(1, 5, 0, "file_added", "a"), event(2, 5, 3, "status", "a", None, "done"), event(3, 6, 3, "file_added", "a")]
+    stream, _ = stored(spark, tmp_path, [first, [event(4, 8, 4, "activity")], [event(5, 8, 5, "activity")]])
+    done = live.replay(live.job_completion(stream, idle_seconds=0), str(tmp_path / "c"))
+    assert (5, "SUCCESS", True) in rows(done.filter("job_id = 5"), "job_id", "outcome", "auto_sealed")
+    assert done.filter("job_id = 6").count() == 0  # sealed, but its file has not settled
+
+
+def test_chunks_without_numbers_are_refused(spark):
+    rows_in = [(1, 0, 0, 5, 10), (1, 1, None, 5, 10), (1, 2, 5, None, 10), (1, 3, 5, 5, None), (1, 4, 5, 5, 10), (None, 0, 0, 1, 1)]
+    got = p.upload_ledger(spark.createDataFrame(rows_in, CHUNK), ["arrival"])
+    assert sorted(((r.file_id or 0, r.arrival, r.accepted, r.received) for r in got.collect())) == [
+        (0, 0, False, 0), (1, 0, True, 5), (1, 1, False, 5), (1, 2, False, 5), (1, 3, False, 5), (1, 4, True, 10)]
