@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pageflow import rules
 from pageflow.functions.text import is_pdf, plural, strip, underscored
 from pageflow.operators.jobs import job_filenames, rotated_breakdown
-from pageflow.operators.ranking import first_k, running_total
+from pageflow.operators.ranking import first_k, positions, running_total
 
 
 def session_of(path: Column, root: str = "/store") -> Column:
@@ -49,24 +49,41 @@ def folder_total(listing: DataFrame) -> DataFrame:
     return listing.groupBy("user_id").agg(F.sum("file_count").alias("files"), F.count("*").alias("folders"))
 
 
-def folder_files(files: DataFrame, folders: DataFrame, inventory: DataFrame, user: int, folder: int | None = None) -> DataFrame:
-    """Files of one (or every) folder the user owns, newest first, with availability."""
-    own = folders.filter(F.col("user_id") == user).select("folder_id")
+def newest_first(df: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Adds each row's ``position`` in its group, newest ``created_at`` first (rows without one
+    last), from counts per group and day."""
+    last = F.lit(1 << 62)
+    stamped = df.withColumns(
+        {"_day": F.coalesce(-F.floor(F.unix_seconds("created_at") / 86400), last), "_age": F.coalesce(-F.unix_micros("created_at"), last)}
+    )
+    return positions(stamped, group, ["_day"], ["_age", key], "position").drop("_day", "_age")
+
+
+def folder_files(
+    files: DataFrame, folders: DataFrame, inventory: DataFrame, user: int | None = None, folder: int | None = None
+) -> DataFrame:
+    """Files of every folder (of one owner, or one folder), placed newest first, with availability."""
+    own = folders if user is None else folders.filter(F.col("user_id") == user)
     if folder is not None:
         own, files = own.filter(F.col("folder_id") == folder), files.filter(F.col("folder_id") == folder)
-    listed = files.join(own, "folder_id", "left_semi")
-    return with_available(listed, inventory).orderBy("folder_id", F.desc("created_at"), "file_id")
+    listed = files.join(own.select("folder_id"), "folder_id", "left_semi")
+    return newest_first(with_available(listed, inventory), ["folder_id"], "file_id")
 
 
-def folder_jobs(jobs: DataFrame, user: int, folder: int | None) -> DataFrame:
-    """The user's jobs in a folder (``None``: without folder), newest first."""
-    placed = F.col("folder_id").isNull() if folder is None else F.col("folder_id") == folder
-    return jobs.filter((F.col("user_id") == user) & placed).orderBy(F.desc("created_at"), "job_id")
+def folder_jobs(jobs: DataFrame, user: int | None = None, folder: int | None = None, every: bool = False) -> DataFrame:
+    """Jobs of a folder (``None``: without folder; ``every``: each folder by itself), of one user or
+    of each user, placed newest first."""
+    own = jobs if user is None else jobs.filter(F.col("user_id") == user)
+    if not every:
+        own = own.filter(F.col("folder_id").isNull() if folder is None else F.col("folder_id") == folder)
+    return newest_first(own, ["user_id", "folder_id"], "job_id")
 
 
-def unfiled(files: DataFrame, inventory: DataFrame, user: int) -> DataFrame:
-    listed = files.filter(F.col("folder_id").isNull() & (F.col("user_id") == user))
-    return with_available(listed, inventory).orderBy(F.desc("created_at"), "file_id")
+def unfiled(files: DataFrame, inventory: DataFrame, user: int | None = None) -> DataFrame:
+    """Files without folder, of one user or of each, placed newest first."""
+    listed = files.filter(F.col("folder_id").isNull())
+    listed = listed.filter(F.col("user_id").isNotNull() if user is None else F.col("user_id") == user)
+    return newest_first(with_available(listed, inventory), ["user_id"], "file_id")
 
 
 def _with_owner(files: DataFrame, folders: DataFrame) -> DataFrame:
@@ -74,10 +91,14 @@ def _with_owner(files: DataFrame, folders: DataFrame) -> DataFrame:
     return files.join(owners, "folder_id", "left")
 
 
-def accessible_files(files: DataFrame, folders: DataFrame, user: int) -> DataFrame:
-    """Single-file rule: a filed file belongs to its folder's owner, an unfiled one to its own user."""
+def accessible_files(files: DataFrame, folders: DataFrame, user: int | None = None) -> DataFrame:
+    """Single-file rule: a filed file belongs to its folder's owner, an unfiled one to its own user.
+
+    For one user, or for all with the user in ``reader``; files nobody may read are left out.
+    """
     owner = F.when(F.col("folder_id").isNotNull(), F.col("folder_owner")).otherwise(F.col("user_id"))
-    return _with_owner(files, folders).filter(owner == user).drop("folder_owner")
+    allowed = _with_owner(files, folders).withColumn("reader", owner).drop("folder_owner")
+    return allowed.filter("reader is not null") if user is None else allowed.filter(F.col("reader") == user)
 
 
 def deletable_files(files: DataFrame, folders: DataFrame, ids: DataFrame, user: int) -> DataFrame:

@@ -33,31 +33,34 @@ def _(t):
 
 
 @query("L02_folder_files", f"""
-    SELECT f.file_id, f.folder_id, f.filename, EXISTS (SELECT 1 FROM fx_inventory i WHERE i.path = f.file_path) AS available
-    FROM fx_library_files f JOIN fx_folders d ON f.folder_id = d.folder_id WHERE d.user_id = {USER}""")
+    SELECT f.file_id, f.folder_id, f.filename, EXISTS (SELECT 1 FROM fx_inventory i WHERE i.path = f.file_path) AS available,
+           row_number() OVER (PARTITION BY f.folder_id ORDER BY f.created_at DESC, f.file_id) AS position
+    FROM fx_library_files f JOIN fx_folders d ON f.folder_id = d.folder_id""")
 def _(t):
-    return lib.folder_files(fx.file_table(t), fx.folders(t), fx.inventory(t), USER).select(
-        "file_id", "folder_id", "filename", "available"
+    return lib.folder_files(fx.file_table(t), fx.folders(t), fx.inventory(t)).select(
+        "file_id", "folder_id", "filename", "available", "position"
     )
 
 
-@query("L03_folder_jobs", f"SELECT job_id, task_id, status FROM fx_jobs WHERE user_id = {USER} AND folder_id = 7")
+@query("L03_folder_jobs", """
+    SELECT job_id, task_id, status, row_number() OVER (PARTITION BY user_id, folder_id ORDER BY created_at DESC, job_id) AS position FROM fx_jobs""")
 def _(t):
-    return lib.folder_jobs(fx.job_table(t), USER, 7).select("job_id", "task_id", "status")
+    return lib.folder_jobs(fx.job_table(t), every=True).select("job_id", "task_id", "status", "position")
 
 
 @query("L04_unfiled", f"""
-    SELECT file_id, filename, EXISTS (SELECT 1 FROM fx_inventory i WHERE i.path = f.file_path) AS available
-    FROM fx_library_files f WHERE folder_id IS NULL AND user_id = {USER}""")
+    SELECT file_id, filename, EXISTS (SELECT 1 FROM fx_inventory i WHERE i.path = f.file_path) AS available,
+           row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, file_id) AS position
+    FROM fx_library_files f WHERE folder_id IS NULL AND user_id IS NOT NULL""")
 def _(t):
-    return lib.unfiled(fx.file_table(t), fx.inventory(t), USER).select("file_id", "filename", "available")
+    return lib.unfiled(fx.file_table(t), fx.inventory(t)).select("file_id", "filename", "available", "position")
 
 
 @query("L05_accessible_files", f"""
-    SELECT file_id FROM fx_library_files f LEFT JOIN fx_folders d ON f.folder_id = d.folder_id
-    WHERE CASE WHEN f.folder_id IS NOT NULL THEN d.user_id ELSE f.user_id END = {USER}""")
+    SELECT file_id, reader FROM (SELECT file_id, CASE WHEN f.folder_id IS NOT NULL THEN d.user_id ELSE f.user_id END AS reader
+        FROM fx_library_files f LEFT JOIN fx_folders d ON f.folder_id = d.folder_id) q WHERE reader IS NOT NULL""")
 def _(t):
-    return lib.accessible_files(fx.file_table(t), fx.folders(t), USER).select("file_id")
+    return lib.accessible_files(fx.file_table(t), fx.folders(t)).select("file_id", "reader")
 
 
 fx.SQL["fx_deletable"] = f"""
