@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_FILES = 6000
-TRAIN_LINES = 2000
+TRAIN_LINES = 200
 ACCEPT = 0.7
 SLICE_CHARS = 4_000_000
 CLASSES = 9  # other, lower, upper, digit, space, sentence mark, ! or ?, bar or slash, symbol
@@ -163,8 +163,9 @@ def training_files(files: DataFrame, labels: DataFrame, sample: int = TRAIN_FILE
 def train(files: DataFrame, labels: DataFrame, sample: int = TRAIN_FILES, max_lines: int = TRAIN_LINES) -> Chain:
     """Fits the field on a bounded sample: ``sample`` files, of each its first ``max_lines``
     lines. ``labels`` has ``file_id, quality`` and only rows that may be learned from. Features
-    are made in tasks; the driver receives 8 numbers a feature and line of the sample and fits.
-    Without usable labels every line is as likely good as bad."""
+    are made in tasks; the driver receives ``WIDTH`` short floats a line (at most 220 MB with the
+    default bounds, usually a tenth) and fits. Without usable labels every line is as likely good
+    as bad."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = char_classes()
