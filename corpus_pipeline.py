@@ -29,23 +29,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     files = as_files(docs).select("file_id", "text")
     labels = as_labels(table(spark, sf_dir, "labels")).filter(~line_quality.held_out())
     chain = line_quality.train(files, labels)
-    scored = line_quality.score_files(docs, chain)
-    return scored.filter("predicted = 1").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = line_quality.score_files(docs.select("text", row.alias("row")), chain)
+    return scored.filter("predicted = 1").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their sources' repeated lines; ``n_chars`` follows the text."""
     tune(spark)
-    cleaned = repeated_lines.drop_site_lines(docs, folder="source", text="text")
-    return cleaned.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long"))
-                              .otherwise(F.col("n_chars"))).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    cleaned = repeated_lines.drop_site_lines(docs.select("source", "text", row.alias("row")), folder="source")
+    changed = F.col("lines_dropped") > 0
+    values = {
+        "text": F.when(changed, F.col("text")).otherwise(F.col("row.text")),
+        "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")),
+    }
+    return cleaned.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies; documents without words stay."""
     tune(spark)
-    named = docs.withColumnRenamed("doc_id", "file_id")
-    return similar_files.keep_one_of_each(named).withColumnRenamed("file_id", "doc_id").select(docs.columns)
+    return similar_files.keep_one_of_each(docs, file_id="doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pageflow.llm.scratch import n_words, stored
 WORDS = 5
 SIMILARITY = 80  # per cent
 EARLY = 20
+BUCKETS = 1 << 18
 LIST_COST = 0.0085  # fixed value of the method: cost of a probe in a long list against a merge step
 PART_FILES = 512
 PART_TOKENS = 1_000_000
@@ -247,11 +248,63 @@ def _sets(files: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return keyed.join(texts, "digest").select("node", "text").mapInArrow(run, "node long, codes binary").dropDuplicates(["node"])
 
 
+def _shared(tokens: DataFrame, similarity: int) -> DataFrame:
+    """The rows (``token, node, n``) that more than one node has, of nodes that have enough of
+    them to link at all. Least and greatest node per token are combined before the exchange."""
+    held = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    lists = stored(tokens.join(held.select("token"), "token", "left_semi").distinct(), "lists")
+    smallest = F.ceil(F.col("n") * similarity / 100)
+    able = lists.groupBy("node", "n").agg(F.count("*").alias("met")).filter(
+        F.col("met") >= F.greatest(F.floor(smallest / EARLY), F.lit(1)))
+    return stored(lists.join(able.select("node"), "node", "left_semi"), "lists")
+
+
+def frequency_levels(sets: DataFrame) -> np.ndarray:
+    """A level per bucket of shingle codes: quarters of log2 of how often the bucket occurs in
+    ``sets``. The driver receives at most ``BUCKETS`` sums, however many shingles there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for value in batch.column("codes"):
+                total += np.bincount(np.frombuffer(value.as_py(), dtype=np.uint64) % BUCKETS, minlength=BUCKETS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "n"])
+
+    levels = np.zeros(BUCKETS, dtype=np.uint8)
+    sums = sets.select("codes").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for bucket, n in sums.toLocalIterator():
+        levels[bucket] = min(255, int(4 * log2(n + 1)))
+    return levels
+
+
+def rare_tokens(sets: DataFrame, levels: np.ndarray, similarity: int) -> DataFrame:
+    """Leading shingles (``token, node, n``) in the order of (level, code): seldom ones first, so
+    that passages which many files quote come last and lead no set that has enough of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, value in zip(batch.column("node").to_pylist(), batch.column("codes")):
+                codes = np.frombuffer(value.as_py(), dtype=np.uint64)
+                order = np.lexsort((codes, levels[codes % BUCKETS]))[: leading(len(codes), similarity)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes[order].view(np.int64)), pa.array(np.full(len(order), node, dtype=np.int64)),
+                     pa.array(np.full(len(order), len(codes), dtype=np.int32))], names=["token", "node", "n"])
+
+    return sets.select("node", "codes").mapInArrow(run, "token long, node long, n int")
+
+
+def _size_class(n: Column) -> Column:
+    """Sizes whose ratio is at most 1.25 lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(1.3))).cast("int")
+
+
 def _parts(lists: DataFrame) -> DataFrame:
-    """``node, home, part, parts``: nodes that share leading shingles mostly get one home (the least
-    node met in their lists), dealt into parts of bounded size."""
-    lead = lists.groupBy("token").agg(F.min("node").alias("lead"))
-    homes = lists.join(lead, "token").groupBy("node", "n").agg(F.min("lead").alias("home"))
+    """``node, home, part, parts``: nodes that share leading shingles, and are of one size class,
+    mostly get one home (the least node met in their lists), dealt into parts of bounded size."""
+    classed = lists.withColumn("size_class", _size_class(F.col("n")))
+    lead = classed.groupBy("token", "size_class").agg(F.min("node").alias("lead"))
+    homes = classed.join(lead, ["token", "size_class"]).groupBy("node", "n").agg(F.min("lead").alias("home"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("files"), F.sum("n").alias("tokens")).select(
         "home", F.ceil(F.greatest(F.col("files") / PART_FILES, F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
     return homes.join(sizes, "home").select(
@@ -277,19 +330,22 @@ def _search_across(lists: DataFrame, placed: DataFrame, labels: DataFrame, sets:
     """Links between parts, searched only where a node's shingles meet another component.
 
     A node is sent to a later part when enough of its leading shingles stand in lists of that
-    part's nodes and not all of those are of its own component.
+    part's nodes, which are of its size class or a neighbouring one, and not all of those are of
+    its own component.
     """
     known = placed.join(labels, "node", "left").select("node", "home", "part", F.coalesce("label", "node").alias("label"))
     rows = lists.join(known, "node")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    rows = stored(rows.join(mixed, "token", "left_semi"), "mixed")
-    there = rows.groupBy("token", "home", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    r, t = rows.alias("r"), there.alias("t")
+    rows = rows.join(mixed, "token", "left_semi").withColumn("size_class", _size_class(F.col("n")))
+    rows = stored(rows, "mixed")
+    there = rows.groupBy("token", "size_class", "home", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    own = F.col("size_class")
+    r, t = rows.withColumn("size_class", F.explode(F.array(own - 1, own, own + 1))).alias("r"), there.alias("t")
     later = (F.col("r.home") < F.col("t.home")) | ((F.col("r.home") == F.col("t.home")) & (F.col("r.part") < F.col("t.part")))
     other = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label"))
     smallest = F.ceil(F.col("n") * similarity / 100)
     routes = (
-        r.join(t, (F.col("r.token") == F.col("t.token")) & later & other)
+        r.join(t, (F.col("r.token") == F.col("t.token")) & (F.col("r.size_class") == F.col("t.size_class")) & later & other)
         .groupBy("r.node", "r.label", "r.n", "t.home", "t.part").agg(F.count("*").alias("met"))
         .filter(F.col("met") >= F.greatest(F.floor(smallest / EARLY), F.lit(1)))
     )
@@ -317,9 +373,10 @@ def find_links(files: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFram
     """Stored ``rows`` (``file_id, digest, node, n``) and ``links`` (``a, b``) between nodes that
     connect exactly what all links connect.
 
-    1. Leading shingles: two linked sets share ``early`` of them. Tokens that only one node has
-       (least = greatest node, combined before the exchange) and nodes with too few shared ones
-       drop out; for the others the whole sets are read again.
+    1. Leading shingles: two linked sets share ``early`` of them, in any one order. In code order,
+       tokens that only one node has and nodes with too few shared ones drop out. For the others
+       the whole sets are read again and put into a seldom-first order, from which the lists are
+       made: what many files quote is then in few lists.
     2. Nodes that share leading shingles meet in parts of bounded size, where DivideSkip
        searches. A home of several parts (a large group of near copies) is searched again with
        one node of each component found, until one part holds what is left.
@@ -327,13 +384,9 @@ def find_links(files: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFram
     """
     rows, tokens = scan(files, similarity)
     rows = stored(rows, "sets")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    lists = stored(tokens.join(shared, "token", "left_semi").distinct(), "lists")
-    smallest = F.ceil(F.col("n") * similarity / 100)
-    suspects = lists.groupBy("node", "n").agg(F.count("*").alias("met")).filter(
-        F.col("met") >= F.greatest(F.floor(smallest / EARLY), F.lit(1)))
-    lists = stored(lists.join(suspects.select("node"), "node", "left_semi"), "lists")
-    sets = stored(_sets(files, rows, lists.select("node").distinct()), "codes")
+    suspects = _shared(tokens, similarity)
+    sets = stored(_sets(files, rows, suspects.select("node").distinct()), "codes")
+    lists = _shared(rare_tokens(sets, frequency_levels(sets), similarity), similarity)
     placed = stored(_parts(lists), "parts")
     links = stored(_search_inside(placed, sets, similarity), "links")
     labels = components(links)
@@ -376,19 +429,23 @@ def group_similar(files: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         F.when(F.col("n") == 0, F.col("file_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one_of_each(files: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """One file of each group of similar ones: the one with the least ``file_id`` (null last,
-    then the least text digest). Files without words belong to no group and all stay. All
-    columns pass through; an input column named ``_key`` is not allowed."""
-    rows, links = find_links(files, similarity)
+def keep_one_of_each(
+    files: DataFrame, similarity: int = SIMILARITY, file_id: str = "file_id", text: str = "text"
+) -> DataFrame:
+    """One file of each group of similar ones: the one with the least id (null last, then the
+    least text digest). Files without words belong to no group and all stay. All columns pass
+    through unchanged, whatever their names."""
+    rows, links = find_links(files.select(F.col(file_id).alias("file_id"), F.col(text).alias("text")), similarity)
     labels = components(links)
     named = rows.filter("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = named.groupBy("label").agg(
         F.min(F.struct(F.col("file_id").isNull().alias("none"), F.col("file_id").alias("file_id"), F.col("digest").alias("digest"))).alias("f"))
-    key = lambda file_id, digest: F.concat_ws(":", F.coalesce(file_id.cast("string"), F.lit("none")), digest)
-    chosen = first.select(key(F.col("f.file_id"), F.col("f.digest")).alias("_key"))
-    keyed = files.withColumn("_key", key(F.col("file_id"), F.md5(F.coalesce("text", F.lit("")))))
-    empty = n_words(F.col("text")) == 0
+    key = lambda name, digest: F.concat_ws(":", F.coalesce(name.cast("string"), F.lit("none")), digest)
+    chosen = first.select(key(F.col("f.file_id"), F.col("f.digest")).alias("key"))
+    keyed = files.select(
+        F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"), (n_words(F.col(text)) == 0).alias("empty"),
+        key(F.col(file_id), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"),
+    )
     # Rows equal in id and text have one key; one of them stays.
-    kept = keyed.filter(~empty).join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.unionByName(keyed.filter(empty)).drop("_key")
+    kept = keyed.filter("not empty").join(chosen, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*").unionByName(keyed.filter("empty").select("row.*"))

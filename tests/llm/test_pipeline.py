@@ -32,15 +32,16 @@ def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, copies int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, file_id int, score string, lines_dropped long"
 
 
 @pytest.fixture(scope="module")
 def stages(spark):
     """Documents with odd rows, and what every stage makes of them."""
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("copies", F.lit(1))
-    odd = [(None, None, None, None, None, 1), (-1, "", "en", "src0", 0, 1), (5, "a few plain words, twice here.", "en", None, 3, 1),
-           (5, "a few plain words, twice here.", "en", None, 3, 1)]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumns(
+        {"file_id": F.lit(1), "score": F.lit("x"), "lines_dropped": F.lit(9).cast("long")})
+    odd = [(None, None, None, None, None, 1, None, 9), (-1, "", "en", "src0", 0, 1, "x", 9)]
+    odd += [(5, "a few plain words, twice here.", "en", None, 3, 1, "x", 9)] * 2
     docs = docs.unionByName(spark.createDataFrame(odd, DOCS))
     made, kept = [("input", docs)], docs
     for name, stage in cp.STAGES:
@@ -52,6 +53,7 @@ def stages(spark):
 def test_stages_have_the_columns_of_documents(stages):
     for name in ("quality", "lines", "near_copies", "mix"):
         assert stages[name].columns == stages["input"].columns and stages[name].count() > 0
+        assert stages[name].filter("not (file_id = 1 and score <=> 'x' and lines_dropped = 9)").count() == 0
 
 
 def test_quality_keeps_good_documents(spark, stages):
