@@ -261,10 +261,11 @@ def job_bundle(outputs: DataFrame) -> DataFrame:
     )
 
 
-def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame) -> DataFrame:
+def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame, slices: tuple[int, ...] = (3600, 1)) -> DataFrame:
     """Per folder with at least two available PDFs: merge order, first page of each in the result.
 
-    Start pages are running sums by upload hour, then second, then file.
+    Start pages are running sums over slices of upload time, coarse to fine (``slices`` in
+    seconds, each a multiple of the next), then over files.
     """
     pdfs = available_files(files, inventory).filter(is_pdf(F.col("file_path")))
     several = pdfs.groupBy("folder_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
@@ -272,9 +273,7 @@ def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame) -> Da
         "folder_id", underscored(F.concat(F.lit("Merged_"), F.col("name"), F.lit(".pdf"))).alias("merged_name")
     )
     kept = pdfs.join(names, "folder_id")
-    levels = {
-        "_hour": F.floor(F.unix_seconds("created_at") / 3600).cast("long"), "_second": F.unix_seconds("created_at"),
-    }
+    levels = {f"_slice{n}": F.floor(F.unix_seconds("created_at") / n).cast("long") for n in slices}
     return running_total(kept, ["folder_id"], levels, ["created_at", "file_id"], "pages", "start_page")
 
 

@@ -213,6 +213,15 @@ def _(t):
     )
 
 
+@query("L15_merge_plan_sliced", _MERGE)
+def _(t):
+    """The same over slices of a year, a day and a minute."""
+    slices = (86400 * 365, 86400, 60)
+    return lib.merge_plan(fx.file_table(t), fx.folders(t), fx.inventory(t), slices).select(
+        "file_id", "folder_id", "merged_name", "start_page"
+    )
+
+
 @query("L15_merged_files", f"""
     SELECT m.folder_id, d.user_id, m.merged_name AS filename, '/store/' || m.merged_name AS file_path,
            CAST(sum(f.pages) AS BIGINT) AS pages, count(*) AS sources
