@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageflow.session import checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
@@ -32,11 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the scratch folder and read back.
 
     Cuts the lineage like ``checkpoint()`` and lets several consumers share one computation; a
-    lost executor costs only a reread. Columnar, so wide columns can be left unread.
+    lost executor costs only a reread. Columnar, so wide columns can be left unread. The shuffle
+    files behind it are dropped as soon as it is written: nobody reads them again.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def same_key(left: Column, right: Column) -> Column:
