@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageflow.llm import line_quality, mixing, packing, repeated_lines, similar_files
 from pageflow.llm.queries import as_files, as_labels, table, tokenizer_path
-from pageflow.llm.scratch import stored
-from pageflow.session import tune
+from pageflow.llm.scratch import prepared, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with predicted quality 1; trained on the labels of documents still present."""
-    tune(spark)
+    prepared(spark)
     files = as_files(docs).select("file_id", "text")
     labels = as_labels(table(spark, sf_dir, "labels")).filter(~line_quality.held_out())
     chain = line_quality.train(files, labels)
@@ -36,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their sources' repeated lines; ``n_chars`` follows the text."""
-    tune(spark)
+    prepared(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     cleaned = repeated_lines.drop_site_lines(docs.select("source", "text", row.alias("row")), folder="source")
     changed = F.col("lines_dropped") > 0
@@ -49,13 +48,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies; documents without words stay."""
-    tune(spark)
+    prepared(spark)
     return similar_files.keep_one_of_each(docs, file_id="doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (not at all, or up to three times)."""
-    tune(spark)
+    prepared(spark)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
                       F.coalesce("source", F.lit("none")), F.md5(F.coalesce("text", F.lit(""))))
     files = docs.select(key.alias("file_id"), F.col("source").alias("folder"), "text")
@@ -68,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    tune(spark)
+    prepared(spark)
     packed = packing.pack_files(as_files(docs), tokenizer_path("word_bpe_49k.json"))
     return packed.withColumnRenamed("file_id", "doc_id")
 

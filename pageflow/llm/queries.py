@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts
-from pageflow.llm.scratch import scratch_path
-from pageflow.session import tune
+from pageflow.llm.scratch import prepared, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark), sf_dir)
         if oracle:
             ORACLES[name] = oracle
         return fn

@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pageflow.session import checkpoint_dir
+from pageflow.session import checkpoint_dir, tune
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings and Arrow batches that stay small with long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return tune(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, removed when the driver ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/pageflow-{name}-{uuid.uuid4().hex}"

@@ -23,8 +23,8 @@ EARLY = 20
 BUCKETS = 1 << 18
 LIST_COST = 0.0085  # fixed value of the method: cost of a probe in a long list against a merge step
 PART_FILES = 512
-PART_TOKENS = 1_000_000
-PART_QUERIES = 2048
+PART_TOKENS = 300_000
+PART_QUERIES = 512
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
