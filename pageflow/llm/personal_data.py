@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -26,9 +27,11 @@ SPAN_TYPE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.s
 CONTEXT_TYPE = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())])
 NEAR_WORDS = 10
 NEAR_CHARS = 200
-MIN_CONTEXTS = 5
+MIN_CONTEXTS = 2
 DISCLOSURE = 0.95
+CHANCE = 0.05
 FILTER_BITS = 1 << 20
+COUNTED_TERMS = 100_000
 STRIP = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -84,19 +87,25 @@ def term_of(word: str) -> str | None:
 
 
 def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """The terms among the words nearest to each span, with codes of the value and the words."""
-    out = []
+    """The terms among the words nearest to each span, with codes of the value and the words.
+
+    A word between two mentions of one value is told of the first only: it is met once."""
+    out: list[dict] = []
+    told: dict[int, set[int]] = {}
     for start, end, kind in spans:
         before, after = text[max(0, start - NEAR_CHARS) : start], text[end : end + NEAR_CHARS]
-        left, right = re.findall(WORD, before), re.findall(WORD, after)
+        left = [(start - len(before) + m.start(), m[0]) for m in re.finditer(WORD, before)]
+        right = [(end + m.start(), m[0]) for m in re.finditer(WORD, after)]
         # A word cut by the window, or one that runs into the value, is not a word.
         if start > NEAR_CHARS and left:
             left = left[1:]
         if end + NEAR_CHARS < len(text) and right:
             right = right[:-1]
         near = left[-NEAR_WORDS:] + right[:NEAR_WORDS]
-        entity, context = code(f"{kind}:{text[start:end].lower()}"), code(" ".join(near))
-        terms = {t for t in map(term_of, near) if t}
+        entity, context = code(f"{kind}:{text[start:end].lower()}"), code(" ".join(w for _, w in near))
+        seen = told.setdefault(entity, set())
+        terms = {t for t in (term_of(w) for at, w in near if at not in seen) if t}
+        seen.update(at for at, _ in near)
         out += [{"entity": entity, "context": context, "term": t} for t in sorted(terms)]
     return out
 
@@ -151,50 +160,72 @@ def count_terms(files: DataFrame, packed: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, passes = re.compile(WORD).findall, _passes(packed)
+        counts: Counter = Counter()
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+
         for batch in batches:
-            counts: Counter = Counter()
             for value in batch.column("text"):
                 counts.update({t for t in map(term_of, set(find(value.as_py() or ""))) if passes(t)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            if len(counts) > COUNTED_TERMS:
+                yield summed()
+                counts.clear()
+        yield summed()
 
     return files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(files: DataFrame, scanned: DataFrame, min_contexts: int = MIN_CONTEXTS,
-                     disclosure: float = DISCLOSURE) -> DataFrame | None:
+                     disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame | None:
     """``term, information``: terms that give an entity away, from statistics of all files.
 
     An entity is a personal value. For term t near entity c, with counts of files,
     PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) is what t says about c of its information
     content IC(c) = log2(N / n(c)). A term discloses where PMI >= ``disclosure`` * IC for some
-    entity and the pair was met in at least ``min_contexts`` different surroundings (copies of
-    one passage are one). ``information`` is the largest PMI / IC. None where no pair is met
-    often enough, so that nothing more need be read.
+    entity and the meeting is no accident. A pair must be met in ``min_contexts`` different
+    surroundings (copies of one passage are one, and one passage shows nothing), and in more than
+    chance explains: were t independent of c, the s surroundings of c would show it
+    s n(t) / N times, and the Chernoff bound of meeting it as often as it was, times the number
+    of pairs looked at, must not exceed ``chance``. ``information`` is the largest PMI / IC. None
+    where no pair can pass, so that nothing more need be read.
     """
     near = scanned.select(F.explode("contexts").alias("x")).select("x.*")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("met"))
-    pairs = stored(pairs.filter(F.col("met") >= min_contexts), "pairs")
-    packed = term_filter(pairs)
-    if packed is None:
-        return None
-    # A value may stand in a file several times: files are counted, not mentions.
-    entities = pairs.select("entity").distinct()
+    # A value may stand in a file several times: files are counted, not mentions. All counts are
+    # made before they are joined, so no value's mentions meet in one task.
     held = scanned.select(F.explode(F.array_distinct("contexts.entity")).alias("entity"))
-    n_entity = held.join(entities, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    shown = near.groupBy("entity").agg(F.count_distinct("context").alias("shown"))
     per_file = scanned.select(F.explode(F.array_distinct(F.transform(
         "contexts", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    n_pair = per_file.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy(
-        "entity", "term").agg(F.count("*").alias("n_pair"))
-    total = scanned.count()
-    known = n_pair.join(n_entity, "entity").join(count_terms(files, packed), "term")
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_pair") * float(total) / (F.col("n_entity").cast("double") * F.col("n")))
-    # An entity in every file carries no information that could be disclosed.
-    share = F.when(content > 0, pmi / content)
+    n_pair = per_file.groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
+    beside = scanned.select(F.explode(F.array_distinct("contexts.term")).alias("term"))
+    n_beside = beside.groupBy("term").agg(F.count("*").alias("n_beside"))
+    total, looked_at = scanned.agg(F.count("*"), F.sum(F.size("contexts"))).first()
+
+    def information(n: Column) -> Column:
+        """PMI / IC if the term stands in ``n`` files, null where chance would do. Falls with n."""
+        content = F.log2(F.lit(float(total)) / F.col("n_entity"))
+        pmi = F.log2(F.col("n_pair") * float(total) / (F.col("n_entity").cast("double") * n))
+        expected = F.col("shown") * n / float(total)
+        log_tail = F.col("met") * (F.log(expected / F.col("met")) + 1) - expected
+        sure = (F.col("met") > expected) & (log_tail <= math.log(chance / max(looked_at or 0, 1)))
+        # An entity in every file carries no information that could be disclosed.
+        return F.when((content > 0) & sure, pmi / content)
+
+    # A term stands in at least the files that hold it beside a value: what fails already with
+    # that number fails with the whole one, and needs no second reading.
+    open_pairs = stored(
+        pairs.filter(F.col("met") >= min_contexts).join(n_pair, ["entity", "term"]).join(n_entity, "entity")
+        .join(shown, "entity").join(n_beside, "term").filter(information(F.col("n_beside")) >= disclosure), "pairs")
+    packed = term_filter(open_pairs)
+    if packed is None:
+        return None
     return (
-        known.withColumn("information", share).filter(F.col("information") >= disclosure)
-        .groupBy("term").agg(F.max("information").alias("information"))
+        open_pairs.join(count_terms(files, packed), "term").withColumn("information", information(F.col("n")))
+        .filter(F.col("information") >= disclosure).groupBy("term").agg(F.max("information").alias("information"))
     )
 
 
@@ -234,7 +265,7 @@ def find_private_spans(files: DataFrame, min_contexts: int = MIN_CONTEXTS, discl
     end exclusive, by start and then kind. The terms hold for every file, also one without the
     value itself.
 
-    Texts are read once for matches and their surroundings; only pairs met often lead to a
+    Texts are read once for matches and their surroundings; only pairs that can still pass lead to a
     second reading (counts of their terms, through a hash filter of fixed size) and a third
     (where the terms stand). Equal texts are joined by digest. Null text is empty; rows are
     reported one by one, repeated ids included; an empty table gives an empty result; other

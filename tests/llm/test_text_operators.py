@@ -71,6 +71,19 @@ def test_one_value_in_copies_of_a_text_gives_no_terms(spark):
     assert all([s.kind for s in r.spans] == ["email"] for r in rows)
 
 
+def test_two_surroundings_are_enough_where_chance_is_not(spark):
+    told = [(1, "f", "Mornings the baker Wintergreen answers, write ann.lee@example.org before noon."),
+            (2, "f", "Lost keys: Wintergreen has them; ann.lee@example.org is read every evening.")]
+    # Two mentions beside one word are one meeting, and a word in many files says nothing.
+    beside = [(3, "f", "Some table ann@example.net zorbik ann@example.net with chairs.")]
+    often = [(4, "f", "Green paper of bob@example.net is here."), (5, "f", "Blue paper was bob@example.net there.")]
+    other = [(100 + i, "f", f"The paper about item {i} is on the table, ask or write or wait today.") for i in range(400)]
+    table = files(spark, told + beside + often + other)
+    found = {r.file_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal_data.find_private_spans(table).collect()}
+    assert found[1][0] == ("term", 19, 30) and [k for i in (1, 2) for k, *_ in found[i]] == ["term", "email"] * 2
+    assert [k for i in (3, 4, 5) for k, *_ in found[i]] == ["email"] * 4 and found[100] == []
+
+
 def test_personal_data_of_odd_rows(spark):
     rows = personal_data.find_private_spans(files(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r.base == [] and r.spans == [] for r in rows)
