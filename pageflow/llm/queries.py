@@ -136,7 +136,8 @@ SELECT doc_id, txt.text AS text, CAST(coalesce(n, 0) AS BIGINT) AS lines_dropped
 
 @query("op7_line_dedup", OP7_SQL)
 def op7_line_dedup(spark, sf_dir):
-    cleaned = repeated_lines.drop_site_lines(as_files(table(spark, sf_dir, "documents")))
+    # OP7_SQL leaves sources of fewer than 20 documents alone.
+    cleaned = repeated_lines.drop_site_lines(as_files(table(spark, sf_dir, "documents")), min_pages=20)
     return cleaned.select(F.col("file_id").alias("doc_id"), "text", "lines_dropped")
 
 

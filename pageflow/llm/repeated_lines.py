@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageflow.llm.scratch import same_key
 
 MAX_RATIO = 0.1
-MIN_PAGES = 20
+MIN_PAGES = 1
+MIN_REPEATS = 3
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -19,7 +20,8 @@ def _keys(text: Column) -> Column:
 
 def site_lines(pages: DataFrame, folder: str = "folder", text: str = "text",
                max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``folder, lines``: hashes of the lines on more than ``max_ratio`` of a folder's texts.
+    """``folder, lines``: hashes of the lines on more than ``max_ratio`` of a folder's texts, and
+    on at least ``MIN_REPEATS``.
 
     A line counts once per text. Counts are combined before the exchange on (folder, line), so
     a folder with a third of all texts is spread over all tasks. A list has at most (mean lines
@@ -31,7 +33,7 @@ def site_lines(pages: DataFrame, folder: str = "folder", text: str = "text",
         rows.select("folder", F.explode(F.array_distinct(F.array_compact(_keys(F.col("text"))))).alias("line"))
         .groupBy("folder", "line").agg(F.count("*").alias("n"))
         # No folder that is judged can have fewer, so single lines never reach the join.
-        .filter(F.col("n") > max_ratio * min_pages)
+        .filter((F.col("n") > max_ratio * min_pages) & (F.col("n") >= MIN_REPEATS))
     )
     c, t = counts.alias("c"), totals.alias("t")
     return (
@@ -46,8 +48,10 @@ def drop_site_lines(pages: DataFrame, folder: str = "folder", text: str = "text"
     """Recognised texts without the lines that their folder repeats on most texts.
 
     Running headers, footers and stamps of a folder: a line is dropped where the texts of the
-    folder containing it, divided by all texts of the folder, exceed ``max_ratio``. Folders of
-    fewer than ``min_pages`` texts are left alone. Lines are compared without outer blanks.
+    folder containing it, divided by all texts of the folder, exceed ``max_ratio``, and are
+    ``MIN_REPEATS`` at least (as they are in any folder of 20 texts at the default ratio). Every
+    folder is judged; with ``min_pages`` those of fewer texts are left alone. Lines are compared
+    without outer blanks.
 
     Returns all input columns with ``text`` cleaned, and ``lines_dropped``. Rows are never
     dropped: a text of boilerplate only becomes empty. Null text stays null (0 dropped); texts

@@ -174,6 +174,13 @@ def test_site_lines_equal_counting(spark, rnd):
     assert repeated_lines.drop_site_lines(files(spark, rows).limit(0)).count() == 0
 
 
+def test_a_small_folder_is_judged_at_the_defaults(spark):
+    rows = [(i, "small", f"head\nbody {i}" + ("\ntwice" if i < 2 else "")) for i in range(10)]
+    rows += [(20 + i, "tiny", "head\nown") for i in range(2)] + [(30, None, "head")]
+    got = {r.file_id: (r.text, r.lines_dropped) for r in repeated_lines.drop_site_lines(files(spark, rows)).collect()}
+    assert got == {i: (t if i >= 20 else t[5:], int(i < 20)) for i, _, t in rows}
+
+
 def test_site_lines_run_no_python(spark):
     plan = repeated_lines.drop_site_lines(files(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
