@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pageflow.llm.scratch import stored
+
 TRAIN_FILES = 6000
-TRAIN_LINES = 200
+TRAIN_LINES = 1_200_000
 ACCEPT = 0.7
 SLICE_CHARS = 4_000_000
 CLASSES = 9  # other, lower, upper, digit, space, sentence mark, ! or ?, bar or slash, symbol
@@ -160,19 +162,41 @@ def training_files(files: DataFrame, labels: DataFrame, sample: int = TRAIN_FILE
     return files.select("file_id", "text").join(chosen, "file_id").dropDuplicates(["file_id"])
 
 
+def within_lines(sizes: list[tuple], max_lines: int) -> set:
+    """Ids of ``(quality, draw, file_id, lines)`` in order of their draw, of each label until the
+    next whole text would lead beyond half of ``max_lines``. A text longer than that half by
+    itself is passed over."""
+    taken: set = set()
+    for side in (0, 1):
+        left = max_lines // 2
+        for _, _, file_id, lines in sorted(s for s in sizes if s[0] == side and s[3] <= max_lines // 2):
+            if lines > left:
+                break
+            taken.add(file_id)
+            left -= lines
+    return taken
+
+
 def train(files: DataFrame, labels: DataFrame, sample: int = TRAIN_FILES, max_lines: int = TRAIN_LINES) -> Chain:
-    """Fits the field on a bounded sample: ``sample`` files, of each its first ``max_lines``
-    lines. ``labels`` has ``file_id, quality`` and only rows that may be learned from. Features
+    """Fits the field on a bounded sample of whole texts: at most ``sample`` files and
+    ``max_lines`` lines together (:func:`within_lines`). ``labels`` has ``file_id, quality`` and only rows that may be learned from. Features
     are made in tasks; the driver receives ``WIDTH`` short floats a line (at most 220 MB with the
     default bounds, usually a tenth) and fits. Without usable labels every line is as likely good
     as bad."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(content_lines(text.as_py())) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file_id"), batch.column("quality"), pa.array(sizes, pa.int64())],
+                names=["file_id", "quality", "lines"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = char_classes()
         for batch in batches:
             out = []
-            for text, quality in zip(batch.column("text"), batch.column("quality")):
-                lines = content_lines(text.as_py())[:max_lines]
+            for file_id, text, quality in zip(batch.column("file_id"), batch.column("text"), batch.column("quality")):
+                lines = content_lines(text.as_py()) if file_id.as_py() in taken else []
                 if lines:
                     x = chain_features(lines, np.zeros(len(lines), dtype=np.int64), table)
                     out.append((quality.as_py(), x.astype(np.float32).tobytes()))
@@ -181,6 +205,11 @@ def train(files: DataFrame, labels: DataFrame, sample: int = TRAIN_FILES, max_li
                 names=["quality", "features"])
 
     chosen = training_files(files, labels, sample).select("file_id", "text", F.col("quality").cast("int").alias("quality"))
+    # Stored, so that both readings see one text of an id that repeats.
+    chosen = stored(chosen, "training")
+    counted = chosen.mapInArrow(count, f"file_id {dict(chosen.dtypes)['file_id']}, quality int, lines long")
+    sizes = counted.select("quality", F.xxhash64("file_id").alias("draw"), "file_id", "lines").collect()
+    taken = within_lines([tuple(r) for r in sizes], max_lines)
     rows = sorted((r.quality, bytes(r.features)) for r in chosen.mapInArrow(run, "quality int, features binary").toLocalIterator())
     if len({q for q, _ in rows}) < 2:
         return Chain(np.zeros(WIDTH), np.zeros((2, 2)))

@@ -234,6 +234,22 @@ def test_quality_is_learned_and_held_out(spark, rnd):
     assert line_quality.judge_quality(table.limit(0), labels).count() == 0
 
 
+def test_training_takes_whole_texts(spark):
+    import numpy as np
+
+    # Only what stands after 250 equal lines tells good from bad.
+    body = ["the same words stand on every line of it"] * 250
+    rows = [(i, "f", "\n".join(body + (["ONE!! TWO!! THREE!!"] * 20 if i % 2 else ["A quiet ending, as it should be."] * 20))) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "file_id long, quality int")
+    chain = line_quality.train(files(spark, rows), labels)
+    score = {r.file_id: r.score for r in line_quality.score_files(files(spark, [(1, "f", "ONE!! TWO!! THREE!!"), (2, "f", "A quiet ending, as it should be.")]), chain).collect()}
+    assert score[2] > score[1] + 0.3
+    # The bound takes whole texts in order of their draw, and passes a text over that never fits.
+    sizes = [(0, 3, "c", 1), (0, 1, "a", 4), (0, 2, "b", 3), (0, 0, "huge", 50), (1, 1, "d", 5), (1, 2, "e", 1)]
+    assert line_quality.within_lines(sizes, 12) == {"a", "d", "e"}
+    assert np.allclose(line_quality.train(files(spark, rows), labels, max_lines=100).weights, 0)
+
+
 def test_scores_ignore_everything_but_the_text(spark):
     chain = line_quality.Chain(__import__("numpy").linspace(-1, 1, line_quality.WIDTH), __import__("numpy").zeros((2, 2)))
     rows = [(1, "a", "one text\nof two lines"), (99, None, "one text\nof two lines")]
