@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageflow.llm import archive, host_rules, line_quality, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts
+from pageflow.llm import (
+    archive, host_rules, line_quality, manifest, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts,
+)
 from pageflow.llm.scratch import prepared, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +223,59 @@ FROM g LEFT JOIN c ON list_sort(g.s) = c.s LEFT JOIN k ON k.x = c.cid
 def op2_similar_files(spark, sf_dir):
     grouped = similar_files.group_similar(as_files(table(spark, sf_dir, "documents")))
     return grouped.withColumnRenamed("file_id", "doc_id")
+
+
+# The checksum runs over the bits of the decimal id, the tree over levels of whole runs.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rid, *, list_reduce([4294967295::BIGINT] || flatten([[(ascii(c) >> b) & 1 for b in range(8)] for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384::BIGINT) ELSE xor(a, x) >> 1 END) AS crc FROM documents),
+v AS (SELECT *, CASE WHEN xor(crc, 4294967295::BIGINT) % 5 = 0
+        THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now_text FROM t),
+e AS (SELECT rid, doc_id, source, now_text, text,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM v),
+l AS (SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(now_text) || ':' || now_text, '-')) AS now_leaf FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY source) AS n FROM l),
+nodes(source, lv, i, m, h) AS (
+  SELECT source, 0, i, n, leaf FROM r
+  UNION ALL
+  SELECT source, lv + 1, i // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE m > 1 GROUP BY source, lv, i // 16, m),
+subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS f, count(*) OVER () AS folders FROM nodes WHERE m = 1),
+tops(lv, i, m, h) AS (
+  SELECT 0, f, folders, subroot FROM subs
+  UNION ALL
+  SELECT lv + 1, i // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE m > 1 GROUP BY lv, i // 16, m),
+docs AS (SELECT r.*, s.subroot, s.f FROM r JOIN subs s ON r.source IS NOT DISTINCT FROM s.source),
+steps AS (
+  SELECT d.rid, x.lv AS step, x.i = d.i // CAST(power(16, x.lv) AS BIGINT) AS own, x.i, x.h
+  FROM docs d JOIN nodes x ON d.source IS NOT DISTINCT FROM x.source AND x.m > 1 AND x.i // 16 = d.i // CAST(power(16, x.lv + 1) AS BIGINT)
+  UNION ALL
+  SELECT d.rid, 100 + x.lv, x.i = d.f // CAST(power(16, x.lv) AS BIGINT), x.i, x.h
+  FROM docs d JOIN tops x ON x.m > 1 AND x.i // 16 = d.f // CAST(power(16, x.lv + 1) AS BIGINT)),
+path AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS k, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT own), '') AS others,
+           max(i) FILTER (own) - min(i) AS slot FROM steps GROUP BY rid, step),
+fold(rid, k, h) AS (
+  SELECT rid, 0, now_leaf FROM docs
+  UNION ALL
+  SELECT p.rid, f.k + 1, sha256(substr(p.others, 1, 64 * p.slot) || f.h || substr(p.others, 64 * p.slot + 1)) FROM fold f JOIN path p ON f.rid = p.rid AND p.k = f.k + 1),
+done AS (SELECT rid, arg_max(h, k) AS folded_root FROM fold GROUP BY rid),
+proof AS (SELECT rid, string_agg(others, '' ORDER BY k) AS others FROM path GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE m = 1) AS root, sha256(coalesce(others, '')) AS proof_sha256, folded_root,
+  folded_root = (SELECT h FROM tops WHERE m = 1) AS verified
+FROM docs JOIN done ON docs.rid = done.rid LEFT JOIN proof ON docs.rid = proof.rid
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").withColumnsRenamed({"doc_id": "file_id", "source": "folder_id"})
+    touched = F.crc32(F.col("file_id").cast("string").cast("binary")) % 5 == 0
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.when(touched, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    proven = manifest.prove_files(documents, ("file_id", "folder_id", "lang", "n_chars", "text"), current={"text": text})
+    siblings = F.flatten(F.transform("proof", lambda s: s["siblings"]))
+    return proven.select(F.col("file_id").alias("doc_id"), "leaf", "subroot", "root",
+                         F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"), "folded_root", "verified")
