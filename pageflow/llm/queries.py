@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageflow.llm import (
-    archive, host_rules, line_quality, manifest, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts,
+    archive, divergence, host_rules, line_quality, manifest, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts,
 )
 from pageflow.llm.scratch import prepared, scratch_path
 
@@ -279,3 +279,34 @@ def op11_merkle_manifest(spark, sf_dir):
     siblings = F.flatten(F.transform("proof", lambda s: s["siblings"]))
     return proven.select(F.col("file_id").alias("doc_id"), "leaf", "subroot", "root",
                          F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT l.lang, count(k.term) AS v, coalesce(sum(k.total), 0) AS words FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k ON l.lang = k.lang GROUP BY l.lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+      FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT f.*, 1 + CAST((1000000000::HUGEINT * (n + 5)) // (own + 5 * v) AS BIGINT) AS p,
+        1 + CAST((1000000000::HUGEINT * (total + 5)) // (words + 5 * v) AS BIGINT) AS q FROM f JOIN v ON f.lang = v.lang),
+s AS (SELECT a.lang, a.source, b.source AS peer, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.peer = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) x
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13_source_divergence(spark, sf_dir):
+    given = {c: F.coalesce(c, F.lit("")) for c in ("text", "lang", "source")}
+    files = table(spark, sf_dir, "documents").select(
+        given["lang"].alias("user_id"), given["source"].alias("folder_id"), given["text"].alias("text"))
+    return divergence.audit_folders(files).withColumnsRenamed({"user": "lang", "folder": "source"})
