@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageflow.llm import (
-    archive, divergence, host_rules, line_quality, manifest, mixing, neighbours, packing, personal_data, repeated_lines, similar_files, token_counts,
+    archive, divergence, host_rules, line_quality, manifest, mixing, near_vectors, neighbours, packing, personal_data, repeated_lines,
+    similar_files, token_counts,
 )
 from pageflow.llm.scratch import prepared, scratch_path
 
@@ -310,3 +311,8 @@ def op13_source_divergence(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(
         given["lang"].alias("user_id"), given["source"].alias("folder_id"), given["text"].alias("text"))
     return divergence.audit_folders(files).withColumnsRenamed({"user": "lang", "folder": "source"})
+
+
+@query("op12_embedding_near_dedup")
+def op12_embedding_near_dedup(spark, sf_dir):
+    return near_vectors.link_near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
