@@ -94,8 +94,9 @@ def share(count: Column, total: Column, kept: Column) -> Column:
 
 
 def term_index(files: DataFrame, user: str, folder: str, text: str, min_files: int) -> tuple[DataFrame, DataFrame]:
-    """The term-major index ``user, term, slot, folder, p, q`` of kept terms and the groups
-    ``user, folder, slot, kept, baseline``; ``slot`` is the folder's place among the user's."""
+    """The term-major index ``user, block, term, slot, folder, p, q`` of kept terms and the groups
+    ``user, folder, slot, kept, blocks, baseline``; ``slot`` is the folder's place among the user's,
+    ``blocks`` the number of blocks that the user's terms are dealt into."""
     texts = files.select(F.col(f"`{user}`").alias("user"), F.col(f"`{folder}`").alias("folder"), F.col(f"`{text}`").alias("text"))
     keys = texts.schema.fields[:2]
     counted = T.StructType([*keys, T.StructField("term", T.StringType()), T.StructField("files", T.LongType()), T.StructField("n", T.LongType())])
@@ -108,17 +109,18 @@ def term_index(files: DataFrame, user: str, folder: str, text: str, min_files: i
         s.join(k, same_key(F.col("s.user"), F.col("k.user")) & (F.col("s.term") == F.col("k.term")))
         .select("s.user", "s.folder", "s.term", "s.n", "k.total"), "postings")
     in_folder = postings.groupBy("user", "folder").agg(F.sum("n").alias("words"))
-    in_user = postings.groupBy("user").agg(F.sum("n").alias("user_words"), F.count_distinct("term").alias("kept"))
+    in_user = postings.groupBy("user").agg(
+        F.sum("n").alias("user_words"), F.count_distinct("term").alias("kept"), F.count("*").alias("postings"))
     g, w, u = texts.select("user", "folder").distinct().alias("g"), in_folder.alias("w"), in_user.alias("u")
     slot = F.row_number().over(Window.partitionBy("user").orderBy("folder")) - 1
     groups = stored(
         g.join(w, same_key(F.col("g.user"), F.col("w.user")) & same_key(F.col("g.folder"), F.col("w.folder")), "left")
         .join(u, same_key(F.col("g.user"), F.col("u.user")), "left")
-        .select("g.user", "g.folder", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("words", "user_words", "kept")])
-        .withColumns({"slot": slot.cast("long"), "baseline": share(F.lit(0), F.col("words"), F.col("kept"))}), "groups")
+        .select("g.user", "g.folder", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("words", "user_words", "kept", "postings")])
+        .withColumns({"blocks": F.greatest(F.ceil(F.col("postings") / BLOCK_POSTINGS), F.lit(1)).cast("int"), "slot": slot.cast("long"), "baseline": share(F.lit(0), F.col("words"), F.col("kept"))}), "groups")
     p, g = postings.alias("p"), groups.alias("g")
     index = p.join(g, same_key(F.col("p.user"), F.col("g.user")) & same_key(F.col("p.folder"), F.col("g.folder"))).select(
-        "p.user", "p.term", "g.slot", "p.folder", share(F.col("p.n"), F.col("words"), F.col("kept")).alias("p"),
+        "p.user", F.pmod(F.xxhash64("p.term"), F.col("blocks")).cast("int").alias("block"), "p.term", "g.slot", "p.folder", share(F.col("p.n"), F.col("words"), F.col("kept")).alias("p"),
         share(F.col("p.total"), F.col("user_words"), F.col("kept")).alias("q"))
     return stored(index, "index"), groups
 
@@ -221,20 +223,15 @@ def folder_distances(index: DataFrame, groups: DataFrame) -> DataFrame:
     A user's terms are dealt into blocks of about ``BLOCK_POSTINGS`` postings. A block's task adds
     up all its rows and sends one number a pair of folders, however many terms they share.
     """
-    u = groups.groupBy("user").agg(F.first("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("slot", "baseline"))).alias("b"))
-    held = index.groupBy("user").agg(F.count("*").alias("postings"))
-    u, h = u.filter(F.size("b") > 1).alias("u"), held.alias("h")
-    blocks = F.greatest(F.ceil(F.coalesce("postings", F.lit(0)) / BLOCK_POSTINGS), F.lit(1)).cast("int")
-    users = u.join(h, same_key(F.col("u.user"), F.col("h.user")), "left").select(
-        "u.user", "kept", F.col("b.baseline").alias("baselines"), blocks.alias("blocks"))
     none = lambda kind: F.lit(None).cast(kind)
+    users = groups.groupBy("user").agg(
+        F.first("kept").alias("kept"), F.first("blocks").alias("blocks"),
+        F.sort_array(F.collect_list(F.struct("slot", "baseline"))).alias("b"))
     heads = users.select(
         "user", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none("string").alias("term"),
-        none("long").alias("slot"), none("long").alias("p"), "kept", "baselines")
-    i, n = index.alias("i"), users.select("user", "blocks").alias("n")
-    rows = i.join(n, same_key(F.col("i.user"), F.col("n.user"))).select(
-        "i.user", F.pmod(F.xxhash64("i.term"), F.col("blocks")).cast("int").alias("block"), "i.term", "i.slot", "i.p",
-        none("long").alias("kept"), none("array<long>").alias("baselines"))
+        none("long").alias("slot"), none("long").alias("p"), "kept", F.col("b.baseline").alias("baselines"))
+    rows = index.select(
+        "user", "block", "term", "slot", "p", none("long").alias("kept"), none("array<long>").alias("baselines"))
     kind = index.schema["user"].dataType
     schema = T.StructType([T.StructField("user", kind), *[T.StructField(c, T.LongType()) for c in ("slot", "peer", "value")]])
     order = ["user", "block"]
