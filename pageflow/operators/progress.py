@@ -1,18 +1,16 @@
 """Live progress over stored events: the batch twins of the streaming operators.
 
-Everything is a per-key aggregate or a first-k window; the only inherently sequential rule,
-the upload ledger, streams through sorted partitions with constant memory.
+Everything is a per-key aggregate or a first-k window; the one sequential rule, the upload
+ledger, is solved by pointer jumping.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageflow import rules
 from pageflow.operators.ranking import first_k, page_block, positions
+from pageflow.steps import Steps, numbered
 
 FILE = ["job_id", "filename"]
 PAGE_EVENT = ["job_id", "kind", "filename", "page"]
@@ -143,18 +141,11 @@ def live_snapshot(jobs: DataFrame, totals: DataFrame, rates: DataFrame, now: Col
 
 # ---- uploads ---------------------------------------------------------------------------
 
-LEDGER_FIELDS = [
-    T.StructField("accepted", T.BooleanType()),
-    T.StructField("received", T.LongType()),
-    T.StructField("complete", T.BooleanType()),
-]
-
-
 def next_ledger_state(received: int, offset: int, length: int, size: int) -> tuple[bool, int]:
     """One chunk against the bytes received so far: (accepted, bytes received afterwards)."""
     if received >= size:
         return offset >= size, received
-    fits = offset == received and length <= rules.MAX_CHUNK_BYTES and offset + length <= size
+    fits = offset == received and 0 <= length <= rules.MAX_CHUNK_BYTES and offset + length <= size
     return fits, received + length if fits else received
 
 
@@ -167,36 +158,79 @@ def with_chunk_numbers(chunks: DataFrame) -> DataFrame:
     )
 
 
+LEDGER_BLOCK = 4096
+
+
+def _accepted_chain(steps: Steps, chunks: DataFrame) -> DataFrame:
+    """``seq`` of every chunk that moves its file forward, by pointer jumping.
+
+    ``chunks(seq, file_id, begin, end)`` are those that could. Each points to the first later one
+    that begins where it ends; the accepted ones are the path from the file's first chunk at 0.
+    A round follows pointers from what is marked and then doubles their reach, so a path of n
+    chunks takes log2(n) rounds, whoever holds it.
+    """
+    block = F.floor(F.col("seq") / LEDGER_BLOCK).cast("long")
+    place = ["file_id", "at", "block"]
+    begins = chunks.select("file_id", F.col("begin").alias("at"), "seq", F.col("seq").alias("start"))
+    ends = chunks.select("file_id", F.col("end").alias("at"), "seq", F.lit(None).cast("long").alias("start"))
+    events = begins.unionByName(ends).withColumn("block", block)
+    # The next start in the own block of arrivals, else the first one of the later blocks.
+    after = Window.partitionBy(*place).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    near = events.withColumn("near", F.min("start").over(after)).filter(F.col("start").isNull())
+    firsts = events.groupBy(*place).agg(F.min("start").alias("first"))
+    beyond = Window.partitionBy("file_id", "at").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    far = firsts.withColumn("far", F.min("first").over(beyond)).drop("first")
+    links = near.join(far, place).select("seq", F.coalesce("near", "far").alias("next")).filter(F.col("next").isNotNull())
+    links = steps.store(links)
+    marked = steps.store(chunks.filter(F.col("begin") == 0).groupBy("file_id").agg(F.min("seq").alias("seq")).select("seq"))
+    # Only what something points to can be on a path; repeats that nothing points to are left out.
+    met = links.select(F.col("next").alias("seq")).distinct().unionByName(marked)
+    jumps = steps.store(links.join(met, "seq", "left_semi"))
+    steps.drop(links)
+    while True:
+        found = steps.store(marked.join(jumps, "seq").select(F.col("next").alias("seq")))
+        if not found.limit(1).count():
+            return marked
+        marked = marked.unionByName(found)
+        onward = jumps.select(F.col("seq").alias("next"), F.col("next").alias("beyond"))
+        wider = steps.store(jumps.join(onward, "next").select("seq", F.col("beyond").alias("next")))
+        steps.drop(jumps)
+        jumps = wider
+
+
 def upload_ledger(chunks: DataFrame, arrival: list[str]) -> DataFrame:
-    """Every chunk in arrival order with its verdict and where to resume.
+    """Every chunk with its verdict and where to resume, judged in arrival order.
 
     A chunk counts when it starts where the file ends, fits the declared size and the 16 MB
-    limit; repeats after completion are harmless. Each verdict depends on the previous one, so a
-    file's chunks run in order through one task, but as a stream: the state is one number and
-    nothing is collected. A chunk without file, offset, length or size is refused and changes
-    nothing; chunks without file are one file's.
+    limit; repeats after completion are harmless. Each verdict depends on the one before, but
+    not on all rows in turn: the chunks that count are found by pointer jumping
+    (:func:`_accepted_chain`), and what is received when a chunk arrives is the furthest end among
+    those before it, from maxima per block of arrivals. So a file of any number of chunks spreads
+    over all tasks. A chunk without file, offset, length or size or with a negative length is
+    refused and changes nothing; chunks without file are one file's. Steps are stored below
+    ``spark.checkpoint.dir``.
     """
-    ordered = with_chunk_numbers(chunks).repartition("file_id").sortWithinPartitions("file_id", *arrival)
-    schema = T.StructType([*chunks.schema.fields, *LEDGER_FIELDS])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, received = None, 0
-        for batch in batches:
-            accepted, after = [], []
-            for file_id, offset, length, size in zip(batch["file_id"], batch["chunk_offset"], batch["chunk_length"], batch["chunk_size"]):
-                if file_id != current and not (pd.isna(file_id) and pd.isna(current)):
-                    current, received = file_id, 0
-                if pd.isna(file_id):
-                    offset = -1
-                ok, received = next_ledger_state(received, offset, length, size)
-                accepted.append(ok)
-                after.append(received)
-            complete = [r >= s for r, s in zip(after, batch["chunk_size"])]
-            yield batch.drop(columns=["chunk_offset", "chunk_length", "chunk_size"]).assign(
-                accepted=accepted, received=after, complete=complete
-            )
-
-    return ordered.mapInPandas(run, schema)
+    steps = Steps(chunks.sparkSession, "ledger")
+    offset, length, size = (F.col(f"chunk_{n}") for n in ("offset", "length", "size"))
+    rows = numbered(steps, with_chunk_numbers(chunks), ["file_id", *arrival], "seq")
+    fits = F.col("file_id").isNotNull() & (offset >= 0) & (length >= 0) & (length <= rules.MAX_CHUNK_BYTES) & (offset + length <= size)
+    chain = _accepted_chain(
+        steps, rows.filter(fits & (length > 0)).select("seq", "file_id", offset.alias("begin"), (offset + length).alias("end")))
+    counted = rows.join(chain.withColumn("counts", F.lit(True)), "seq", "left").withColumns(
+        {"reach": F.when(F.col("counts"), offset + length), "block": F.floor(F.col("seq") / LEDGER_BLOCK).cast("long")})
+    # A path's ends only grow, so the greatest one so far is what has been received.
+    blocks = counted.groupBy("file_id", "block").agg(F.max("reach").alias("reach"))
+    earlier = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(F.col("file_id").alias("of"), F.col("block").alias("in"), F.max("reach").over(earlier).alias("so_far"))
+    inside = Window.partitionBy("file_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.greatest(F.coalesce("so_far", F.lit(0)), F.coalesce(F.max("reach").over(inside), F.lit(0)))
+    known = counted.join(before, F.col("file_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))).withColumn("held", held)
+    full, here = F.col("held") >= size, fits & (offset == F.col("held"))
+    judged = known.withColumns(
+        {"accepted": F.when(full, F.col("file_id").isNotNull() & (offset >= size)).otherwise(here),
+         "received": F.when(~full & here, F.col("held") + length).otherwise(F.col("held")).cast("long")}
+    ).withColumn("complete", F.col("received") >= size)
+    return judged.select(*[F.col(f"`{c}`") for c in chunks.columns], "accepted", "received", "complete")
 
 
 def upload_speed(samples: DataFrame) -> DataFrame:

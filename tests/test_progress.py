@@ -189,3 +189,44 @@ def test_chunks_without_numbers_are_refused(spark):
     got = p.upload_ledger(spark.createDataFrame(rows_in, CHUNK), ["arrival"])
     assert sorted(((r.file_id or 0, r.arrival, r.accepted, r.received) for r in got.collect())) == [
         (0, 0, False, 0), (1, 0, True, 5), (1, 1, False, 5), (1, 2, False, 5), (1, 3, False, 5), (1, 4, True, 10)]
+
+
+def plain_ledger(chunks):
+    """Row by row: chunks sorted by (file, arrival)."""
+    out, current, received = [], object(), 0
+    for file_id, arrival, offset, length, size in sorted(chunks, key=lambda c: (c[0], c[1])):
+        if file_id != current:
+            current, received = file_id, 0
+        ok, received = p.next_ledger_state(received, offset, length, size)
+        out.append((file_id, arrival, ok, received, received >= size))
+    return out
+
+
+def test_ledger_equals_the_row_by_row_rule_on_random_uploads(spark, monkeypatch):
+    rng = random.Random(11)
+    for block in (4096, 3):
+        monkeypatch.setattr(p, "LEDGER_BLOCK", block)
+        chunks = []
+        for file_id in range(12):
+            size = rng.choice([0, 5, 12, 40])
+            for arrival in range(rng.choice([1, 5, 60])):
+                chunks.append((file_id, arrival, rng.randrange(-1, size + 2), rng.choice([-1, 0, 1, 1, 2, 3, 17 * MB]), size + rng.choice([0, 0, 0, 1])))
+        df = spark.createDataFrame(chunks, CHUNK).repartition(5)
+        assert rows(p.upload_ledger(df, ["arrival"]), "file_id", "arrival", "accepted", "received", "complete") == plain_ledger(chunks)
+
+
+def test_ledger_of_one_long_file_spreads_over_tasks(spark):
+    """A file of 60,000 chunks, each sent twice, and 30,000 repeats of its first one."""
+    n = 60_000
+    ids = spark.range(n)
+    once = ids.select(F.lit(1).cast("long").alias("file_id"), (F.col("id") * 3).alias("arrival"), (F.col("id") * 7).alias("offset"))
+    again = once.withColumn("arrival", F.col("arrival") + 1)
+    first = spark.range(n // 2).select(F.lit(1).cast("long").alias("file_id"), (F.col("id") * 6 + 2).alias("arrival"), F.lit(0).cast("long").alias("offset"))
+    chunks = once.unionByName(again).unionByName(first).withColumns({"length": F.lit(7).cast("long"), "size": F.lit(n * 7).cast("long")})
+    judged = p.upload_ledger(chunks, ["arrival"]).cache()
+    assert judged.filter(F.col("accepted") & (F.col("received") < n * 7)).count() == n - 1
+    wrong = judged.filter(F.col("arrival") % 3 == 0).filter(~F.col("accepted") | (F.col("received") != F.col("offset") + 7))
+    assert wrong.count() == 0
+    assert judged.filter("complete").count() == 2
+    assert judged.rdd.glom().map(len).filter(lambda size: size > 0).count() > 1
+    judged.unpersist()
