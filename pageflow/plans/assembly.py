@@ -12,6 +12,7 @@ from pageflow.operators import jobs as j, orientation as o
 from pageflow.plans.catalog import query
 from pageflow.session import checkpoint_dir
 from pageflow.sources import extract, files, results as res
+from pageflow.streaming import results as first
 
 KEYS, FILE = j.KEYS, j.FILE
 _PAGE = "job_id, filename, page"
@@ -184,6 +185,23 @@ def _(t):
     return j.first_result(fx.page_events(t), KEYS, fx.ARRIVAL).select(*KEYS, "s0", "s90", "s180", "skew")
 
 
+@query("F01_first_result_stream", f"SELECT {_PAGE}, s0, s90, s180, skew FROM fx_pages")
+def _(t):
+    """Results in three micro-batches by time into the sink; every batch comes twice."""
+    from pageflow.plans.progress import in_batches
+
+    step = F.greatest(F.least(F.floor((F.year("ts") - 1995) / 2), F.lit(2)), F.lit(0))
+    stream, path, checkpoint = in_batches(t, fx.page_events(t), step), _scratch(t, "first"), _scratch(t, "stream")
+    sink = first.FirstResultSink(path, fx.ARRIVAL)
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return first.read_first_results(t.spark, path).select(*KEYS, "s0", "s90", "s180", "skew")
+
+
 @query("F02_pending_pages", f"""
     SELECT {_PAGE} FROM fx_expected e WHERE NOT EXISTS (
         SELECT 1 FROM fx_page_events p WHERE e.job_id = p.job_id AND e.filename = p.filename AND e.page = p.page)""")

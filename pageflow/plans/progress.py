@@ -10,7 +10,7 @@ from pageflow import fixtures as fx
 from pageflow.operators import progress as p
 from pageflow.plans.catalog import query
 from pageflow.session import checkpoint_dir
-from pageflow.streaming import progress as live
+from pageflow.streaming import live as jobs_live, progress as live
 
 FILE = p.FILE
 
@@ -117,34 +117,43 @@ def _(t):
     return p.cumulative_rate(fx.progress_events(t)).select("job_id", "pages", F.round("rate", 9).alias("rate"))
 
 
-def _live_events(t):
-    """The events table as a stream of job events with a status column."""
-    spark = live.stream_session(t.spark)
-    schema = t["events"].select("event_id", "ts", "user_id", "event_type").schema
-    raw = live.read_events(spark, t.sf_dir, schema, "events.parquet")
-    # file_done and file_failed settle a file; every seventh event registers its file.
-    kind = (
-        F.when(F.col("event_type") == "signup", "sealed")
-        .when(F.col("event_type").isin("error", "purchase"), "status").otherwise("page_done")
-    )
-    return raw.select(
-        "event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
-        F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string"), F.lit(".pdf")).alias("filename"),
-        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").alias("status"),
-    )
+def _status_events(t):
+    """Job events with a status where one says how its file stands."""
+    status = F.when(F.col("kind") == "file_failed", "failed").when(F.col("kind") == "file_done", "done")
+    kind = F.when(F.col("kind").isin("file_failed", "file_done"), "status").otherwise(F.col("kind"))
+    return fx.progress_events(t).withColumns({"status": status, "kind": kind})
 
 
 def _scratch(t) -> str:
     return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _in_batches(t, rows, order, number: int = 3):
-    """``rows`` stored in ``number`` steps by the running number ``order`` and read as a stream, one step a
-    micro-batch."""
-    spark, path = live.stream_session(t.spark), _scratch(t)
-    for step in range(number):
-        rows.filter(F.pmod(F.floor(order), F.lit(number)) == step).coalesce(1).write.mode("append").parquet(path)
-    return live.read_events(spark, path, rows.schema, "*.parquet", 1)
+STEP_FILES = 4
+
+
+def in_batches(t, rows, step, number: int = 3):
+    """``rows`` stored step by step (``step`` is 0 to ``number`` - 1) and read as a stream, one step a micro-batch.
+
+    The rows are computed once; every step is written by several tasks.
+    """
+    spark, whole, path = live.stream_session(t.spark), _scratch(t), _scratch(t)
+    rows.withColumn("_step", step.cast("int")).write.parquet(whole)
+    kept = t.spark.read.parquet(whole)
+    for k in range(number):
+        kept.filter(F.col("_step") == k).drop("_step").repartition(STEP_FILES).write.mode("append").parquet(path)
+    return live.read_events(spark, path, rows.schema, "*.parquet", STEP_FILES)
+
+
+def _squeezed(events):
+    """Times drawn together to a tenth, so that a month lies inside the seven days that are remembered."""
+    begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    us = F.unix_micros(begin) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(begin)) / 10)
+    return events.withColumn("ts", F.timestamp_micros(us.cast("long")))
+
+
+def _by_time(ts):
+    """Thirds of a month, in order."""
+    return F.least(F.floor((F.dayofmonth(ts) - 1) / 10), F.lit(2))
 
 
 @query("P01_dedupe_events_stream", "SELECT DISTINCT job_id, kind, filename, page FROM fx_progress")
@@ -152,14 +161,14 @@ def _(t):
     """Copies of an event come in different micro-batches."""
     events = fx.progress_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
     twice = events.unionByName(events.withColumn("event_id", F.col("event_id") + 1))
-    seen = live.replay(live.dedupe_events(_in_batches(t, twice, F.col("event_id")), "3650 days"), _scratch(t))
+    seen = live.replay(live.dedupe_events(in_batches(t, _squeezed(twice), F.col("event_id") % 3)), _scratch(t))
     return seen.select("job_id", "kind", "filename", "page")
 
 
 @query("P02_file_progress_stream", "SELECT * FROM fx_done")
 def _(t):
-    events = fx.progress_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = live.file_progress(live.dedupe_events_forever(_in_batches(t, events, F.col("event_id"))))
+    events = _squeezed(fx.progress_events(t))
+    counted = live.file_progress(live.dedupe_events(in_batches(t, events, F.col("event_id") % 3)))
     runs = live.replay(counted, _scratch(t), "update")
     return runs.groupBy(*FILE).agg(F.max("done").alias("done"))
 
@@ -173,22 +182,40 @@ def _(t):
         SELECT job_id, filename, arg_max(status, (ts, event_id)) AS status FROM fx_updates WHERE status <> 'processing' GROUP BY job_id, filename) e
         GROUP BY job_id) q ON s.job_id = q.job_id""")
 def _(t):
-    """Replay in one micro-batch: a file counts from its first status."""
-    return live.replay(live.job_completion(_live_events(t)), _scratch(t))
+    """A file counts from its first status; seals come with the last of three micro-batches."""
+    events = _status_events(t)
+    step = F.when(F.col("kind") == "sealed", 2).otherwise(F.col("event_id") % 3)
+    return live.replay(live.job_completion(in_batches(t, events, step)), _scratch(t))
 
 
 @query("P03_sticky_status_stream", "SELECT * FROM fx_sticky")
 def _(t):
-    events = _live_events(t).filter(F.col("kind") != "sealed")
+    events = _status_events(t).filter(F.col("kind") != "sealed")
     updates = events.withColumn("status", F.coalesce("status", F.lit("processing")))
-    changes = live.replay(live.sticky_status(updates), _scratch(t))
-    last = changes.groupBy(*FILE).agg(F.max(F.struct("ts", "event_id", "status"))["status"].alias("status"))
-    return last
+    changes = live.replay(live.sticky_status(in_batches(t, updates, F.col("event_id") % 3)), _scratch(t))
+    newest = F.struct(F.col("status").isin(*p.TERMINAL).alias("terminal"), "ts", "event_id", "status")
+    return changes.groupBy(*FILE).agg(F.max(newest)["status"].alias("status"))
+
+
+@query("P04_job_snapshot_stream", "SELECT * FROM fx_job_snapshot")
+def _(t):
+    """The last row of every job after three micro-batches in mixed order."""
+    totals = live.replay(jobs_live.job_totals(in_batches(t, _counted_events(t), F.col("event_id") % 3)), _scratch(t))
+    newest = F.max_by(F.struct("total_files", "completed_files", "total_pages", "completed_pages"), "version")
+    return totals.groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.*")
+
+
+def _counted_events(t):
+    """Every event but a seal is an update of its file."""
+    events = _status_events(t)
+    processing = F.when(F.col("kind") != "sealed", F.coalesce("status", F.lit("processing")))
+    return events.withColumn("status", processing)
 
 
 @query("P05_page_rate_stream", "SELECT job_id, round(rate, 9) AS rate FROM fx_page_rate")
 def _(t):
-    rates = live.replay(live.page_rate(_live_events(t)), _scratch(t), "update")
+    events = _status_events(t)
+    rates = live.replay(live.page_rate(in_batches(t, events, F.col("event_id") % 3)), _scratch(t), "update")
     last = rates.groupBy("job_id").agg(F.max(F.struct("batch_id", "rate"))["rate"].alias("rate"))
     return last.select("job_id", F.round("rate", 9).alias("rate"))
 
@@ -214,6 +241,19 @@ def _(t):
     return p.drop_cancelled(events, cancels).select("event_id", "job_id", "kind")
 
 
+@query("P10_drop_cancelled_stream", """
+    SELECT event_id, e.job_id, kind FROM fx_progress e LEFT JOIN (
+        SELECT job_id, min(ts) AS stop FROM fx_progress WHERE kind = 'sealed' AND filename = 'f0.pdf' GROUP BY job_id) c
+    ON e.job_id = c.job_id WHERE stop IS NULL OR e.ts < stop""")
+def _(t):
+    """Cancellations and events together, in three micro-batches by time."""
+    events = fx.progress_events(t)
+    cancels = events.filter((F.col("kind") == "sealed") & (F.col("filename") == "f0.pdf")).withColumn("kind", F.lit(jobs_live.CANCELLED))
+    both = events.unionByName(cancels)
+    passed = live.replay(jobs_live.drop_cancelled(in_batches(t, both, _by_time(F.col("ts")))), _scratch(t))
+    return passed.select("event_id", "job_id", "kind")
+
+
 _ARRIVAL = ["ts", "tie1", "tie2", "offset", "length"]
 fx.SQL["fx_arrivals"] = """
     SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, tie1, tie2, "offset", length) AS arrival FROM fx_upload_chunks"""
@@ -243,7 +283,7 @@ def _(t):
     chunks = fx.upload_chunks(t).withColumn("arrival", F.row_number().over(order).cast("long"))
     # Arrivals 1-2, 3-4 and the rest are three micro-batches.
     step = F.least(F.floor((F.col("arrival") - 1) / 2), F.lit(2))
-    stream = _in_batches(t, chunks.select("file_id", "arrival", "offset", "length", "size"), step)
+    stream = in_batches(t, chunks.select("file_id", "arrival", "offset", "length", "size"), step)
     return live.replay(live.upload_ledger(stream), _scratch(t))
 
 
@@ -261,6 +301,23 @@ def _(t):
     )
 
 
+@query("P12_upload_speed_stream", """
+    SELECT upload_id, round(arg_max(speed, t), 6) AS bytes_per_second,
+           round(arg_max(CASE WHEN speed > 0 THEN (total - sent) / speed END, t), 6) AS eta_seconds
+    FROM (SELECT *, (sent - b.sent_0) / CAST(t - b.t_0 AS DOUBLE) AS speed FROM (
+        SELECT *, coalesce(min({'t_0': t, 'sent_0': sent}) OVER (PARTITION BY upload_id ORDER BY t RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING),
+                           lag({'t_0': t, 'sent_0': sent}) OVER (PARTITION BY upload_id ORDER BY t)) AS b
+        FROM (SELECT upload_id, t, max(sent) AS sent, max(total) AS total FROM fx_upload_samples GROUP BY 1, 2) o) q
+    WHERE t - b.t_0 >= 2) r GROUP BY upload_id""")
+def _(t):
+    """Samples in three micro-batches by time; the last value of each upload."""
+    step = _by_time(F.timestamp_seconds(F.col("t") * 100))
+    speeds = live.replay(jobs_live.upload_speed(in_batches(t, fx.upload_samples(t), step)), _scratch(t))
+    newest = F.max_by(F.struct("bytes_per_second", "eta_seconds"), "t")
+    return speeds.groupBy("upload_id").agg(newest.alias("s")).select(
+        "upload_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("bytes_per_second", "eta_seconds")])
+
+
 fx.SQL["fx_items"] = """
     SELECT upload_id, ord, CASE ord % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'invalid' WHEN 2 THEN 'retrying' WHEN 3 THEN 'uploading'
         WHEN 4 THEN 'queued' ELSE 'done' END AS status FROM fx_manifest"""
@@ -294,3 +351,15 @@ def _(t):
     HAVING epoch_us(TIMESTAMP '2000-01-01 00:00:00') - max(epoch_us(ts)) > 7 * 86400 * CAST(1000000 AS BIGINT)""")
 def _(t):
     return p.stale_keys(fx.page_events(t), F.lit("2000-01-01 00:00:00").cast("timestamp")).select("job_id")
+
+
+@query("P14_stale_state", """
+    SELECT job_id, epoch_us(max(ts)) AS touched_us FROM fx_progress GROUP BY job_id
+    HAVING epoch_us(TIMESTAMP '2024-02-06 12:00:00') - max(epoch_us(ts)) > 7 * 86400 * CAST(1000000 AS BIGINT)""")
+def _(t):
+    """Runs the live totals and asks their state which jobs have expired."""
+    path = _scratch(t)
+    live.replay(jobs_live.job_totals(in_batches(t, _counted_events(t), F.col("event_id") % 3)), path)
+    now = F.lit("2024-02-06 12:00:00").cast("timestamp")
+    stale = jobs_live.stale_keys(live.stream_session(t.spark), f"{path}/state", now)
+    return stale.select("job_id", F.unix_micros("touched").alias("touched_us"))
