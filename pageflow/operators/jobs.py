@@ -47,27 +47,19 @@ def pending_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
 def complete_files(files: DataFrame, results: DataFrame) -> DataFrame:
     """Files whose every page 0..pages-1 has a result.
 
-    Only counts meet: a block of pages (up to 4096) is counted with map-side combine, and a file
-    is complete when each of its blocks holds all the pages it should.
+    A file may be listed more than once (adding it again changes nothing); each of its rows is
+    returned. One pass over the results: pages in range are kept by their file's page count, and
+    distinct ones counted per block of 4096 and then per file.
     """
-    held = results.groupBy(*FILE, page_block(F.col("page")).alias("_block")).agg(
-        F.count_distinct(F.when(F.col("page") >= 0, F.col("page"))).alias("_held"), F.max("page").alias("_last")
-    )
     known = files.filter(F.col("pages") > 0)
-    first = F.col("_block") * BLOCK_PAGES
-    due = F.least(first + BLOCK_PAGES, F.col("pages").cast("long")) - first
-    # A block that reaches beyond the file's end may hold more than is due; those few are counted.
-    whole = known.join(held, FILE).filter((F.col("_block") >= 0) & (due > 0))
-    inside = whole.filter(F.col("_last") < F.col("pages")).select(*FILE, "pages", "_held")
-    beyond = whole.filter(F.col("_last") >= F.col("pages")).select(*FILE, "pages", "_block")
-    counted = (
-        results.withColumn("_block", page_block(F.col("page"))).join(beyond, [*FILE, "_block"])
-        .filter((F.col("page") >= 0) & (F.col("page") < F.col("pages")))
-        .groupBy(*FILE, "pages", "_block").agg(F.count_distinct("page").alias("_held")).drop("_block")
+    listed = known.select(*FILE, F.col("pages").alias("_due")).distinct()
+    held = (
+        results.select(*FILE, "page").join(listed, FILE)
+        .filter((F.col("page") >= 0) & (F.col("page") < F.col("_due")))
+        .groupBy(*FILE, "_due", page_block(F.col("page")).alias("_block")).agg(F.count_distinct("page").alias("_held"))
     )
-    full = inside.unionByName(counted).groupBy(*FILE, "pages").agg(F.sum("_held").alias("_held"))
-    done = full.filter(F.col("_held") == F.col("pages")).select(*FILE, "pages")
-    return known.join(done, [*FILE, "pages"], "left_semi")
+    full = held.groupBy(*FILE, F.col("_due").alias("pages")).agg(F.sum("_held").alias("_held"))
+    return known.join(full.filter(F.col("_held") == F.col("pages")), [*FILE, "pages"], "left_semi")
 
 
 def assemble_files(files: DataFrame, results: DataFrame) -> DataFrame:
@@ -76,7 +68,8 @@ def assemble_files(files: DataFrame, results: DataFrame) -> DataFrame:
     A summary is split into blocks of 4096 pages (``block``), so one row stays bounded however
     long the file is; a reader takes the union of a file's blocks.
     """
-    done = complete_files(files, results).select(*FILE, "pages")
+    # Listed twice with different page counts, both of them held: the longer one.
+    done = complete_files(files, results).groupBy(*FILE).agg(F.max("pages").alias("pages"))
     key = F.col("page").cast("string")
     detail = F.struct(*[f.name for f in PAGE_DETAIL.fields])
     # Pages that were not scored (declared or unreadable) carry no scores.

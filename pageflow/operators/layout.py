@@ -12,7 +12,7 @@ string; parts in (file, part) order, joined by a newline, are the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageflow import rules
 from pageflow.functions.binding import let
@@ -55,29 +55,37 @@ def text_totals(texts: DataFrame) -> DataFrame:
     ).filter(F.col("level") < 3).drop("level")
 
 
-def _file_parts(pages: DataFrame, text: str) -> DataFrame:
-    """Bounded page blocks of every file with their texts in page order and first/last marks."""
-    blocks = pages.groupBy(*FILE, F.floor(F.col("page") / PART_PAGES).cast("long").alias("part")).agg(
+def _file_parts(pages: DataFrame, text: str, listed: DataFrame | None = None) -> DataFrame:
+    """Bounded page blocks of every file with their texts in page order and marks: the file's
+    first and last block, the first block of the job's first file.
+
+    ``listed`` are the keys of the same pages, where they are at hand without the texts.
+    """
+    part = F.floor(F.col("page") / PART_PAGES).cast("long")
+    blocks = pages.groupBy(*FILE, part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("page", F.col(text).alias("body")))).alias("pages")
     )
-    # First and last part from page numbers alone: no text is gathered by file.
-    ends = pages.groupBy(*FILE).agg(
-        *[F.floor(f("page") / PART_PAGES).cast("long").alias(n) for f, n in ((F.min, "_first"), (F.max, "_last"))]
-    )
+    # From page numbers alone: no text is gathered by file or job.
+    keys = (pages if listed is None else listed).select(*KEYS)
+    ends = keys.groupBy(*FILE).agg(F.min(part).alias("_first"), F.max(part).alias("_last"))
+    ends = ends.withColumn("_opens", F.col("filename") == F.min("filename").over(Window.partitionBy("job_id")))
     return blocks.join(ends, FILE).withColumns(
         {"is_first": F.col("part") == F.col("_first"), "is_last": F.col("part") == F.col("_last")}
-    ).drop("_first", "_last")
+    ).withColumn("opens_job", F.col("is_first") & F.col("_opens")).drop("_first", "_last", "_opens")
+
 
+def text_export(texts: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Plain-text export in parts: file header, pages with 1-based labels, a blank line after the file.
 
-def text_export(texts: DataFrame) -> DataFrame:
-    """Plain-text export in parts: file header, pages with 1-based labels, a blank line after the file."""
+    ``listed`` may give the pages' keys without their texts; else they are taken from ``texts``.
+    """
     chunks = F.transform(
         "pages",
         lambda p: F.concat(F.lit("\n--- Page "), (p["page"] + 1).cast("string"), F.lit(" ---\n"), p["body"]),
     )
     head = F.when(F.col("is_first"), F.concat(F.lit("===== "), F.col("filename"), F.lit(" =====\n"))).otherwise("")
     tail = F.when(F.col("is_last"), "\n").otherwise("")
-    return _file_parts(texts, "text").select(
+    return _file_parts(texts, "text", listed).select(
         *FILE, "part", F.concat(head, F.array_join(chunks, "\n"), tail).alias("body")
     )
 
@@ -266,6 +274,7 @@ def document_markdown(pages: DataFrame, markdown: DataFrame | None = None) -> Da
     """Markdown of every file in parts of 256 pages.
 
     ``pages`` are all pages of the files. ``markdown`` may lack some; they show a notice.
+    ``opens_job`` marks the first part of the job's first file.
     """
     every = pages if markdown is None else pages.select(*KEYS).join(markdown, KEYS, "left")
     shown = every.withColumn(
@@ -275,19 +284,16 @@ def document_markdown(pages: DataFrame, markdown: DataFrame | None = None) -> Da
         "pages", lambda p: F.concat(F.lit("\n## Page "), (p["page"] + 1).cast("string"), F.lit("\n\n"), p["body"])
     )
     head = F.when(F.col("is_first"), F.concat(F.lit("# "), F.col("filename"), F.lit("\n"))).otherwise("")
-    return _file_parts(shown, "markdown").select(
-        *FILE, "part", "is_first", F.concat(head, F.array_join(sections, "\n")).alias("body")
+    return _file_parts(shown, "markdown", pages).select(
+        *FILE, "part", "is_first", "opens_job", F.concat(head, F.array_join(sections, "\n")).alias("body")
     )
 
 
 def job_markdown(documents: DataFrame) -> DataFrame:
-    """Document parts with the rule that separates a file from the job's previous one.
-
-    First parts carry it, except the job's first file, which comes from a per-job minimum.
-    """
-    first = documents.groupBy("job_id").agg(F.min("filename").alias("first_file"))
-    separated = F.col("is_first") & (F.col("filename") != F.col("first_file"))
-    return documents.join(first, "job_id").select(
+    """Document parts with the rule that separates a file from the job's previous one: first parts
+    carry it, except the job's first file."""
+    separated = F.col("is_first") & ~F.col("opens_job")
+    return documents.select(
         *FILE, "part", F.concat(F.when(separated, "\n---\n\n").otherwise(""), F.col("body")).alias("body")
     )
 

@@ -261,20 +261,19 @@ def job_bundle(outputs: DataFrame) -> DataFrame:
     )
 
 
-def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame, slices: tuple[int, ...] = (3600, 1)) -> DataFrame:
+def merge_plan(files: DataFrame, folders: DataFrame, inventory: DataFrame, slices: tuple[int, ...] = (60,)) -> DataFrame:
     """Per folder with at least two available PDFs: merge order, first page of each in the result.
 
     Start pages are running sums over slices of upload time, coarse to fine (``slices`` in
-    seconds, each a multiple of the next), then over files.
+    seconds, each a multiple of the next), then over files. A folder's PDFs are counted by the
+    same totals.
     """
     pdfs = available_files(files, inventory).filter(is_pdf(F.col("file_path")))
-    several = pdfs.groupBy("folder_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
-    names = folders.join(several, "folder_id").select(
-        "folder_id", underscored(F.concat(F.lit("Merged_"), F.col("name"), F.lit(".pdf"))).alias("merged_name")
-    )
-    kept = pdfs.join(names, "folder_id")
+    names = folders.select("folder_id", underscored(F.concat(F.lit("Merged_"), F.col("name"), F.lit(".pdf"))).alias("merged_name"))
     levels = {f"_slice{n}": F.floor(F.unix_seconds("created_at") / n).cast("long") for n in slices}
-    return running_total(kept, ["folder_id"], levels, ["created_at", "file_id"], "pages", "start_page")
+    filed = pdfs.filter(F.col("folder_id").isNotNull())
+    placed = running_total(filed, ["folder_id"], levels, ["created_at", "file_id"], "pages", "start_page", least=2)
+    return placed.join(names, "folder_id")
 
 
 def merged_files(plan: DataFrame, folders: DataFrame, root: str = "/store") -> DataFrame:

@@ -59,28 +59,25 @@ def positions(
 
 
 def running_total(
-    df: DataFrame, group: list[str], levels: dict[str, Column], order: list[str], value: str, name: str
+    df: DataFrame, group: list[str], levels: dict[str, Column], order: list[str], value: str, name: str, least: int = 1
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of each group (``order`` must be unique in it).
 
-    ``levels`` are bucket expressions from coarse to fine that follow ``order`` (hour, then
-    second of the first order column). Totals are windowed level by level, each window over the
-    buckets of one parent; rows are summed only inside their finest bucket. Nothing is measured
-    and no action runs.
+    ``levels`` are whole-number bucket expressions from coarse to fine that follow ``order``
+    (day, then minute of the first order column). Rows are totalled once, by the finest bucket;
+    only these totals are windowed over the group, and rows are summed inside their own bucket.
+    Groups of fewer than ``least`` rows are left out, also by the totals.
     """
     names = list(levels)
     rows = df.withColumns(levels)
-    totals = rows.groupBy(*group, *names).agg(F.sum(value).alias("_total"))
-    offsets = totals.withColumn("_before", F.lit(0))
-    for depth in range(len(names)):
-        parent, own = [*group, *names[:depth]], [*group, *names[: depth + 1]]
-        sums = totals.groupBy(*own).agg(F.sum("_total").alias("_sum"))
-        earlier = Window.partitionBy(*parent).orderBy(names[depth]).rowsBetween(Window.unboundedPreceding, -1)
-        ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        offsets = (
-            offsets.alias("l").join(ahead.alias("r"), _same(own)).select("l.*", "r._ahead")
-            .withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_ahead")
-        )
+    offsets = rows.groupBy(*group, *names).agg(F.sum(value).alias("_total"), F.count("*").alias("_rows"))
+    before = F.lit(0)
+    for depth, own in enumerate(names):
+        earlier = Window.partitionBy(*group, *names[:depth]).orderBy(own).rangeBetween(Window.unboundedPreceding, -1)
+        before = before + F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+    offsets = offsets.withColumns({"_before": before, "_rows": F.sum("_rows").over(Window.partitionBy(*group))})
+    if least > 1:
+        offsets = offsets.filter(F.col("_rows") >= least)
     inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.alias("l").join(offsets.alias("r"), _same([*group, *names])).select("l.*", "r._before")

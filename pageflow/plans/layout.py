@@ -208,7 +208,7 @@ def _documents(t):
 
 @query("T14_document_markdown", "SELECT * FROM fx_documents", recursive=True)
 def _(t):
-    return _documents(t)
+    return _documents(t).drop("opens_job")
 
 
 @query("T15_job_markdown", """
