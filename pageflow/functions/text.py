@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pageflow.rules import WHITESPACE
+from pageflow.rules import GLYPH_WIDTHS, OTHER_GLYPH_WIDTH, WHITESPACE
 
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
@@ -22,6 +22,16 @@ def word_count(col: Column) -> Column:
     ).otherwise(F.lit(0))
 
 
+def natural_width(col: Column) -> Column:
+    """Width of a line of Helvetica at size 1000: the sum of its characters' advances."""
+    known = {ord(c): width for width, characters in GLYPH_WIDTHS.items() for c in characters}
+    latin = F.array(*[F.lit(known.get(code, OTHER_GLYPH_WIDTH)) for code in range(256)])
+    further = F.create_map(*[F.lit(x) for code in sorted(known) if code > 255 for x in (code, known[code])])
+    code = lambda c: F.ascii(c)
+    width = lambda c: F.when(code(c) < 256, F.get(latin, code(c))).otherwise(F.coalesce(further[code(c)], F.lit(OTHER_GLYPH_WIDTH)))
+    return F.aggregate(F.split(col, ""), F.lit(0).cast("long"), lambda total, c: total + F.when(c == "", 0).otherwise(width(c)))
+
+
 def base_name(col: Column) -> Column:
     """Last path component with either slash, trimmed."""
     return strip(F.regexp_extract(F.translate(F.coalesce(col, F.lit("")), "\\", "/"), r"(?s)([^/]*)\z", 1))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageflow import rules
 from pageflow.functions import geometry
 from pageflow.functions.binding import let
-from pageflow.functions.text import strip, word_count
+from pageflow.functions.text import natural_width, strip, word_count
 
 KEYS = ["job_id", "filename", "page"]
 SCORES = [f"s{a}" for a in rules.ROTATIONS]
@@ -191,15 +191,25 @@ def score_map(scores: DataFrame) -> DataFrame:
 
 
 def text_layer_placeable(layer: DataFrame) -> DataFrame:
-    """Lines that can be written back into the page, with baseline and starting font size."""
+    """Lines that can be written back into the page, with baseline and the font size at which the
+    text is as wide as its box.
+
+    Text starts at 0.9 of the box height; that size times box width over natural width is the
+    fitted one, kept between 0.5 and 100. The height cancels out unless the text has no width.
+    """
     x0, y0, x1, y1 = (F.col("rect")[i] for i in range(4))
     height = y1 - y0
-    return layer.filter((strip(F.col("text")) != "") & (x1 - x0 > 0) & (height > 0)).withColumns(
-        {
-            "base_x": x0,
-            "base_y": y1 - height * 0.15,
-            "font_size": height * 0.9,
-        }
+    natural = F.col("_natural")
+    fitted = F.when(natural > 0, (x1 - x0) * 1000 / F.when(natural > 0, natural)).otherwise(height * rules.LAYER_HEIGHT)
+    return (
+        layer.filter((strip(F.col("text")) != "") & (x1 - x0 > 0) & (height > 0))
+        .withColumn("_natural", natural_width(strip(F.col("text")))).withColumns(
+            {
+                "base_x": x0,
+                "base_y": y1 - height * 0.15,
+                "font_size": F.greatest(F.least(fitted, F.lit(rules.MAX_FONT_SIZE)), F.lit(rules.MIN_FONT_SIZE)),
+            }
+        ).drop("_natural")
     )
 
 

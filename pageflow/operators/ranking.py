@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_PAGES = 4096
+SPLITTERS = 256
 
 
 def first_k(df: DataFrame, group: list, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -33,20 +34,46 @@ def _same(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
 
 
+def _rows_before(sizes: DataFrame, group: list[str], blocks: list[str]) -> DataFrame:
+    """``sizes(group, blocks, _rows)`` with the rows of the group's earlier blocks, for any number of blocks.
+
+    Up to ``SPLITTERS`` blocks of each group, chosen by hash, cut it into ranges. Rows are totalled
+    per range, ranges are windowed over the group and blocks only inside their range, so no
+    window holds a whole group.
+    """
+    at = F.struct(*blocks)
+    chosen = first_k(sizes.select(*group, at.alias("_at")), group, [F.xxhash64("_at"), "_at"], SPLITTERS)
+    cuts = chosen.groupBy(*group).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
+    ranged = sizes.alias("l").join(cuts.alias("r"), _same(group)).select("l.*", "r._cuts").withColumn(
+        "_range", F.size(F.filter("_cuts", lambda cut: cut <= at))).drop("_cuts")
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, "_range").agg(F.sum("_rows").alias("_sum"))
+    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    inside = Window.partitionBy(*group, "_range").orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.alias("l").join(totals.alias("r"), _same([*group, "_range"])).select("l.*", "r._ahead")
+        .withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).drop("_ahead", "_range")
+    )
+
+
 def positions(
     df: DataFrame, group: list[str], blocks: list[str], order: list[str], rank: str = "rank",
-    within: tuple[int, int] | None = None,
+    within: tuple[int, int] | None = None, many_blocks: bool = False,
 ) -> DataFrame:
     """1-based position of every row in its group, as a long.
 
     ``blocks`` are columns that follow ``order`` (say file name, then ``page_block(page)``).
-    Only counts per block are windowed over the group; rows are ranked inside their block. With
-    ``within`` (after, last) only positions after < p <= last are wanted, and rows of other blocks
-    are left out before they are ranked.
+    Only counts per block are windowed over the group; rows are ranked inside their block. Where
+    blocks may be as many as files (``many_blocks``), the counts are split into ranges as well.
+    With ``within`` (after, last) only positions after < p <= last are wanted, and rows of other
+    blocks are left out before they are ranked.
     """
     sizes = df.groupBy(*group, *blocks).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    offsets = (
+        _rows_before(sizes, group, blocks) if many_blocks
+        else sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    )
     if within:
         offsets = offsets.filter((F.col("_before") < within[1]) & (F.col("_before") + F.col("_rows") > within[0]))
     inside = Window.partitionBy(*group, *blocks).orderBy(*order)

@@ -106,11 +106,12 @@ def page_window(selected: DataFrame, offset: int = 0, limit: int = 20) -> DataFr
     """Rows offset+1 .. offset+limit of every job by file and page, as ``position``.
 
     Counts per block of pages place the blocks; only those that reach into the window are ranked.
+    A job's blocks, which may be very many files, are placed range by range.
     """
     limit, offset = clamp_limit(limit), max(0, offset)
     blocked = selected.withColumn("_block", page_block(F.col("page")))
     window = (offset, offset + limit)
-    return positions(blocked, ["job_id"], ["filename", "_block"], ["page"], "position", window).drop("_block")
+    return positions(blocked, ["job_id"], ["filename", "_block"], ["page"], "position", window, many_blocks=True).drop("_block")
 
 
 def goto_page(selected: DataFrame, number: int, limit: int = 20, file: str | None = None, offset: int = 0) -> DataFrame:

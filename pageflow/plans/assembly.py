@@ -119,6 +119,14 @@ def _(t):
     return res.read_stored_results(t.spark, path).select(*KEYS, "angle", "method", "reason")
 
 
+@query("S08_bucketed_results", "SELECT job_id, filename, pages FROM fx_complete")
+def _(t):
+    """Written once by file, then asked for complete files."""
+    table = f"page_results_{uuid.uuid4().hex}"
+    res.write_bucketed_results(fx.page_events(t).select(*KEYS, "ts"), table, _scratch(t, "bucketed"), buckets=8)
+    return j.complete_files(fx.job_files(t), t.spark.table(table)).select("job_id", "filename", "pages")
+
+
 def line_extractor(_model, page: dict) -> dict:
     """Stands in for a recogniser: the document's lines are what is 'seen' upright."""
     if page["page"] % 29 == 0:

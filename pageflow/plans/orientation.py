@@ -8,6 +8,7 @@ from pageflow import fixtures as fx
 from pageflow.functions.text import word_count
 from pageflow.operators import orientation as o
 from pageflow.plans.catalog import query
+from pageflow.rules import GLYPH_WIDTHS, OTHER_GLYPH_WIDTH
 
 KEYS = o.KEYS
 _PAGE = "job_id, filename, page"
@@ -184,12 +185,20 @@ def _(t):
     )
 
 
+def _width_sql(text: str) -> str:
+    """Natural width of ``text`` at size 1000, from the same metrics."""
+    quoted = lambda characters: characters.replace("'", "''")
+    cases = " ".join(f"WHEN contains('{quoted(c)}', x) THEN {w}" for w, c in GLYPH_WIDTHS.items())
+    return f"list_sum([CASE {cases} ELSE {OTHER_GLYPH_WIDTH} END for x in string_split({text}, '')])"
+
+
 @query("A19_text_layer_placeable", f"""
-    SELECT {_PAGE}, count(*) AS lines, CAST(sum(CAST(round((ry1 - (ry1 - ry0) * 0.15) * 10000) AS BIGINT)) AS BIGINT) AS baselines, CAST(max(CAST(round((ry1 - ry0) * 0.9 * 10000) AS BIGINT)) AS BIGINT) AS biggest
+    SELECT {_PAGE}, count(*) AS lines, CAST(sum(CAST(round((ry1 - (ry1 - ry0) * 0.15) * 10000) AS BIGINT)) AS BIGINT) AS baselines,
+           CAST(sum(CAST(round(greatest(least((rx1 - rx0) * 1000 / CAST({_width_sql("trim(text)")} AS DOUBLE), 100.0::DOUBLE), 0.5::DOUBLE) * 10000) AS BIGINT)) AS BIGINT) AS sizes
     FROM ({_RECT}) q WHERE rx1 - rx0 > 0 AND ry1 - ry0 > 0 AND length(trim(text)) > 0 GROUP BY {_PAGE}""")
 def _(t):
     layer = o.text_layer_placeable(o.text_layer_lines(o.unrotate_box(fx.best_lines(t))))
     return layer.groupBy(*KEYS).agg(
         F.count("*").alias("lines"), F.sum(F.round(F.col("base_y") * 10000).cast("long")).alias("baselines"),
-        F.max(F.round(F.col("font_size") * 10000).cast("long")).alias("biggest"),
+        F.sum(F.round(F.col("font_size") * 10000).cast("long")).alias("sizes"),
     )

@@ -15,6 +15,45 @@ DESKEW_MIN_DEGREES = 0.1
 RENDER_DPI = 100.0
 POINTS_PER_INCH = 72.0
 
+# Text layer
+LAYER_HEIGHT = 0.9
+MIN_FONT_SIZE = 0.5
+MAX_FONT_SIZE = 100.0
+# Advance widths of Helvetica in thousandths of its size, from its published
+# metrics, for the characters of Windows-1252. Any other character is shown as a middle dot.
+GLYPH_WIDTHS = {
+    191: "'",
+    222: "ijl\u2018\u2019\u201a",
+    260: "|\u00a6",
+    278: " !,./:;I[\\]ft\u00a0\u00b7\u00cc\u00cd\u00ce\u00cf\u00ec\u00ed\u00ee\u00ef",
+    333: "()-`r\u00a1\u00a8\u00ad\u00af\u00b2\u00b3\u00b4\u00b8\u00b9\u02c6\u02dc\u201c\u201d\u201e\u2039\u203a",
+    334: "{}",
+    350: "\u2022",
+    355: '"',
+    365: "\u00ba",
+    370: "\u00aa",
+    389: "*",
+    400: "\u00b0",
+    469: "^",
+    500: "Jcksvxyz\u00e7\u00fd\u00ff\u0161\u017e",
+    537: "\u00b6",
+    556: "#$0123456789?L_abdeghnopqu\u00a2\u00a3\u00a4\u00a5\u00a7\u00ab\u00b5\u00bb\u00e0\u00e1\u00e2\u00e3\u00e4\u00e5"
+         "\u00e8\u00e9\u00ea\u00eb\u00f0\u00f1\u00f2\u00f3\u00f4\u00f5\u00f6\u00f9\u00fa\u00fb\u00fc\u00fe\u0192\u2013\u2020\u2021\u20ac",
+    584: "+<=>~\u00ac\u00b1\u00d7\u00f7",
+    611: "FTZ\u00bf\u00df\u00f8\u017d",
+    667: "&ABEKPSVXY\u00c0\u00c1\u00c2\u00c3\u00c4\u00c5\u00c8\u00c9\u00ca\u00cb\u00dd\u00de\u0160\u0178",
+    722: "CDHNRUw\u00c7\u00d0\u00d1\u00d9\u00da\u00db\u00dc",
+    737: "\u00a9\u00ae",
+    778: "GOQ\u00d2\u00d3\u00d4\u00d5\u00d6\u00d8",
+    833: "Mm",
+    834: "\u00bc\u00bd\u00be",
+    889: "%\u00e6",
+    944: "W\u0153",
+    1000: "\u00c6\u0152\u2014\u2026\u2030\u2122",
+    1015: "@",
+}
+OTHER_GLYPH_WIDTH = 278
+
 # Markdown
 TABLE_MIN_CELLS = 3
 HEADING_RATIO = 1.25

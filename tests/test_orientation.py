@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import geometry
 from pageflow.operators import orientation as o
+from pageflow.rules import GLYPH_WIDTHS
 from pageflow.sources import extract
 
 
@@ -197,3 +198,23 @@ def test_each_call_has_its_own_model(spark):
     for value in (3, 4):
         got = extract.analyze_pages(pages, seen, lambda value=value: value).select("width").distinct().collect()
         assert [r.width for r in got] == [value]
+
+
+def test_font_size_fits_the_text_to_its_box(spark):
+    lines = [
+        ("Hello", [0.0, 0.0, 56.95, 20.0]),                  # 722 + 556 + 222 + 222 + 556 = 2278: exactly 25
+        ("iiii", [0.0, 0.0, 200.0, 10.0]),                   # would be 225.2: at most 100
+        ("W" * 60, [0.0, 0.0, 10.0, 10.0]),                  # would be 0.177: at least 0.5
+        ("\u00e9\u20ac\u540d", [0.0, 0.0, 13.9, 9.0]),     # 556 + 556 + 278 for a character without a glyph: 10
+        ("  a  ", [0.0, 0.0, 5.56, 9.0]),                    # spaces around do not count: 10
+        (" ", [0.0, 0.0, 5.0, 9.0]), ("x", [0.0, 0.0, 0.0, 9.0]), ("x", None),
+    ]
+    df = spark.createDataFrame(lines, "text string, rect array<double>")
+    got = {r.text: r.font_size for r in o.text_layer_placeable(df).collect()}
+    assert got == {"Hello": pytest.approx(25), "iiii": 100.0, "W" * 60: 0.5, "\u00e9\u20ac\u540d": pytest.approx(10), "  a  ": pytest.approx(10)}
+
+
+def test_glyph_widths_list_each_character_of_the_code_page_once():
+    listed = "".join(GLYPH_WIDTHS.values())
+    page = {bytes([b]).decode("cp1252", "ignore") for b in range(32, 256) if b != 127} - {""}
+    assert len(listed) == len(set(listed)) and set(listed) == page

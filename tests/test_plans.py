@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pageflow.operators import jobs as j
 from pageflow.plans.all_queries import QUERIES
+from pageflow.sources import results
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +25,26 @@ def test_number_of_scans(spark, name, table, most):
     assert 0 < scans(QUERIES[name](spark, SF), table) <= most
 
 
+def test_bucketed_results_are_joined_without_an_exchange(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("job_id"), F.concat(F.lit("f"), F.col("id") % 50).alias("filename"),
+                                    F.floor(F.col("id") / 350).cast("int").alias("page"))
+    results.write_bucketed_results(rows, "bucketed_results", str(tmp_path / "b"), buckets=8)
+    files = rows.groupBy("job_id", "filename").agg((F.max("page") + 1).alias("pages")).withColumn("note", F.lit("x"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        stored, plain = j.complete_files(files, spark.table("bucketed_results")), j.complete_files(files, rows)
+        assert "Bucketed: true" in stored._jdf.queryExecution().executedPlan().toString()
+        assert exchanges(stored) < exchanges(plain)
+        joined = spark.table("bucketed_results").groupBy("job_id", "filename").agg(F.count("*").alias("n"))
+        assert exchanges(joined) == 0
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE bucketed_results")
+
+
 def test_texts_are_not_read_to_find_a_file_s_ends(spark):
     plan = QUERIES["T15_job_markdown"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     reads = [line for line in plan.split("\n") if "FileScan" in line and "documents.parquet" in line]

@@ -91,6 +91,22 @@ def test_page_window_near_and_far_are_alike(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
 
 
+def test_page_window_of_a_job_of_very_many_files(spark, monkeypatch):
+    """More files than splitters: no window holds all of a job's files."""
+    monkeypatch.setattr(ranking, "SPLITTERS", 16)
+    pages = spark.range(20_000).select(
+        F.when(F.col("id") % 5 > 0, 1).otherwise(2).alias("job_id"), F.concat(F.lit("f"), F.floor(F.col("id") / 4)).alias("filename"),
+        (F.col("id") % 4).cast("int").alias("page"))
+    every = pages.withColumn("position", F.row_number().over(Window.partitionBy("job_id").orderBy("filename", "page")))
+    for offset in (0, 7_300, 15_990):
+        got = v.page_window(pages, offset, 50)
+        want = every.filter((F.col("position") > offset) & (F.col("position") <= offset + 50))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    plan = v.page_window(pages, 0, 10)._jdf.queryExecution().executedPlan().toString()
+    sums = [line for line in plan.split("\n") if "Window [sum" in line]
+    assert len(sums) == 2 and all("_range" in line for line in sums)
+
+
 def test_no_job_runs_while_windows_and_totals_are_built(spark):
     tracker = spark.sparkContext.statusTracker()
     before = set(tracker.getJobIdsForGroup(None))
