@@ -54,12 +54,11 @@ class WordEncoder:
         if len(young) + len(wanted) > CACHE_WORDS:
             young, old = {}, young
         unknown = []
-        for w in wanted:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.append(w)
+        for w in wanted.difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                unknown.append(w)
         return (young, old), unknown
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
@@ -164,7 +163,7 @@ class LocalSearch:
     item moved in, one item for one of its own, two items of a bin for one, or one for two. An
     exchange of net size d from bin i to bin j is made when d > 0, it fits, and
     fill(j) + d > fill(i), which is when the sum of squares grows; it ends when a round makes
-    none (or after ``rounds``), and bins that ran empty are gone.
+    none, and bins that ran empty are gone.
     """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
@@ -178,10 +177,13 @@ class LocalSearch:
                 self._list(b, True)
 
     def _pairs(self, b: int) -> Iterator[tuple[int, int]]:
-        # One item of each size: the smallest and largest sixteen stand for a bin's pairs.
-        own = list({self.sizes[i]: i for i in self.bins[b]}.values())
-        own = own if len(own) <= 32 else own[:16] + own[-16:]
-        return combinations(own, 2)
+        # Two items stand for all of their size: a bin has few different sizes, as they add up to it.
+        own: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            if len(same := own.setdefault(self.sizes[i], [])) < 2:
+                same.append(i)
+        yield from (tuple(same) for same in own.values() if len(same) == 2)
+        yield from combinations([same[0] for same in own.values()], 2)
 
     def _list(self, b: int, there: bool) -> None:
         """Puts a bin's items into the index, or takes them out."""
@@ -212,16 +214,15 @@ class LocalSearch:
             for out, items in given:
                 if best[0] == room:
                     break
-                size = self._largest(kind, min(out + room, self.capacity))
-                if size - out <= best[0]:
-                    continue
-                gain = size - out
                 index = self.single if kind == 1 else self.double
-                for donor in index[size]:
-                    if self.fill[donor] < self.fill[j] + gain:
+                size = self._largest(kind, min(out + room, self.capacity))
+                while (gain := size - out) > best[0]:
+                    donor = next((d for d in index[size] if self.fill[d] < self.fill[j] + gain), None)
+                    if donor is not None:
                         what = index[size][donor]
                         best = (gain, donor, (what,) if kind == 1 else what, items)
                         break
+                    size = self._largest(kind, size - 1)
         if best[0] > 0:
             gain, donor, taken, given = best
             self._list(donor, False)
@@ -235,8 +236,9 @@ class LocalSearch:
             self._list(j, True)
         return best[0] > 0
 
-    def run(self, rounds: int = 12) -> list[list[int]]:
-        for _ in range(rounds):
+    def run(self) -> list[list[int]]:
+        """Ends: every exchange raises a sum of whole squares that is bounded."""
+        while True:
             open_bins = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity]
             open_bins.sort(key=lambda b: (-self.fill[b], b))
             changed = False

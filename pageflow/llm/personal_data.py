@@ -81,9 +81,14 @@ def code(value: str) -> int:
 
 
 def term_of(word: str) -> str | None:
-    """A word's term: lower case without outer marks; None for short words and identifiers."""
+    """A word's term: lower case without outer marks; None for short words, numbers and identifiers.
+
+    Words of scripts without upper case are terms from two characters on, others from three.
+    """
     term = word.strip(STRIP).lower()
-    return term if len(term) >= 3 and not term.isdigit() and "@" not in term and term.upper() != term else None
+    if "@" in term or not any(map(str.isalpha, term)):
+        return None
+    return term if len(term) >= (3 if term.upper() != term else 2) else None
 
 
 def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:

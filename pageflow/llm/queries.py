@@ -128,7 +128,7 @@ ln AS (SELECT rid, source, i, parts[i] AS line, trim(parts[i], chr(32) || chr(9)
        FROM (SELECT rid, source, parts, unnest(range(1, len(parts) + 1)) AS i
              FROM (SELECT rid, source, string_split(text, chr(10)) AS parts FROM d WHERE text IS NOT NULL))),
 bad AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT rid) AS n FROM ln WHERE k <> '' GROUP BY source, k) c
-        JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE t.total >= 20 AND c.n > 0.1 * t.total),
+        JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.n >= 3 AND c.n > 0.1 * t.total),
 mark AS (SELECT ln.*, bad.k IS NOT NULL AS dropped FROM ln LEFT JOIN bad
          ON ln.source IS NOT DISTINCT FROM bad.source AND ln.k = bad.k),
 txt AS (SELECT rid, count(*) FILTER (dropped) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text
@@ -139,8 +139,7 @@ SELECT doc_id, txt.text AS text, CAST(coalesce(n, 0) AS BIGINT) AS lines_dropped
 
 @query("op7_line_dedup", OP7_SQL)
 def op7_line_dedup(spark, sf_dir):
-    # OP7_SQL leaves sources of fewer than 20 documents alone.
-    cleaned = repeated_lines.drop_site_lines(as_files(table(spark, sf_dir, "documents")), min_pages=20)
+    cleaned = repeated_lines.drop_site_lines(as_files(table(spark, sf_dir, "documents")))
     return cleaned.select(F.col("file_id").alias("doc_id"), "text", "lines_dropped")
 
 

@@ -262,3 +262,38 @@ def test_components_of_chains_and_stars(spark, rnd):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: i // 20 * 20 for i in range(60)}, **{500 + i: 500 for i in range(50)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def exchanges(sizes, bins, capacity):
+    """Every allowed exchange between two underfull bins that raises the sum of squares."""
+    from itertools import combinations
+
+    some = lambda b, most: [()] + [c for k in range(1, most + 1) for c in combinations(b, k)]
+    weight = lambda items: sum(sizes[i] for i in items)
+    for j, receiver in enumerate(bins):
+        for i, donor in enumerate(bins):
+            if i == j or weight(receiver) == capacity or weight(donor) == capacity:
+                continue
+            for taken in some(donor, 2)[1:]:
+                for given in some(receiver, 2 if len(taken) == 1 else 1):
+                    d = weight(taken) - weight(given)
+                    if d > 0 and weight(receiver) + d <= capacity and weight(receiver) + d > weight(donor):
+                        yield j, i, taken, given
+
+
+def test_the_search_ends_in_a_local_optimum(rnd):
+    for capacity in (40, 400):
+        for _ in range(25):
+            sizes = [rnd.randrange(1, capacity * 2 // 3) if rnd.random() < 0.5 else rnd.randrange(1, 12) for _ in range(rnd.randrange(1, 45))]
+            # Any start will do: bins in the order of arrival.
+            start, room = [], 0
+            for i, size in enumerate(sizes):
+                if size > room:
+                    start.append([])
+                    room = capacity
+                start[-1].append(i)
+                room -= size
+            bins = packing.LocalSearch(sizes, start, capacity).run()
+            assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+            assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
+            assert next(exchanges(sizes, bins, capacity), None) is None

@@ -260,3 +260,19 @@ def test_scores_ignore_everything_but_the_text(spark):
 def test_digest_is_of_the_whole_span_list():
     text = ",".join(f"{k}:{s}:{e}" for s, e, k in personal_data.base_spans("a@b.cd 1.2.3.4"))
     assert text == "email:0:6,ip:7:14" and len(hashlib.sha256(text.encode()).hexdigest()) == 64
+
+
+def test_terms_of_scripts_without_upper_case():
+    from pageflow.llm.personal_data import term_of
+
+    assert [term_of(w) for w in ("\u7530\u4e2d", "\uae40\ubbfc\uc218,", "\u0645\u062d\u0645\u062f", "Anna", "ab", "\u7530", "12-34", "007", "a@b.c", "NATO")] == [
+        "\u7530\u4e2d", "\uae40\ubbfc\uc218", "\u0645\u062d\u0645\u062f", "anna", None, None, None, None, None, "nato"]
+
+
+def test_small_folders_are_judged_at_the_defaults(spark):
+    """The registered query's own settings, on folders of three to ten texts."""
+    from pageflow.llm import repeated_lines
+
+    rows = [(i, "a", f"Header\nown {i}") for i in range(3)] + [(10 + i, "b", f"Twice\nown {i}" if i < 2 else f"own {i}") for i in range(10)]
+    got = {r.file_id: r.lines_dropped for r in repeated_lines.drop_site_lines(files(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == [1, 1, 1] and all(got[10 + i] == 0 for i in range(10))
