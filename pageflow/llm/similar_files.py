@@ -25,6 +25,7 @@ LIST_COST = 0.0085  # fixed value of the method: cost of a probe in a long list
 PART_FILES = 512
 PART_TOKENS = 300_000
 PART_QUERIES = 512
+ROWS = 256
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -60,10 +61,11 @@ def leading(n: int, similarity: int = SIMILARITY) -> int:
     return n - required(n, similarity) + early(n)
 
 
-def scan(files: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (``file_id, digest, node, n``) and leading shingles (``token, node, n``) of all texts.
+def scan(files: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``file_id, digest, node, n, lead`` of all texts, in one pass over them.
 
-    ``node`` is a 64-bit code of the whole set: files with equal sets are one node.
+    ``node`` is a 64-bit code of the whole set: files with equal sets are one node. ``lead`` holds
+    the codes of the leading shingles.
     """
 
     def node_of(codes: np.ndarray) -> int:
@@ -71,36 +73,42 @@ def scan(files: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, Dat
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, lead = [], [], []
             for value in batch.column("text"):
                 codes = shingles(value.as_py() or "")
                 nodes.append(node_of(codes) if len(codes) else None)
                 sizes.append(len(codes))
+                lead.append(codes[: leading(len(codes), similarity)].tobytes() if len(codes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["file_id", "digest", "node", "n"])
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                lead, nodes, sizes = [np.zeros(0, dtype=np.uint64)], [], []
-                for value in batch.column("text").slice(begin, 256):
-                    codes = shingles(value.as_py() or "")
-                    if len(codes):
-                        lead.append(codes[: leading(len(codes), similarity)])
-                        nodes.append(node_of(codes))
-                        sizes.append(len(codes))
-                counts = [len(x) for x in lead[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lead).view(np.int64)),
-                     pa.array(np.repeat(np.array(nodes, dtype=np.int64), counts)),
-                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts))],
-                    names=["token", "node", "n"])
+                [batch.column("file_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(lead, pa.binary())],
+                names=["file_id", "digest", "node", "n", "lead"])
 
     columns = files.select("file_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
     kind = dict(columns.dtypes)["file_id"]
-    rows = columns.mapInArrow(heads, f"file_id {kind}, digest string, node long, n long")
-    return rows, columns.select("text").mapInArrow(tokens, "token long, node long, n int")
+    return columns.mapInArrow(heads, f"file_id {kind}, digest string, node long, n long, lead binary")
+
+
+def _listing(nodes: list[int], sizes: list[int], lead: list[np.ndarray]) -> pa.RecordBatch:
+    """A row (``token, node, n``) for each code of each node."""
+    counts = [len(x) for x in lead]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lead]).view(np.int64)),
+         pa.array(np.repeat(np.array(nodes, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts))],
+        names=["token", "node", "n"])
+
+
+def leading_tokens(rows: DataFrame) -> DataFrame:
+    """``token, node, n`` of the stored leading shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                lead = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("lead")]
+                yield _listing(part.column("node").to_pylist(), part.column("n").to_pylist(), lead)
+
+    return rows.filter("node is not null").select("node", "n", "lead").mapInArrow(run, "token long, node long, n int")
 
 
 def divide_skip(lists: list[list[int]], need: int, least: int, stop: int, wanted=lambda i: True) -> Iterator[tuple[int, int]]:
@@ -266,8 +274,9 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for value in batch.column("codes"):
-                total += np.bincount(np.frombuffer(value.as_py(), dtype=np.uint64) % BUCKETS, minlength=BUCKETS)
+            for begin in range(0, batch.num_rows, ROWS):
+                part = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("codes").slice(begin, ROWS)]
+                total += np.bincount(np.concatenate(part) % BUCKETS, minlength=BUCKETS)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "n"])
 
@@ -284,12 +293,15 @@ def rare_tokens(sets: DataFrame, levels: np.ndarray, similarity: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, value in zip(batch.column("node").to_pylist(), batch.column("codes")):
-                codes = np.frombuffer(value.as_py(), dtype=np.uint64)
-                order = np.lexsort((codes, levels[codes % BUCKETS]))[: leading(len(codes), similarity)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[order].view(np.int64)), pa.array(np.full(len(order), node, dtype=np.int64)),
-                     pa.array(np.full(len(order), len(codes), dtype=np.int32))], names=["token", "node", "n"])
+            for begin in range(0, batch.num_rows, ROWS):
+                part, lead, sizes = batch.slice(begin, ROWS), [], []
+                for value in part.column("codes"):
+                    codes = np.frombuffer(value.as_py(), dtype=np.uint64)
+                    # Codes come sorted, so a stable sort by level alone keeps them in order.
+                    order = np.argsort(levels[codes % BUCKETS], kind="stable")[: leading(len(codes), similarity)]
+                    lead.append(codes[order])
+                    sizes.append(len(codes))
+                yield _listing(part.column("node").to_pylist(), sizes, lead)
 
     return sets.select("node", "codes").mapInArrow(run, "token long, node long, n int")
 
@@ -382,9 +394,9 @@ def find_links(files: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFram
        one node of each component found, until one part holds what is left.
     3. Nodes are sent to other parts only where their lists hold another component.
     """
-    rows, tokens = scan(files, similarity)
-    rows = stored(rows, "sets")
-    suspects = _shared(tokens, similarity)
+    rows = stored(scan(files, similarity), "sets")
+    suspects = _shared(leading_tokens(rows), similarity)
+    rows = rows.drop("lead")
     sets = stored(_sets(files, rows, suspects.select("node").distinct()), "codes")
     lists = _shared(rare_tokens(sets, frequency_levels(sets), similarity), similarity)
     placed = stored(_parts(lists), "parts")
