@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, file_id int, score string, lines_dropped long"
