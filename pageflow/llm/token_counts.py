@@ -80,8 +80,9 @@ def count_tokens(files: DataFrame, tokenizer: str, cache: str, limit: int = 4096
 
     Returns ``file_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens). Null text
     is empty: 0 bytes, 0 tokens. Rows are counted one by one, repeated ids included; an empty
-    table gives an empty result; other columns are not read. A digest shared by a third of all
-    rows is reduced before the exchange, and its join side is one row.
+    table gives an empty result; other columns are not read. Texts of any length are read whole,
+    64 at a time. A digest shared by a third of all rows is reduced before the exchange, and its
+    join side is one row.
     """
     spark = files.sparkSession
     key = tokenizer_digest(tokenizer)
@@ -91,8 +92,9 @@ def count_tokens(files: DataFrame, tokenizer: str, cache: str, limit: int = 4096
                    "digests")
     known = read_cache(spark, cache).filter(F.col("tokenizer") == key).select("content")
     missing = heads.select("content").distinct().join(known, "content", "left_anti")
-    texts = files.select(digest.alias("content"), text.alias("text")).join(missing, "content", "left_semi")
-    new = encode_misses(texts.dropDuplicates(["content"]), tokenizer)
+    # Copies go first: of a text that many rows share, each task sends one on.
+    texts = files.select(digest.alias("content"), text.alias("text")).dropDuplicates(["content"])
+    new = encode_misses(texts.join(missing, "content", "left_semi"), tokenizer)
     new.select(F.lit(key).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == key).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return heads.join(counts, "content").select(
