@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from array import array
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SPAN = "struct<start:long,end:long,kind:string>"
-SPAN_TYPE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-CONTEXT_TYPE = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())])
 NEAR_WORDS = 10
 NEAR_CHARS = 200
 MIN_CONTEXTS = 2
@@ -32,6 +31,7 @@ DISCLOSURE = 0.95
 CHANCE = 0.05
 FILTER_BITS = 1 << 20
 COUNTED_TERMS = 100_000
+CONTEXTS_AT_ONCE = 200_000
 STRIP = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -91,13 +91,21 @@ def term_of(word: str) -> str | None:
     return term if len(term) >= (3 if term.upper() != term else 2) else None
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """The terms among the words nearest to each span, with codes of the value and the words.
+def contexts(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, list[str]]]:
+    """For each span the codes of its value and of the words around it, and the terms among the
+    words nearest to it.
 
-    A word between two mentions of one value is told of the first only: it is met once."""
-    out: list[dict] = []
+    A word between two mentions of one value is told of the first only: it is met once. Only the
+    words that a later span can still reach are remembered."""
     told: dict[int, set[int]] = {}
+    recent: deque[tuple[int, int]] = deque()
     for start, end, kind in spans:
+        from_here = start - NEAR_CHARS
+        while recent and recent[0][0] < from_here:
+            past = recent.popleft()[1]
+            told[past] = {at for at in told.get(past, ()) if at >= from_here}
+            if not told[past]:
+                del told[past]
         before, after = text[max(0, start - NEAR_CHARS) : start], text[end : end + NEAR_CHARS]
         left = [(start - len(before) + m.start(), m[0]) for m in re.finditer(WORD, before)]
         right = [(end + m.start(), m[0]) for m in re.finditer(WORD, after)]
@@ -111,8 +119,34 @@ def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
         seen = told.setdefault(entity, set())
         terms = {t for t in (term_of(w) for at, w in near if at not in seen) if t}
         seen.update(at for at, _ in near)
-        out += [{"entity": entity, "context": context, "term": t} for t in sorted(terms)]
-    return out
+        recent.append((end + NEAR_CHARS, entity))
+        yield entity, context, sorted(terms)
+
+
+class Rows:
+    """Lists of rows (number, number, string), one list after another, as flat columns; strings
+    as codes. Some 24 bytes a row."""
+
+    def __init__(self):
+        self.columns, self.words, self.ends = [array("q") for _ in range(3)], {}, [0]
+
+    def add(self, first: int, second: int, word: str) -> None:
+        for column, value in zip(self.columns, (first, second, self.words.setdefault(word, len(self.words)))):
+            column.append(value)
+
+    def close(self) -> None:
+        self.ends.append(len(self))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, names: list[str]) -> pa.ListArray:
+        """The lists closed so far; the next ones begin anew."""
+        *numbers, words = [pa.array(np.array(c, dtype=np.int64)) for c in self.columns]
+        flat = [*numbers, pa.array(list(self.words), pa.string()).take(words)]
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(flat, names))
+        self.__init__()
+        return lists
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -120,16 +154,29 @@ def scan_files(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
-            for value in batch.column("text"):
+            first, found, near = 0, Rows(), Rows()
+
+            def part(last: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("file_id")[first:last], batch.column("digest")[first:last],
+                     found.take(["start", "end", "kind"]), near.take(["entity", "context", "term"])],
+                    names=["file_id", "digest", "spans", "contexts"])
+
+            for at, value in enumerate(batch.column("text"), 1):
                 text = value.as_py() or ""
-                found = base_spans(text)
-                spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                near.append(contexts(text, found) if found else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("digest"), pa.array(spans, pa.list_(SPAN_TYPE)),
-                 pa.array(near, pa.list_(CONTEXT_TYPE))],
-                names=["file_id", "digest", "spans", "contexts"])
+                spans = base_spans(text)
+                for span in spans:
+                    found.add(*span)
+                for entity, context, terms in contexts(text, spans):
+                    for term in terms:
+                        near.add(entity, context, term)
+                found.close()
+                near.close()
+                if len(near) + len(found) > CONTEXTS_AT_ONCE:
+                    yield part(at)
+                    first = at
+            if first < len(batch):
+                yield part(len(batch))
 
     columns = files.select("file_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
     return columns.mapInArrow(
@@ -272,7 +319,9 @@ def find_private_spans(files: DataFrame, min_contexts: int = MIN_CONTEXTS, discl
 
     Texts are read once for matches and their surroundings; only pairs that can still pass lead to a
     second reading (counts of their terms, through a hash filter of fixed size) and a third
-    (where the terms stand). Equal texts are joined by digest. Null text is empty; rows are
+    (where the terms stand). Equal texts are joined by digest. Texts of any length are read whole,
+    and what a task gathers is passed on after ``CONTEXTS_AT_ONCE`` rows, at the end of a text.
+    Null text is empty; rows are
     reported one by one, repeated ids included; an empty table gives an empty result; other
     columns are not read.
     """
