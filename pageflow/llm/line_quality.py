@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ TRAIN_FILES = 6000
 TRAIN_LINES = 1_200_000
 ACCEPT = 0.7
 SLICE_CHARS = 4_000_000
+SLICE_LINES = 20_000
 CLASSES = 9  # other, lower, upper, digit, space, sentence mark, ! or ?, bar or slash, symbol
 OWN = 14
 
@@ -53,9 +55,22 @@ def line_features(lines: list[str], table: np.ndarray) -> np.ndarray:
     ], axis=1).astype(np.float64)
 
 
-def chain_features(lines: list[str], owners: np.ndarray, table: np.ndarray) -> np.ndarray:
+def repeated_marks(lines: list[str], owners: np.ndarray) -> np.ndarray:
+    """1 for every line that its text holds earlier."""
+    seen: set[tuple[int, str]] = set()
+    repeated = np.zeros(len(lines))
+    for i, key in enumerate(zip(owners.tolist(), lines)):
+        if key in seen:
+            repeated[i] = 1
+        else:
+            seen.add(key)
+    return repeated
+
+
+def chain_features(lines: list[str], owners: np.ndarray, table: np.ndarray, repeated: np.ndarray | None = None) -> np.ndarray:
     """Features of lines in their chains: constant, own, previous and next line's, first, last
-    and repeated-line marks. ``owners`` numbers the text of each line, in order."""
+    and repeated-line marks (made here unless given). ``owners`` numbers the text of each line,
+    in order."""
     own = line_features(lines, table)
     same = owners[1:] == owners[:-1]
     before, after = np.zeros_like(own), np.zeros_like(own)
@@ -63,13 +78,7 @@ def chain_features(lines: list[str], owners: np.ndarray, table: np.ndarray) -> n
     after[:-1][same] = own[1:][same]
     first = np.concatenate(([True], ~same))
     last = np.concatenate((~same, [True]))
-    seen: set[tuple[int, str]] = set()
-    repeated = np.zeros(len(lines))
-    for i, key in enumerate(zip(owners.tolist(), lines)):
-        if key in seen:
-            repeated[i] = 1
-        else:
-            seen.add(key)
+    repeated = repeated_marks(lines, owners) if repeated is None else repeated
     extra = np.stack([np.ones(len(lines)), first, last, repeated], axis=1)
     return np.concatenate([extra, own, before, after], axis=1)
 
@@ -126,6 +135,43 @@ class Chain:
         return (good, expected, log_sum.sum()) if pairs else good
 
 
+    def along(self, score: np.ndarray) -> np.ndarray:
+        """P(good) of every line of one text of any length from its lines' log-odds: forward and
+        backward number by number, four numbers a line."""
+        (bb, bg), (gb, gg) = np.exp(np.clip(self.moves, -8, 8)).tolist()
+        node = array("d", np.exp(np.clip(score, -30, 30)))
+        ahead, good = array("d"), array("d", bytes(8 * len(node)))
+        low, high = 1.0, 0.0
+        for t, n in enumerate(node):
+            low, high = (low * bb + high * gb, (low * bg + high * gg) * n) if t else (1.0, n)
+            total = low + high
+            low, high = low / total, high / total
+            ahead.extend((low, high))
+        low, high = 1.0, 1.0
+        for t in range(len(node) - 1, -1, -1):
+            a, b = ahead[2 * t] * low, ahead[2 * t + 1] * high
+            good[t] = b / (a + b)
+            high *= node[t]
+            low, high = bb * low + bg * high, gb * low + gg * high
+            total = low + high
+            low, high = low / total, high / total
+        return np.array(good)
+
+
+def long_text_score(lines: list[str], chain: Chain, table: np.ndarray) -> float:
+    """Score of one text of any number of lines. Features, the largest part, are made for
+    ``SLICE_LINES`` lines at a time, with the lines beside them."""
+    repeated = repeated_marks(lines, np.zeros(len(lines), dtype=np.int64))
+    odds = np.zeros(len(lines))
+    for begin in range(0, len(lines), SLICE_LINES):
+        end = min(begin + SLICE_LINES, len(lines))
+        low, high = max(begin - 1, 0), min(end + 1, len(lines))
+        x = chain_features(lines[low:high], np.zeros(high - low, dtype=np.int64), table, repeated[low:high])
+        odds[begin:end] = (x @ chain.weights)[begin - low : end - low]
+    weight = np.fromiter(map(len, lines), dtype=np.float64, count=len(lines))
+    return float(weight @ chain.along(odds) / weight.sum())
+
+
 def fit_chain(features: np.ndarray, owners: np.ndarray, labels: np.ndarray, steps: int = 150,
               rate: float = 0.1, ridge: float = 1.0) -> Chain:
     """Maximum likelihood with a ridge, by Adam. ``labels`` holds 0 or 1 for every line: its
@@ -224,6 +270,7 @@ def score_files(files: DataFrame, chain: Chain, accept: float = ACCEPT) -> DataF
     """``score, predicted`` for every file, after its other columns.
 
     The score is the mean of the lines' P(good) weighted by their lengths, over the whole text;
+    a text of any length is one chain, whose features are held for ``SLICE_LINES`` lines at once;
     ``predicted`` is 1 from ``accept`` on. A text without content scores 0. Scores use the text
     alone. Rows are scored one by one and keep all columns; input columns named ``score`` or
     ``predicted`` are replaced.
@@ -231,16 +278,17 @@ def score_files(files: DataFrame, chain: Chain, accept: float = ACCEPT) -> DataF
     kept = files.drop("score", "predicted")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
-    def scores_of(texts: list[str]) -> list[float]:
-        chains = [content_lines(t) for t in texts]
+    def scores_of(chains: list[list[str]]) -> list[float]:
+        if len(chains) == 1 and len(chains[0]) > SLICE_LINES:
+            return [min(max(long_text_score(chains[0], chain, table[0]), 0.0), 1.0)]
         lines = [line for c in chains for line in c]
-        result = np.zeros(len(texts))
+        result = np.zeros(len(chains))
         if lines:
-            owners = np.repeat(np.arange(len(texts)), [len(c) for c in chains])
+            owners = np.repeat(np.arange(len(chains)), [len(c) for c in chains])
             good = chain.marginals(chain_features(lines, owners, table[0]), owners)
             weight = np.fromiter(map(len, lines), dtype=np.float64, count=len(lines))
-            total = np.bincount(owners, weight, len(texts))
-            result = np.bincount(owners, weight * good, len(texts)) / np.maximum(total, 1)
+            total = np.bincount(owners, weight, len(chains))
+            result = np.bincount(owners, weight * good, len(chains)) / np.maximum(total, 1)
         return np.clip(result, 0, 1).tolist()
 
     table: list[np.ndarray] = []
@@ -250,14 +298,16 @@ def score_files(files: DataFrame, chain: Chain, accept: float = ACCEPT) -> DataF
             table.append(char_classes())
         for batch in batches:
             texts, scores, waiting = batch.column("text"), [], []
-            held = 0
+            chars = lines = 0
             for value in texts:
                 text = value.as_py() or ""
-                waiting.append(text)
-                held += len(text)
-                if held > SLICE_CHARS or len(waiting) >= 1000:
+                found = content_lines(text)
+                if waiting and (chars + len(text) > SLICE_CHARS or lines + len(found) > SLICE_LINES or len(waiting) >= 1000):
                     scores += scores_of(waiting)
-                    waiting, held = [], 0
+                    waiting, chars, lines = [], 0, 0
+                waiting.append(found)
+                chars += len(text)
+                lines += len(found)
             if waiting:
                 scores += scores_of(waiting)
             yield pa.RecordBatch.from_arrays(

@@ -4,8 +4,10 @@ import random
 import re
 import tracemalloc
 
+import numpy as np
 
-from pageflow.llm import personal_data
+
+from pageflow.llm import line_quality, personal_data
 from pageflow.llm.scratch import WORD
 
 
@@ -41,6 +43,10 @@ def test_contexts_forget_only_what_no_later_value_reaches():
 def test_a_text_of_many_addresses_stays_small():
     text = " ".join(f"name{i % 997} user{i}@site{i % 50}.org" for i in range(20_000))
     spans = personal_data.base_spans(text)
+    # The first array makes pyarrow import pandas, which is not to be counted.
+    first = personal_data.Rows()
+    first.close()
+    first.take(["entity", "context", "term"])
     tracemalloc.start()
     rows = personal_data.Rows()
     for entity, context, terms in personal_data.contexts(text, spans):
@@ -52,3 +58,29 @@ def test_a_text_of_many_addresses_stays_small():
     tracemalloc.stop()
     assert len(spans) == 20_000 and len(held) == 1 and len(held[0]) > 100_000
     assert peak < 20_000_000
+
+
+def test_a_long_chain_in_slices_scores_like_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    table = line_quality.char_classes()
+    chain = line_quality.Chain(rng.normal(size=line_quality.WIDTH), rng.normal(size=(2, 2)))
+    lines = [["A quiet line, as it should be.", "BUY!! NOW | HERE", f"line {i}", "x"][i * i % 4] for i in range(1, 1500)]
+    owners = np.zeros(len(lines), dtype=np.int64)
+    features = line_quality.chain_features(lines, owners, table)
+    good = chain.marginals(features, owners)
+    assert np.allclose(chain.along(features @ chain.weights), good, atol=1e-12)
+    weight = np.array([len(line) for line in lines])
+    for size in (1, 7, 1499, 20_000):
+        monkeypatch.setattr(line_quality, "SLICE_LINES", size)
+        assert abs(line_quality.long_text_score(lines, chain, table) - weight @ good / weight.sum()) < 1e-12
+
+
+def test_a_million_lines_are_scored_in_bounded_memory():
+    import resource
+
+    table = line_quality.char_classes()
+    chain = line_quality.Chain(np.ones(line_quality.WIDTH) / 9, np.zeros((2, 2)))
+    lines = ["a", "Some words here.", "b!"] * 333_334
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 < line_quality.long_text_score(lines, chain, table) < 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB; whole features take 800 MB
