@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pageflow.llm.scratch import n_words, same_key, stored
+from pageflow.operators.ranking import positions
 
 MAX_COPIES = 3
 SEED = "mix"
@@ -16,29 +17,37 @@ def folder_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
 
     Folders in code point order (null last) weigh 1, 2, 3, 1, ... and share the total; a target
     stops at ``max_copies`` times the folder's size and the excess is shared again by weight.
-    The final shares have one common level: folders sorted by (cap / weight) fill up in that
-    order, and the first level that no longer exceeds the next cap holds for all the rest. The
-    window is over one row per folder.
+    The final shares have one common level: folders sorted by room = cap / weight fill up in
+    that order, and the first level that no longer exceeds the next room holds for all the rest.
+
+    Folders may be as many as sites of a crawl. Their ranks come from totals of ranges of names,
+    so no window holds them all. Rooms are windowed once per different value: n different
+    sizes need n(n + 1)/2 words, so a million words have at most 1,414 sizes and 4,242 rooms.
     """
     folders = sizes.groupBy("folder").agg(
         F.sum("size").alias("folder_size"), F.sum(F.col("size") * F.sqrt("size")).alias("root_size")
     )
-    by_name = Window.orderBy(F.col("folder").asc_nulls_last())
-    by_room = Window.orderBy("room", F.col("folder").asc_nulls_last())
-    level = (F.col("total") - F.col("filled")) / F.col("weight_left")
-    return (
-        folders.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
-        .withColumn("total", F.sum("folder_size").over(Window.partitionBy()))
-        .withColumn("room", F.col("folder_size") * max_copies / F.col("weight"))
-        .withColumn("place", F.row_number().over(by_room))
-        .withColumn("filled", F.coalesce(
-            F.sum(F.col("folder_size") * max_copies).over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = folders.select("*", F.lit(0).alias("all"), F.col("folder").isNull().alias("last"),
+                           F.coalesce("folder", F.lit("")).alias("name"))
+    ranked = positions(named, ["all"], ["last", "name"], ["last", "name"], rank="place", many_blocks=True)
+    caps = (
+        ranked.withColumn("weight", (F.col("place") - 1) % 3 + 1)
+        .withColumn("cap", F.col("folder_size") * max_copies)
+        .withColumn("room", F.col("cap") / F.col("weight"))
+        .select("folder", "folder_size", "root_size", "weight", "cap", "room")
+    )
+    caps = stored(caps, "folders")
+    rooms = caps.groupBy("room").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
+    by_room = Window.orderBy("room")
+    level = F.try_divide(caps.agg(F.sum("folder_size")).scalar() - F.col("filled"), F.col("weight_left"))
+    lowest = (
+        rooms.withColumn("filled", F.coalesce(F.sum("cap").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("weight_left", F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", F.min(F.when(level <= F.col("room"), F.struct("place", level.alias("level"))))
-                    .over(Window.partitionBy())["level"])
-        .select("folder", "folder_size", "root_size",
-                F.least(F.col("level") * F.col("weight"), (F.col("folder_size") * max_copies).cast("double")).alias("target"))
+        .withColumn("level", level).filter(F.col("level") <= F.col("room"))
+        .agg(F.min_by("level", "room").alias("level"))
     )
+    return caps.select("folder", "folder_size", "root_size",
+                       F.least(lowest.scalar() * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
 def _cut(rows: DataFrame, width: float) -> DataFrame:
