@@ -87,9 +87,11 @@ def rules() -> dict[str, Column]:
 def folder_rates(measured: DataFrame) -> DataFrame:
     """``folder, rule, n, failed, rate``: each folder's failure rate per rule, shrunk.
 
-    The beta prior of a rule comes from all folders by moments: mean m = failures / texts and
-    strength m(1 - m)/v - 1, v the variance of the folders' raw rates. Without variance (one
-    folder, equal rates) the strength is 100 texts. Then rate = (failed + m s) / (n + s).
+    The beta prior of a rule comes from all folders by moments. Its mean is m = failures /
+    texts. The variance of the folders' raw rates also holds the chance of drawing few texts, so
+    the mean of m(1 - m)/n is taken off it; what is left, v, gives the strength
+    s = m(1 - m)/v - 1 (0 at least) and rate = (failed + m s) / (n + s). Where nothing is left
+    the folders differ by chance alone, and every rate is m.
     """
     tests = rules()
     totals = measured.groupBy("folder").agg(
@@ -101,16 +103,12 @@ def folder_rates(measured: DataFrame) -> DataFrame:
     ).select("folder", "n", "r.*")
     # A row per rule: the prior is a handful of sums over folders.
     prior = long.groupBy("rule").agg(
-        (F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v")
-    ).select(
-        "rule", "m",
-        F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")),
-               F.col("m") * (1 - F.col("m")) / F.nullif("v", F.lit(0.0)) - 1).otherwise(100.0).alias("s"),
-    )
-    return long.join(prior, "rule").select(
-        "folder", "rule", "n", "failed",
-        ((F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).alias("rate"),
-    )
+        (F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("raw"),
+        F.avg(1 / F.col("n")).alias("each"),
+    ).withColumn("spread", F.col("m") * (1 - F.col("m"))).withColumn("v", F.col("raw") - F.col("spread") * F.col("each")).select(
+        "rule", "m", F.when(F.col("v") > 0, F.greatest(F.try_divide("spread", "v") - 1, F.lit(0.0))).alias("s"))
+    shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
+    return long.join(prior, "rule").select("folder", "rule", "n", "failed", F.coalesce(shrunk, "m").alias("rate"))
 
 
 def judge_files(files: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:

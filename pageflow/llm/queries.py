@@ -98,9 +98,10 @@ x AS (SELECT *, n_words < 20 AS r1, 100 * n_repeat_words > 30 * n_words AS r2, 1
 h AS (SELECT source, count(*) AS n, count(*) FILTER (r1) AS f1, count(*) FILTER (r2) AS f2, count(*) FILTER (r3) AS f3,
         count(*) FILTER (r4) AS f4, count(*) FILTER (r5) AS f5 FROM x GROUP BY source),
 g AS (SELECT source, n, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS failed FROM h),
-b AS (SELECT rule, m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 100.0 END AS s
-      FROM (SELECT rule, sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM g GROUP BY rule)),
-rate AS (SELECT source, max((failed + m * s) / (n + s)) AS folder_rate FROM g JOIN b USING (rule) GROUP BY source)
+b AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) END AS s
+      FROM (SELECT rule, m, raw - m * (1 - m) * each AS v FROM (
+        SELECT rule, sum(failed) / sum(n) AS m, var_pop(failed / n) AS raw, avg(1 / n) AS each FROM g GROUP BY rule))),
+rate AS (SELECT source, max(coalesce((failed + m * s) / (n + s), m)) AS folder_rate FROM g JOIN b USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
   NOT (r1 OR r2) AND folder_rate <= 0.5 AS kept
 FROM x JOIN rate ON x.source IS NOT DISTINCT FROM rate.source
