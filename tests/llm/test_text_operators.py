@@ -115,6 +115,14 @@ def test_a_bad_folder_takes_its_good_files_along(spark):
     assert 0 < one.rate < 0.5
 
 
+def test_chance_between_folders_is_no_difference(spark):
+    """Folders of few texts vary by chance; alike ones share one rate, and one-text folders say nothing."""
+    good, bad = " ".join(f"word{i}" for i in range(40)), "too short"
+    rows = [(i, f"f{i // 4}", bad if i % 4 == 0 else good) for i in range(40)] + [(100 + i, f"one{i}", bad if i == 0 else good) for i in range(30)]
+    rates = host_rules.folder_rates(host_rules.measure_texts(files(spark, rows))).filter("rule = 'short'").collect()
+    assert {round(r.rate, 12) for r in rates} == {round(11 / 70, 12)}
+
+
 def test_rules_of_odd_rows(spark):
     rows = host_rules.judge_files(files(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r.base_failed and not r.kept for r in rows)
